@@ -33,3 +33,17 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+SETTLE_ROWS = 2_000_000
+
+
+def settle(df: DataFrame, rows: int, schema: str | None = None) -> DataFrame:
+    """End the lineage of a silo-level result that has at most ``rows`` rows by its definition.
+
+    Small results become a local relation (later plans stay small and are planned fast), larger ones a
+    staged table.
+    """
+    if rows > SETTLE_ROWS:
+        return stage(df)
+    return df.sparkSession.createDataFrame(df.collect(), schema or df.schema)

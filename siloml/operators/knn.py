@@ -113,36 +113,9 @@ def _kernel_schema() -> str:
     return f"{CLIENT} int, q bigint, nbr_ids array<bigint>, d2 double"
 
 
-def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """k nearest other rows of every row in its ``client_id`` group.
-
-    ``df``: (client_id, row_id, features). Order: squared distance, then row id.
-    Returns (client_id, row_id, nbr_rank 1..k, nbr_id, d2).
-    """
-    spark = df.sparkSession
-    copies = Window.partitionBy(CLIENT, FEATURES).orderBy(ROW_ID)
-    few = df.select(CLIENT, ROW_ID, FEATURES).withColumn("_rn", F.row_number().over(copies)).where(f"_rn <= {k + 1}")
-    points = few.groupBy(CLIENT, FEATURES).agg(
-        F.min(ROW_ID).alias("point"), F.sort_array(F.collect_list(ROW_ID)).alias("ids")
-    ).withColumnRenamed(FEATURES, "vec")
-    points = stage(points)
-
-    sizes = {r[CLIENT]: r["n"] for r in points.groupBy(CLIENT).agg(F.count("*").alias("n")).collect()}
-    # Only groups above one leaf get a tree; the sample and leaf budgets are shared, so neither grows with
-    # the data or the number of groups. A group that is left without a tree is one leaf, searched in chunks.
-    large = {c: n for c, n in sizes.items() if n > leaf_rows}
-    trees = {}
-    if large:
-        budget, cap = SAMPLE_ROWS // len(large), max(1, LEAVES // len(large))
-        shares = spark.createDataFrame(
-            [(c, min(1.0, budget / n) * 2.0 ** 32) for c, n in large.items()], f"{CLIENT} int, share double"
-        )
-        sampled = points.join(F.broadcast(shares), CLIENT).where(hash32(17, "point") < F.col("share"))
-        vectors: dict[int, list] = {}
-        for row in sampled.select(CLIENT, "vec").toLocalIterator():
-            vectors.setdefault(row[CLIENT], []).append(row["vec"])
-        for c, vecs in vectors.items():
-            trees[c] = _grow(np.array(vecs, dtype=float), int(min(cap, -(-large[c] // leaf_rows))))
+def _place(points: DataFrame, trees: dict):
+    """(points with their leaf, chunks per leaf, broadcast leaf boxes)."""
+    spark = points.sparkSession
     tree_var = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,30 +149,32 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
         entry[2].append([b["hi"] for b in r["box"]])
     box_var = spark.sparkContext.broadcast({c: tuple(np.array(a) for a in e) for c, e in boxes.items()})
     chunk_df = boxes_df.select(CLIENT, "leaf", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("n_chunks"))
-    n_leaves = len(sizes) + LEAVES
+    return points, chunk_df, box_var
+
 
-    def search(visits: DataFrame) -> DataFrame:
-        """visits (client_id, q, q_vec, leaf) against the leaves' points."""
-        load = visits.groupBy(CLIENT, "leaf").agg(F.count("*").alias("n_visits"))
-        plan = load.join(chunk_df, [CLIENT, "leaf"]).select(
-            CLIENT, "leaf", "n_chunks", F.ceil(F.col("n_visits") / CHUNK_ROWS).cast("int").alias("n_parts")
-        )
-        left = attach(visits, plan, [CLIENT, "leaf"], n_leaves, 64, salt_on="q").withColumn(
-            "part", F.pmod(F.xxhash64("q"), F.col("n_parts")).cast("int")
-        ).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        right = attach(points, plan, [CLIENT, "leaf"], n_leaves, 64, salt_on="point").withColumn(
-            "chunk", F.pmod(F.xxhash64("point"), F.col("n_chunks")).cast("int")
-        ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-        # Both sides come from the same table, so each gets key columns of its own.
-        keys = (CLIENT, "leaf", "chunk", "part")
-        left_keys = [F.col(c).alias(f"v_{c}") for c in keys]
-        right_keys = [F.col(c).alias(f"p_{c}") for c in keys]
-        left = left.select(*left_keys, "q", "q_vec").groupBy(*[f"v_{c}" for c in keys])
-        right = right.select(*right_keys, "point", "ids", "vec").groupBy(*[f"p_{c}" for c in keys])
-        return left.cogroup(right).applyInPandas(_search(k), _kernel_schema())
-
-    asked = points.select(CLIENT, F.col("point").alias("q"), F.col("vec").alias("q_vec"), "leaf", "ids")
-    home = stage(search(asked.drop("ids")))
+def _visit(visits: DataFrame, points: DataFrame, chunk_df: DataFrame, n_leaves: int, k: int) -> DataFrame:
+    """visits (client_id, q, q_vec, leaf) against the leaves' points."""
+    load = visits.groupBy(CLIENT, "leaf").agg(F.count("*").alias("n_visits"))
+    plan = load.join(chunk_df, [CLIENT, "leaf"]).select(
+        CLIENT, "leaf", "n_chunks", F.ceil(F.col("n_visits") / CHUNK_ROWS).cast("int").alias("n_parts")
+    )
+    left = attach(visits, plan, [CLIENT, "leaf"], n_leaves, 64, salt_on="q").withColumn(
+        "part", F.pmod(F.xxhash64("q"), F.col("n_parts")).cast("int")
+    ).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    right = attach(points, plan, [CLIENT, "leaf"], n_leaves, 64, salt_on="point").withColumn(
+        "chunk", F.pmod(F.xxhash64("point"), F.col("n_chunks")).cast("int")
+    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    # Both sides come from the same table, so each gets key columns of its own.
+    keys = (CLIENT, "leaf", "chunk", "part")
+    left_keys = [F.col(c).alias(f"v_{c}") for c in keys]
+    right_keys = [F.col(c).alias(f"p_{c}") for c in keys]
+    left = left.select(*left_keys, "q", "q_vec").groupBy(*[f"v_{c}" for c in keys])
+    right = right.select(*right_keys, "point", "ids", "vec").groupBy(*[f"p_{c}" for c in keys])
+    return left.cogroup(right).applyInPandas(_search(k), _kernel_schema())
+
+
+def _reach(asked: DataFrame, home: DataFrame, box_var, k: int) -> DataFrame:
+    """Visits to other leaves whose box is closer than the query's k-th neighbour so far."""
     # Rows known so far in distance order; the k+1st (the point's own row is one) bounds the search.
     spread = home.select(CLIENT, "q", "d2", F.explode("nbr_ids").alias("id"))
     near = Window.partitionBy(CLIENT, "q").orderBy("d2", "id")
@@ -207,7 +182,7 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
         spread.withColumn("_rn", F.row_number().over(near)).where(f"_rn = {k + 1}")
         .select(CLIENT, "q", F.col("d2").alias("bound"))
     )
-    bounded = asked.drop("ids").join(bound, [CLIENT, "q"], "left")
+    bounded = asked.join(bound, [CLIENT, "q"], "left")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
@@ -240,10 +215,58 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
                             batch.column("q_vec").take(take), pa.array(leaves[li].astype(np.int32)),
                         ], schema=schema)
 
-    away = stage(bounded.select(CLIENT, "q", "q_vec", "leaf", "bound").mapInArrow(
+    return bounded.select(CLIENT, "q", "q_vec", "leaf", "bound").mapInArrow(
         reach, f"{CLIENT} int, q bigint, q_vec array<double>, leaf int"
-    ))
-    found = home.unionByName(search(away)).select(CLIENT, "q", "d2", F.explode("nbr_ids").alias("nbr_id"))
+    )
+
+
+def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """k nearest other rows of every row in its ``client_id`` group.
+
+    ``df``: (client_id, row_id, features). Order: squared distance, then row id.
+    Returns (client_id, row_id, nbr_rank 1..k, nbr_id, d2).
+    """
+    spark = df.sparkSession
+    copies = Window.partitionBy(CLIENT, FEATURES).orderBy(ROW_ID)
+    few = df.select(CLIENT, ROW_ID, FEATURES).withColumn("_rn", F.row_number().over(copies)).where(f"_rn <= {k + 1}")
+    points = few.groupBy(CLIENT, FEATURES).agg(
+        F.min(ROW_ID).alias("point"), F.sort_array(F.collect_list(ROW_ID)).alias("ids")
+    ).withColumnRenamed(FEATURES, "vec")
+    points = stage(points)
+
+    sizes = {r[CLIENT]: r["n"] for r in points.groupBy(CLIENT).agg(F.count("*").alias("n")).collect()}
+    # Only groups above one leaf get a tree; the sample and leaf budgets are shared in proportion to size, so
+    # neither grows with the data or the number of groups. A group left without a tree is one leaf, searched
+    # in chunks.
+    large = {c: n for c, n in sizes.items() if n > leaf_rows}
+    trees = {}
+    if large:
+        total = sum(large.values())
+        share = min(1.0, SAMPLE_ROWS / total) * 2.0 ** 32
+        wanted = spark.createDataFrame([(c,) for c in large], f"{CLIENT} int")
+        sampled = points.join(F.broadcast(wanted), CLIENT).where(hash32(17, "point") < F.lit(share))
+        vectors: dict[int, list] = {}
+        for row in sampled.select(CLIENT, "vec").collect():  # about SAMPLE_ROWS rows at most
+            vectors.setdefault(row[CLIENT], []).append(row["vec"])
+        for c, vecs in vectors.items():
+            leaves = min(-(-large[c] // leaf_rows), max(1, LEAVES * large[c] // total))
+            trees[c] = _grow(np.array(vecs, dtype=float), leaves)
+    if trees:
+        points, chunk_df, box_var = _place(points, trees)
+    else:
+        points, box_var = points.withColumn("leaf", F.lit(0)), None
+        chunk_df = spark.createDataFrame(
+            [(c, 0, -(-n // CHUNK_ROWS)) for c, n in sizes.items()], f"{CLIENT} int, leaf int, n_chunks int")
+    n_leaves = len(sizes) + LEAVES
+    asked = points.select(CLIENT, F.col("point").alias("q"), F.col("vec").alias("q_vec"), "leaf")
+    home = _visit(asked, points, chunk_df, n_leaves, k)
+    if trees:
+        home = stage(home)
+        away = _reach(asked, home, box_var, k)
+        found = home.unionByName(_visit(stage(away), points, chunk_df, n_leaves, k))
+    else:  # one leaf per group: the home search has seen everything
+        found = home
+    found = found.select(CLIENT, "q", "d2", F.explode("nbr_ids").alias("nbr_id"))
     nearest = found.withColumn("_rn", F.row_number().over(
         Window.partitionBy(CLIENT, "q").orderBy("d2", "nbr_id")
     )).where(f"_rn <= {k + 1}")

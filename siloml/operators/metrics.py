@@ -26,8 +26,34 @@ def pooled(counts: DataFrame, keys: Sequence[str] = (CLIENT,), over: str = CLIEN
     return counts.unionByName(total.withColumn(over, F.lit(None).cast(counts.schema[over].dataType)))
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+# One row per key with its classes and totals, opened into (class, metric, value) rows.
+_PER_CLASS = """inline(array(
+    struct(label AS c, if(label = pred, n, 0) AS tp, n AS actual, 0L AS said),
+    struct(pred AS c, 0L AS tp, 0L AS actual, n AS said)))"""
+_SCORES = (
+    "if(said = 0, 0D, tp / said) AS p", "if(support = 0, 0D, tp / support) AS r",
+    "if(said + support = 0, 0D, 2 * tp / (said + support)) AS f",
+)
+_TOTALS = (
+    "collect_list(struct(string(c) AS c, p, r, f, support)) AS classes", "double(sum(support)) AS n",
+    "sum(tp) / sum(support) AS acc", "avg(p) AS mp", "avg(r) AS mr", "avg(f) AS mf",
+    "sum(p * support) / sum(support) AS wp", "sum(r * support) / sum(support) AS wr",
+    "sum(f * support) / sum(support) AS wf",
+)
+
+
+def _row(cls: str, metric: str, value: str) -> str:
+    return f"named_struct('class', {cls}, 'metric', '{metric}', 'value', {value})"
+
+
+_NAMES = (("precision", "p"), ("recall", "r"), ("f1-score", "f"))
+_CLASS_ROWS = ", ".join([*[_row("k.c", m, f"k.{v}") for m, v in _NAMES], _row("k.c", "support", "double(k.support)")])
+_TOTAL_ROWS = ", ".join([
+    _row("''", "accuracy", "acc"),
+    *[_row(f"'{kind} avg'", m, kind[0] + v) for kind in ("macro", "weighted") for m, v in _NAMES],
+    *[_row(f"'{kind} avg'", "support", "n") for kind in ("macro", "weighted")],
+])
+_ROWS = f"inline(concat(flatten(transform(classes, k -> array({_CLASS_ROWS}))), array({_TOTAL_ROWS})))"
 
 
 def report_from_counts(counts: DataFrame, keys: Sequence[str] = (CLIENT,)) -> DataFrame:
@@ -36,43 +62,11 @@ def report_from_counts(counts: DataFrame, keys: Sequence[str] = (CLIENT,)) -> Da
     Classes are the values seen as label or prediction. ``accuracy`` has the empty class.
     """
     keys = list(keys)
-    # Keys may be null for pooled counts; they are carried as a struct so that equi-joins keep them.
-    group = F.struct(*keys).alias("_k") if keys else F.struct(F.lit(1).alias("one")).alias("_k")
-    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
-    sides = F.explode(F.array(
-        F.struct(F.col("label").alias("c"), hit.alias("tp"), F.col("n").alias("actual"), F.lit(0).cast("bigint").alias("said")),
-        F.struct(F.col("pred").alias("c"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("actual"), F.col("n").alias("said")),
-    )).alias("s")
-    per_class = (
-        counts.select(group, sides)
-        .groupBy("_k", F.col("s.c").alias("class"))
-        .agg(F.sum("s.tp").alias("tp"), F.sum("s.actual").alias("support"), F.sum("s.said").alias("said"))
-        .withColumn("precision", _ratio(F.col("tp"), F.col("said")))
-        .withColumn("recall", _ratio(F.col("tp"), F.col("support")))
-        .withColumn("f1", _ratio(2 * F.col("tp"), F.col("said") + F.col("support")))
-    )
-    scores = ["precision", "recall", "f1"]
-    totals = per_class.groupBy("_k").agg(
-        *[F.avg(m).alias(f"macro_{m}") for m in scores],
-        *[_ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}") for m in scores],
-        F.sum("support").alias("support"),
-        _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
-    )
-
-    def entry(cls, metric, value):
-        return F.struct(cls.cast("string").alias("class"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
-
-    named = {"precision": "precision", "recall": "recall", "f1": "f1-score"}
-    class_rows = per_class.select("_k", F.explode(F.array(
-        *[entry(F.col("class"), named[m], F.col(m)) for m in scores],
-        entry(F.col("class"), "support", F.col("support")),
-    )).alias("e"))
-    total_rows = totals.select("_k", F.explode(F.array(
-        entry(F.lit(""), "accuracy", F.col("accuracy")),
-        *[entry(F.lit(f"{kind} avg"), named[m], F.col(f"{kind}_{m}")) for kind in ("macro", "weighted") for m in scores],
-        *[entry(F.lit(f"{kind} avg"), "support", F.col("support")) for kind in ("macro", "weighted")],
-    )).alias("e"))
-    return class_rows.unionByName(total_rows).select(*[F.col(f"_k.{k}").alias(k) for k in keys], "e.*")
+    sides = counts.selectExpr(*keys, _PER_CLASS)
+    per_class = sides.groupBy(*keys, "c").agg(
+        F.sum("tp").alias("tp"), F.sum("actual").alias("support"), F.sum("said").alias("said"))
+    per_key = per_class.selectExpr("*", *_SCORES).groupBy(*keys).agg(*map(F.expr, _TOTALS))
+    return per_key.selectExpr(*keys, _ROWS)
 
 
 def classification_report(

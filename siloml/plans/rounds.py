@@ -8,6 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from siloml.functions.staging import settle
 from siloml.operators import merge as M
 from siloml.operators.metrics import accuracy, classification_report, log_loss
 from siloml.operators.params import SCHEMA, rebuild_params
@@ -19,7 +20,7 @@ from siloml.training import networks as N
 
 METRIC_SCHEMA = f"round int, {CLIENT} int, class string, metric string, value double"
 FACT_SCHEMA = f"round int, {CLIENT} int, n_examples bigint, f1 double, status string"
-LINEAR = ("logistic", "squared_hinge")
+METRICS_PER_SILO = 32  # rows of one silo's report on two classes, with room for losses
 
 
 def local_report(scored: DataFrame, split: str, round_no: int, extra: str | None = None) -> DataFrame:
@@ -50,11 +51,6 @@ def facts_of(prepared: Prepared, metrics: DataFrame, round_no: int) -> DataFrame
         F.coalesce("f1", F.lit(0.0)).alias("f1"), F.lit("OK").alias("status"))
 
 
-def _local(df: DataFrame, schema: str | None = None) -> DataFrame:
-    """A silo-level result as a local relation: its lineage of fits ends here."""
-    return df.sparkSession.createDataFrame(df.collect(), schema or df.schema)
-
-
 class Trainer:
     """One model family over a prepared frame: ``fit`` -> parameter rows, ``score`` -> pred and prob."""
 
@@ -141,8 +137,9 @@ def trainer(prepared: Prepared, spec) -> Trainer:
 def local_fit(t: Trainer, round_no: int = 1, shared: DataFrame | None = None, steps: int | None = None):
     """Fit all silos from the shared parameters: (parameters, fit metrics, facts)."""
     params = t.fit(round_no, shared, steps)
-    metrics = _local(fit_metrics(t.score(params, False), round_no), METRIC_SCHEMA)
-    return params, metrics, _local(facts_of(t.prepared, metrics, round_no), FACT_SCHEMA)
+    n = t.prepared.n_silos
+    metrics = settle(fit_metrics(t.score(params, False), round_no), METRICS_PER_SILO * n, METRIC_SCHEMA)
+    return params, metrics, settle(facts_of(t.prepared, metrics, round_no), n, FACT_SCHEMA)
 
 
 def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str = TEST) -> DataFrame:
@@ -163,7 +160,7 @@ def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str
         name = "loss"
     added = loss.select(F.lit(round_no).alias("round"), CLIENT, F.lit("").alias("class"),
                         F.lit(name).alias("metric"), "value")
-    return _local(report.unionByName(added), METRIC_SCHEMA)
+    return settle(report.unionByName(added), METRICS_PER_SILO * t.prepared.n_silos, METRIC_SCHEMA)
 
 
 def evaluation_facts(prepared: Prepared, round_no: int) -> DataFrame:
@@ -194,7 +191,7 @@ def run_rounds(
     all_fit: DataFrame | None = None
     all_trees: DataFrame | None = None
     all_facts: DataFrame | None = None
-    tests = _local(evaluation_facts(prepared, 0), FACT_SCHEMA)
+    tests = settle(evaluation_facts(prepared, 0), n_facts, FACT_SCHEMA)
     for r in range(1, spec.rounds + 1):
         if boosted or not spec.one_shot or fits is None:
             start = shared if boosted or not spec.one_shot else None
@@ -211,19 +208,20 @@ def run_rounds(
             )
             if not spec.weight_trees:  # the weight is kept in base_weight only; leaves score as grown
                 bagged = M.scale_base_weights(bagged).withColumn("weight", F.lit(1.0))
-            shared = _local(bagged.select("round", CLIENT, "tree_id", "weight", "nodes"), B.TREE_SCHEMA)
+            bagged = bagged.select("round", CLIENT, "tree_id", "weight", "nodes")
+            shared = settle(bagged, model_spec.n_local_trees * n_facts * r, B.TREE_SCHEMA)
         else:
             merged = rule(params, usable, n_facts=n_facts)
             merged = merged.select(F.lit(r).alias("round"), F.lit(-1).alias(CLIENT), "layer", "pos",
                                    F.col("value").cast("double").alias("value"))
-            shared = _local(merged, SCHEMA)
+            shared = settle(merged, 0, SCHEMA)  # one model
         evaluated = local_evaluate(t, shared, r, spec.report_split)
         extra = (lambda: central(shared, r)) if central else None
         if merge_metrics is not None:
             merged_metrics = merge_metrics(evaluated, tests.withColumn("round", F.lit(r)))
         else:
             merged_metrics = M.merge_eval(evaluated, tests.withColumn("round", F.lit(r)), boosted, extra, n_facts)
-        merged_metrics = _local(merged_metrics.select("round", "class", "metric", "value"))
+        merged_metrics = settle(merged_metrics.select("round", "class", "metric", "value"), 0)
         history = merged_metrics if history is None else history.unionByName(merged_metrics)
         all_fit = metrics if all_fit is None else all_fit.unionByName(metrics)
     return shared, history, all_fit

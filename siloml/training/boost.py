@@ -26,6 +26,7 @@ from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, BoostSpec
 
 NODE = "struct<id:int,feature:int,threshold:double,left:int,right:int,leaf:double,base_weight:double>"
 TREE_SCHEMA = f"round int, {CLIENT} int, tree_id int, weight double, nodes array<{NODE}>"
+MIN_GAIN = 1e-6
 TREE_VALUES = 4_000_000  # numbers of an ensemble or of bin edges that a task may hold
 
 
@@ -105,7 +106,7 @@ def _histograms(trees: dict, partial: dict, slots: dict, edges: dict, width: int
 
 
 def _best_splits(sums: DataFrame, width: int, bins: int, n_nodes: int, spec: BoostSpec) -> DataFrame:
-    """(client_id, slot, g, h, feature, bin, gain): best split of each open node, silos in parallel."""
+    """(client_id, slot, g, h, feature, bin, gain, gl, hl): best split of each open node, silos in parallel."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,11 +122,14 @@ def _best_splits(sums: DataFrame, width: int, bins: int, n_nodes: int, spec: Boo
                 for slot in range(n_nodes):
                     best = int(np.argmax(gain[slot]))
                     f, b = divmod(best, bins - 1)
-                    out.append((client, slot, float(gt[slot]), float(ht[slot]), f, b, float(gain[slot, f, b])))
-            yield pd.DataFrame(out, columns=[CLIENT, "slot", "g", "h", "feature", "bin", "gain"])
+                    out.append((
+                        client, slot, float(gt[slot]), float(ht[slot]), f, b, float(gain[slot, f, b]),
+                        float(gl[slot, f, b]), float(hl[slot, f, b]),
+                    ))
+            yield pd.DataFrame(out, columns=[CLIENT, "slot", "g", "h", "feature", "bin", "gain", "gl", "hl"])
 
     return sums.mapInPandas(
-        pick, f"{CLIENT} int, slot int, g double, h double, feature int, bin int, gain double"
+        pick, f"{CLIENT} int, slot int, g double, h double, feature int, bin int, gain double, gl double, hl double"
     )
 
 
@@ -206,7 +210,7 @@ def boost(
     for tree_no in range(spec.n_local_trees):
         nodes: dict[int, dict[int, dict]] = {c: {} for c in clients}
         open_nodes = {c: [0] for c in clients}
-        for depth in range(spec.max_depth + 1):
+        for _ in range(spec.max_depth):
             live = [c for c in clients if open_nodes[c]]
             if not live:
                 break
@@ -217,27 +221,23 @@ def boost(
             sums = silo_sums(
                 some, _histograms(done, partial, slots, edges, width, bins, n_nodes), [LABEL, "margin"]
             )
-            following: dict[int, list] = {c: [] for c in clients}
-            for s in _best_splits(sums, width, bins, n_nodes, spec).collect():
+            fresh: dict[int, list] = {c: [] for c in clients}
+            for s in sorted(_best_splits(sums, width, bins, n_nodes, spec).collect(), key=lambda s: s["slot"]):
                 c = s[CLIENT]
                 if s["slot"] >= len(open_nodes[c]):
                     continue
                 node_id = open_nodes[c][s["slot"]]
-                node = _leaf(node_id, s["g"], s["h"], spec)
-                nodes[c][node_id] = node
-                # Children are written as leaves at once; the next level may open them again.
-                if depth < spec.max_depth and s["gain"] > 1e-6:
-                    node.update(feature=s["feature"], threshold=float(edges[c][s["feature"]][s["bin"]]), leaf=0.0)
-                    following[c].append(node_id)
-            for c in live:
-                fresh = []
-                for node_id in sorted(following[c]):
-                    left = len(nodes[c])
-                    nodes[c][node_id].update(left=left, right=left + 1)
-                    for child in (left, left + 1):
-                        nodes[c][child] = _leaf(child, 0.0, 0.0, spec)
-                        fresh.append(child)
-                open_nodes[c] = fresh
+                node = nodes[c].setdefault(node_id, _leaf(node_id, s["g"], s["h"], spec))
+                if s["gain"] <= MIN_GAIN:
+                    continue
+                # The split's own sums give both children's leaves, so the deepest level needs no job.
+                left = len(nodes[c])
+                node.update(feature=s["feature"], threshold=float(edges[c][s["feature"]][s["bin"]]), leaf=0.0,
+                            left=left, right=left + 1)
+                nodes[c][left] = _leaf(left, s["gl"], s["hl"], spec)
+                nodes[c][left + 1] = _leaf(left + 1, s["g"] - s["gl"], s["h"] - s["hl"], spec)
+                fresh[c] += [left, left + 1]
+            open_nodes = fresh
         for c in clients:
             tree = sorted(nodes[c].values(), key=lambda n: n["id"])
             done[c].append(tree_arrays(tree))

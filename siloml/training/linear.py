@@ -20,8 +20,11 @@ from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, LogisticSpec, Svc
 STATE_BYTES = 256 * 1024 * 1024
 
 
-def _statistic(family: str, weights: dict[int, np.ndarray]):
-    """Per-silo [n, loss, gradient, Hessian upper triangle] at ``weights`` = {client: [w..., b]}."""
+def _statistic(family: str, weights: dict[int, np.ndarray], balance: dict[int, dict[int, float]]):
+    """Per-silo [n, loss, gradient, Hessian upper triangle] at ``weights`` = {client: [w..., b]}.
+
+    ``balance``: {client: {label: sample weight}}, empty for unit weights.
+    """
 
     def logistic(y, m):
         p = 1.0 / (1.0 + np.exp(-m))
@@ -35,7 +38,9 @@ def _statistic(family: str, weights: dict[int, np.ndarray]):
     terms = logistic if family == "logistic" else squared_hinge
 
     def statistic(client, x, extra):
-        y, sw = extra[LABEL].astype(float), extra["sample_weight"]
+        y = extra[LABEL].astype(float)
+        per_label = balance.get(client)
+        sw = np.where(y > 0, per_label.get(1, 1.0), per_label.get(0, 1.0)) if per_label else np.ones(len(y))
         x1 = np.hstack([x, np.ones((len(x), 1))])
         loss, slope, curve = terms(y, x1 @ weights[client])
         hessian = (x1 * (sw * curve)[:, None]).T @ x1
@@ -138,7 +143,11 @@ def fit_linear(
     for s in range(0, len(clients), group):
         block = clients[s:s + group]
         rows = df if len(block) == len(clients) else df.where(F.col(CLIENT).isin(block))
-        rows = weighted_rows(rows, spec.balanced, len(block))
+        balance: dict[int, dict[int, float]] = {}
+        if spec.balanced:  # silos x labels numbers, so no join is repeated per step
+            for r in class_weights(rows).collect():
+                balance.setdefault(r[CLIENT], {})[r[LABEL]] = r["weight"]
+        rows = rows.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
         states = {c: _Silo(np.zeros(d) if start is None else np.asarray(start[c], float), spec) for c in block}
         for _ in range(steps + 1 if steps is not None else spec.max_iter):
             live = [c for c in block if not states[c].done]
@@ -147,7 +156,7 @@ def fit_linear(
             some = rows if len(live) == len(block) else rows.where(F.col(CLIENT).isin(live))
             at = {c: states[c].trial for c in live}
             seen = set()
-            for r in silo_sums(some, _statistic(spec.family, at), [LABEL, "sample_weight"]).collect():
+            for r in silo_sums(some, _statistic(spec.family, at, balance), [LABEL]).collect():
                 states[r[CLIENT]].advance(*_unpack(r["sums"], d))
                 seen.add(r[CLIENT])
             for c in set(live) - seen:  # a silo without training rows keeps its start

@@ -15,6 +15,7 @@ LEVELS = {
     "o_orderstatus": ("F", "O", "P"),
     "c_mktsegment": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
 }
+SUMS = ("o_totalprice", "c_acctbal", "sum_qty", "sum_price", "ret_qty")
 SEED, LR = 42, 0.1
 
 
@@ -120,7 +121,7 @@ FLAT = "CASE WHEN class = '' THEN metric ELSE class || '_' || metric END"
 # ---- sources -------------------------------------------------------------------------------------
 ORACLE["scan_table"] = "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLE["risk_table"] = ctes(raw=RAW) + """
-SELECT * REPLACE (round(sum_price, 4) AS sum_price, round(avg_disc, 4) AS avg_disc, round(avg_tax, 4) AS avg_tax) FROM raw"""
+SELECT * REPLACE (round(sum_price, 6) AS sum_price, round(avg_disc, 6) AS avg_disc, round(avg_tax, 6) AS avg_tax) FROM raw"""
 
 # ---- projections ---------------------------------------------------------------------------------
 ORACLE["clean"] = ctes(raw=RAW) + \
@@ -139,7 +140,7 @@ ORACLE["select_kbest"] = ctes(
 ) + "SELECT feature, round(avg(x), 4) AS mean FROM long JOIN best USING (feature) GROUP BY feature"
 ORACLE["align_columns"] = ctes(**BASE) + "SELECT row_id, sum_qty, label FROM risk"
 ORACLE["feature_columns"] = ctes(**BASE) + \
-    f"SELECT row_id, {', '.join(f'round({c}, 4) AS {c}' for c in NUMS)} FROM risk"
+    f"SELECT row_id, {', '.join(f'round({c}, 6) AS {c}' for c in NUMS)} FROM risk"
 ORACLE["split_xy"] = ctes(**BASE, enc=ENCODED.format(source="risk"), long=" UNION ALL ".join(
     f"SELECT label, {i} AS pos, {q(c)} AS x FROM enc" for i, c in enumerate([*NUMS, *ONE_HOT_NAMES])
 )) + "SELECT label, pos, count(*) AS n, round(avg(x), 4) AS mean FROM long GROUP BY label, pos"
@@ -333,7 +334,7 @@ SELECT client_id AS round, customer AS client_id, count(*) AS n_examples, avg(CA
 FROM rated GROUP BY 1, 2"""
 PARAMS = " UNION ALL ".join(
     [f"SELECT client_id AS round, customer AS client_id, 0 AS layer, {i} AS pos, avg({c}) AS value FROM risk GROUP BY 1, 2"
-     for i, c in enumerate(NUMS)]
+     for i, c in enumerate(SUMS)]
     + ["SELECT client_id, customer, 1, 0, avg(CAST(label AS DOUBLE)) FROM risk GROUP BY 1, 2"])
 MERGED = dict(**RATED, facts=FACTS, params=PARAMS)
 
@@ -344,15 +345,14 @@ SELECT round, layer, pos, round(sum(value * {weight}) / sum({weight}), 4) AS val
 FROM params JOIN facts USING (round, client_id) WHERE {where} GROUP BY round, layer, pos"""
 
 
-ORACLE["write_read_model"] = ctes(**MERGED) + "SELECT round, client_id, layer, pos, round(value, 4) AS value FROM params"
+ORACLE["write_read_model"] = ctes(**MERGED) + "SELECT round, client_id, layer, pos, round(value, 6) AS value FROM params"
 ORACLE["flatten_params"] = ctes(**MERGED) + """
-SELECT round, client_id, 0 AS layer, CAST(layer * 7 + pos AS INTEGER) AS pos, round(value, 4) AS value FROM params"""
+SELECT round, client_id, 0 AS layer, CAST(layer * 5 + pos AS INTEGER) AS pos, round(value, 6) AS value FROM params"""
 ORACLE["rebuild_params"] = ctes(**MERGED) + """
-SELECT round, client_id, CAST(count(*) AS INTEGER) AS width, round(max(value) FILTER (layer = 0 AND pos = 0), 4) AS first,
+SELECT round, client_id, CAST(count(*) AS INTEGER) AS width, round(max(value) FILTER (layer = 0 AND pos = 0), 6) AS first,
   round(max(value) FILTER (layer = 1), 6) AS last FROM params GROUP BY round, client_id"""
-ORACLE["shape_params"] = ctes(**MERGED, flat="SELECT value, layer * 7 + pos AS p FROM params") + """
-SELECT CASE WHEN p < 4 THEN 0 WHEN p < 6 THEN 1 WHEN p < 8 THEN 2 ELSE 3 END AS layer,
-  CASE WHEN p < 4 THEN p WHEN p < 6 THEN p - 4 WHEN p < 8 THEN p - 6 ELSE p - 8 END AS pos,
+ORACLE["shape_params"] = ctes(**MERGED, flat="SELECT value, layer * 5 + pos AS p FROM params") + """
+SELECT CASE WHEN p < 3 THEN 0 ELSE p - 2 END AS layer, CASE WHEN p < 3 THEN p ELSE 0 END AS pos,
   count(*) AS n, round(avg(value), 4) AS value FROM flat GROUP BY 1, 2"""
 ORACLE["fedavg"] = merge("n_examples")
 ORACLE["fedf1"] = merge("f1")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from siloml.functions.joins import group_count
-from siloml.functions.staging import stage, staging_dir
+from siloml.functions.staging import settle, stage, staging_dir
 from siloml.functions.vectors import quoted, sigmoid
 from siloml.operators import frame, hashrank, knn as K, merge as M, metrics as E, params as P, resample, scale, silos
 from siloml.plans import prepare as prep, rounds as R
@@ -30,6 +30,7 @@ CATS = tables.RISK_CATEGORICAL
 NUMS = tables.RISK_NUMERIC
 CHAIN = PrepareSpec(by_column="n_regionkey", categoricals=CATS)
 LR = 0.1
+SUMS = ("o_totalprice", "c_acctbal", "sum_qty", "sum_price", "ret_qty")
 
 
 # ---- shared inputs -------------------------------------------------------------------------------
@@ -90,10 +91,10 @@ def customer_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customer_params(spark: SparkSession, d: str) -> DataFrame:
-    """Parameter rows per customer: layer 0 the mean numerics, layer 1 the mean label."""
+    """Parameter rows per customer: layer 0 five mean numerics, layer 1 the mean label."""
     df = cleaned(spark, d)
     means = df.groupBy(F.col("n_regionkey").alias("round"), F.col("o_custkey").cast("int").alias(CLIENT)).agg(
-        F.array(*[F.avg(c) for c in NUMS]).alias("w"), F.array(F.avg(F.col(LABEL).cast("double"))).alias("b"),
+        F.array(*[F.avg(c) for c in SUMS]).alias("w"), F.array(F.avg(F.col(LABEL).cast("double"))).alias("b"),
     )
     return means.select("round", CLIENT, F.posexplode(F.array("w", "b")).alias("layer", "v")).select(
         "round", CLIENT, "layer", F.posexplode("v").alias("pos", "value"))
@@ -154,7 +155,7 @@ def scan_table(spark, d):
 
 
 def risk_table(spark, d):
-    return rounded(tables.risk_table(spark, d), "sum_price", "avg_disc", "avg_tax", digits=4)
+    return rounded(tables.risk_table(spark, d), "sum_price", "avg_disc", "avg_tax")
 
 
 def silo_load(spark, d):
@@ -195,7 +196,7 @@ def write_read_model(spark, d):
     path = fresh_path(spark, "model")
     table = customer_params(spark, d)
     models.write_model(table, path)
-    return rounded(models.read_model(spark, path, P.SCHEMA), "value", digits=4)
+    return rounded(models.read_model(spark, path, P.SCHEMA), "value")
 
 
 # ---- projections and filters ---------------------------------------------------------------------
@@ -230,7 +231,7 @@ def align_columns(spark, d):
 def feature_columns(spark, d):
     df = frame.one_hot(regions(spark, d), CATS)
     names = frame.feature_columns(df, exclude="|".join(CATS))
-    return df.select(ROW_ID, *[F.round(quoted(c), 4).alias(c) for c in names])
+    return df.select(ROW_ID, *[F.round(quoted(c), 6).alias(c) for c in names])
 
 
 def split_xy(spark, d):
@@ -260,20 +261,20 @@ def unflatten_metrics(spark, d):
 
 def flatten_params(spark, d):
     vectors = P.rebuild_params(customer_params(spark, d))
-    return rounded(P.flatten_params(vectors), "value", digits=4)
+    return rounded(P.flatten_params(vectors), "value")
 
 
 def rebuild_params(spark, d):
     vectors = P.rebuild_params(customer_params(spark, d))
     return vectors.select(
         "round", CLIENT, F.size("vector").alias("width"),
-        F.round(F.get("vector", F.lit(0)), 4).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"))
+        F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"))
 
 
 def shape_params(spark, d):
-    """The 8-value customer vectors as a network of 2 inputs, 2 hidden units and 1 output."""
-    flat = P.flatten_params(P.rebuild_params(customer_params(spark, d))).where("pos < 9")
-    return P.shape_params(flat, 2, 2, 1).groupBy("layer", "pos").agg(
+    """The 6-value customer vectors as a network of 3 inputs, 1 hidden unit and 1 output."""
+    flat = P.flatten_params(P.rebuild_params(customer_params(spark, d)))
+    return P.shape_params(flat, 3, 1, 1).groupBy("layer", "pos").agg(
         F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("value"))
 
 
@@ -405,11 +406,11 @@ def gradient_step(spark, d):
 
 def one_step_merged(spark, d, method: str):
     p, params = one_step(spark, d)
+    params = settle(params, p.n_silos * (p.width + 1))
     scored = L.predict_linear(p.df, params, p.width, p.n_silos)
-    fits = R.fit_metrics(scored, 1)
-    rule = M.choose_merge("logistic", method)
-    shared = rule(params, R.facts_of(p, fits, 1), n_facts=p.n_silos)
-    return p, shared
+    fits = settle(R.fit_metrics(scored, 1), R.METRICS_PER_SILO * p.n_silos)
+    facts = settle(R.facts_of(p, fits, 1), p.n_silos)
+    return p, settle(M.choose_merge("logistic", method)(params, facts, n_facts=p.n_silos), p.width + 1)
 
 
 def one_step_fedavg(spark, d):
