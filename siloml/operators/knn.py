@@ -74,17 +74,18 @@ def _squared(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_points(d2: np.ndarray, firsts: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per query the points that can hold its k nearest rows (ties at the k-th distance included)."""
+def _best_points(d2: np.ndarray, firsts: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k nearest points (all of them if fewer), by distance, then first row id."""
     if d2.shape[1] <= k:
-        kth = np.full(len(d2), np.inf)
+        near = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
     else:
-        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-    out = []
-    for row, limit in zip(d2, kth):
-        near = np.flatnonzero(row <= limit)
-        out.append(near[np.lexsort((firsts[near], row[near]))][:k])
-    return out
+        near = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        limit = np.take_along_axis(d2, near, axis=1).max(axis=1)
+        for row in np.flatnonzero((d2 <= limit[:, None]).sum(axis=1) > k):  # ties at the k-th distance
+            tied = np.flatnonzero(d2[row] <= limit[row])
+            near[row] = tied[np.lexsort((firsts[tied], d2[row, tied]))][:k]
+    order = np.lexsort((firsts[near], np.take_along_axis(d2, near, axis=1)), axis=1)
+    return np.take_along_axis(near, order, axis=1)
 
 
 def _search(k: int):
@@ -98,13 +99,16 @@ def _search(k: int):
         p = np.stack(points["vec"].to_numpy())
         client, names = int(visitors[f"v_{CLIENT}"].iloc[0]), visitors["q"].to_numpy()
         firsts, ids = points["point"].to_numpy(), points["ids"].to_numpy()
-        rows = []
+        parts = []
         step = max(1, 4_000_000 // len(p))
         for s in range(0, len(q), step):
             d2 = _squared(q[s:s + step], p)
-            for i, near in enumerate(_best_points(d2, firsts, k + 1)):
-                rows += [(client, names[s + i], ids[n], d2[i, n]) for n in near]
-        return pd.DataFrame(rows, columns=columns)
+            near = _best_points(d2, firsts, k + 1)
+            parts.append(pd.DataFrame({
+                CLIENT: client, "q": np.repeat(names[s:s + step], near.shape[1]), "nbr_ids": ids[near.ravel()],
+                "d2": np.take_along_axis(d2, near, axis=1).ravel(),
+            }))
+        return pd.concat(parts)[columns]
 
     return kernel
 
