@@ -43,3 +43,22 @@ def attach(
 def require_bound(rows: int, row_bytes: int, what: str, limit: int = 256 * 1024 * 1024) -> None:
     if rows * row_bytes > limit:
         raise ValueError(f"{what}: {rows} rows of {row_bytes} bytes exceed the {limit} byte bound")
+
+
+HOT_ROWS = 1_000_000  # rows of one key from which the key is joined on its own
+
+
+def join_hot(df: DataFrame, side: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """Inner join to a side that is unique in ``on``, when single keys may hold a large share of ``df``.
+
+    ``rows`` bounds the rows of ``df``. Keys with more than ``HOT_ROWS`` rows (at most rows / HOT_ROWS of
+    them) are joined by broadcasting their side rows, so they are never shuffled into one task; all others
+    take the ordinary join. With fewer rows in total no key can be hot.
+    """
+    on = list(on)
+    if rows <= HOT_ROWS:
+        return df.join(side, on)
+    hot_keys = df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).drop("_n")
+    hot_side = side.join(F.broadcast(hot_keys), on, "left_semi")
+    cold = df.join(F.broadcast(hot_keys), on, "left_anti").join(side, on)
+    return cold.unionByName(df.join(F.broadcast(hot_side), on))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siloml.functions.hashing import hash32
-from siloml.functions.joins import attach
+from siloml.functions.joins import attach, join_hot
 from siloml.functions.moments import by_silo, matrix
 from siloml.functions.staging import stage
 from siloml.spec import CLIENT, FEATURES, ROW_ID
@@ -280,7 +280,8 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
 
     # Every row of a point shares its list; it drops itself and keeps the first k.
     by_point = points.select(CLIENT, F.col("point").alias("q"), F.col("vec").alias(FEATURES)).join(lists, [CLIENT, "q"])
-    rows = df.select(CLIENT, ROW_ID, FEATURES).join(by_point.drop("q"), [CLIENT, FEATURES])
+    n_rows = df.count()
+    rows = join_hot(df.select(CLIENT, ROW_ID, FEATURES), by_point.drop("q"), [CLIENT, FEATURES], n_rows)
     own = F.slice(F.filter("near", lambda s: s["nbr_id"] != F.col(ROW_ID)), 1, k)
     return rows.select(CLIENT, ROW_ID, F.posexplode(own).alias("_p", "_s")).select(
         CLIENT, ROW_ID, (F.col("_p") + 1).alias("nbr_rank"), F.col("_s.nbr_id").alias("nbr_id"),

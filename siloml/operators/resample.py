@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from siloml.functions import joins
 from siloml.functions.hashing import hash32
 from siloml.functions.joins import attach, require_bound
 from siloml.functions.staging import stage
@@ -99,10 +100,17 @@ def smote(
         draws = synthetic_draws(spark, [n for n in needs if n[1] == label], seed, k)
         base = ranked.select(CLIENT, "base", ROW_ID, F.col(FEATURES).alias("_x"))
         other = part.select(CLIENT, F.col(ROW_ID).alias("nbr_id"), F.col(FEATURES).alias("_y"))
-        rows = (
+        n_draws = sum(n[3] for n in needs if n[1] == label)
+        paired = (
             draws.join(base, [CLIENT, "base"])
             .join(near.select(CLIENT, ROW_ID, "nbr_rank", "nbr_id"), [CLIENT, ROW_ID, "nbr_rank"])
-            .join(other, [CLIENT, "nbr_id"])
+            .drop(ROW_ID)
+        )
+        if n_draws > joins.HOT_ROWS:
+            paired = stage(paired)
+        # Among copies the same few rows are everybody's neighbours.
+        rows = (
+            joins.join_hot(paired, other, [CLIENT, "nbr_id"], n_draws)
             .select(
                 (-F.col("j") - 1).alias(ROW_ID), CLIENT, F.lit(TRAIN).alias(SPLIT), LABEL,
                 F.transform(

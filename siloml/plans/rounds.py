@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from siloml.functions.staging import settle
+from siloml.functions.staging import settle, stage
 from siloml.operators import merge as M
 from siloml.operators.metrics import accuracy, classification_report, log_loss
 from siloml.operators.params import SCHEMA, rebuild_params
@@ -79,7 +79,14 @@ class LinearTrainer(Trainer):
         return L.predict_linear(self.prepared.df, params, self.prepared.width, self.prepared.n_silos, shared)
 
 
-class MlpTrainer(Trainer):
+class PerSiloTrainer(Trainer):
+    """Families fitted silo by silo: the rows are staged by silo, so that a fit reads its own directory."""
+
+    def __init__(self, prepared, spec):
+        super().__init__(replace(prepared, df=stage(prepared.df, [CLIENT])), spec)
+
+
+class MlpTrainer(PerSiloTrainer):
     def fit(self, round_no, shared, steps):
         start = None
         if shared is not None:
@@ -97,7 +104,7 @@ class MlpTrainer(Trainer):
         return N.predict_mlp(self.prepared.df, weights, self.prepared.width, self.spec.hidden)
 
 
-class ForestTrainer(Trainer):
+class ForestTrainer(PerSiloTrainer):
     """Only hyper-parameters are merged; every silo keeps scoring with its own trees."""
 
     def fit(self, round_no, shared, steps):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The layout of a result log and the patterns its readers use.
 HEADER = "EXPERIMENT #"
@@ -91,12 +91,6 @@ def write_report_text(blocks: DataFrame, path: str) -> None:
     blocks.select("text").write.mode("append").text(path)
 
 
-def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, line_no, line) of result logs. A log is read whole so that its lines keep their order."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-
-
 def scan_experiments(spark: SparkSession, paths) -> DataFrame:
     """(file, experiment, block): the text blocks after each ``EXPERIMENT #`` of each log.
 
@@ -111,10 +105,11 @@ def scan_experiments(spark: SparkSession, paths) -> DataFrame:
     return blocks.withColumn("experiment", F.monotonically_increasing_id()).select("file", "experiment", "block")
 
 
-def _block_lines(blocks: DataFrame) -> DataFrame:
-    return blocks.select(
-        "file", "experiment", F.posexplode(F.split("block", r"\r?\n")).alias("line_no", "raw")
-    ).withColumn("line", F.trim("raw"))
+def scan_lines(blocks: DataFrame) -> DataFrame:
+    """(file, experiment, line_no, line) of scanned blocks, in order; the header text opens line 0."""
+    lines = blocks.select("file", "experiment", F.posexplode(F.split("block", r"\r?\n")).alias("line_no", "raw"))
+    header = F.when(F.col("line_no") == 0, F.concat(F.lit(HEADER), "raw")).otherwise(F.col("raw"))
+    return lines.select("file", "experiment", "line_no", F.trim(header).alias("line"))
 
 
 def parse_results(blocks: DataFrame, compat: bool = True) -> DataFrame:
@@ -147,7 +142,7 @@ def parse_results(blocks: DataFrame, compat: bool = True) -> DataFrame:
 def flat_metrics(blocks: DataFrame, compat: bool = True) -> DataFrame:
     """(file, experiment, line_no, name, value) of flat ``name: value`` lines."""
     pattern = FLAT_COMPAT if compat else FLAT_SOUND
-    return _block_lines(blocks).where(F.col("line").rlike(pattern)).select(
+    return scan_lines(blocks).where(F.col("line").rlike(pattern)).select(
         "file", "experiment", "line_no",
         F.trim(F.regexp_extract("line", pattern, 1)).alias("name"),
         F.regexp_extract("line", pattern, 2).cast("double").alias("value"),

@@ -263,7 +263,7 @@ def test_parse_class_log(spark, tmp_path):
     assert len(compat) == 10
     assert rows(False)["Class 1:", "recall"] == 1e-05
     assert results.count_results(spark, path).first()[1:] == (2, 2)
-    lines = results.scan_lines(spark, path)
+    lines = results.scan_lines(blocks)
     assert lines.where("line like '%EXPERIMENT%'").count() == 2
     summary = results.summary_report(results.average_results(results.parse_results(blocks)), {"round": 10}, 2).first()
     assert "precision: 0.84" in summary["report"] and summary["options"] == '{"round": 10}'

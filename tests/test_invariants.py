@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from siloml.functions import joins
 from siloml.functions.hashing import seeded_hex
 from siloml.operators import frame, hashrank, knn as K, metrics as E, resample, scale, silos
 
@@ -96,9 +97,10 @@ def brute_knn(x, clients, k):
     return want
 
 
-@pytest.mark.parametrize("leaf_rows,chunk", [(1000, 4096), (40, 4096), (40, 16)])
-def test_knn_is_exact(spark, monkeypatch, leaf_rows, chunk):
+@pytest.mark.parametrize("leaf_rows,chunk,hot", [(1000, 4096, 10 ** 6), (40, 4096, 10 ** 6), (40, 16, 50)])
+def test_knn_is_exact(spark, monkeypatch, leaf_rows, chunk, hot):
     monkeypatch.setattr(K, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(420, 3)).round(1)  # coarse values: many equal distances
     x[:140] = x[0]  # a third of the rows are copies
@@ -134,6 +136,14 @@ def test_smote_points_lie_between_neighbours(spark):
     assert len({tuple(p) for p in made}) > 100
 
 
+def test_smote_among_copies(spark, monkeypatch):
+    x = np.vstack([np.ones((30, 2)), np.random.default_rng(5).normal(size=(170, 2))])
+    df = vectors(spark, x, np.zeros(200)).withColumn("label", (F.col("row_id") < 40).cast("int"))
+    plain = sorted(resample.smote(df, 11).where("is_synthetic").collect())
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    assert sorted(resample.smote(df, 11).where("is_synthetic").collect()) == plain and len(plain) == 120
+
+
 def test_undersample_is_a_subset(spark, keyed):
     df = silos.split_70_20_10(keyed, 3)
     out = resample.undersample(df, 5, 4)

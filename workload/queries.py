@@ -176,7 +176,7 @@ def customer_log(spark, d, flat=False) -> str:
 
 
 def scan_results(spark, d):
-    lines = results.scan_lines(spark, customer_log(spark, d)).withColumn("line", F.trim("line"))
+    lines = results.scan_lines(results.scan_experiments(spark, customer_log(spark, d)))
     kind = F.when(F.col("line").rlike(results.CLASS_LINE), "class").when(
         F.col("line").rlike(results.METRIC_COMPAT), "metric").when(
         F.contains("line", F.lit(results.HEADER)), "experiment").otherwise("blank")
