@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siloml.functions.hashing import seeded_hex
 from siloml.functions.joins import BROADCAST_BYTES, attach, group_count
+from siloml.functions.staging import settle
 from siloml.spec import ROW_ID
 
 HEX_DIGITS = 3  # 4,096 buckets per group; 4 for groups beyond some 10^10 rows
@@ -64,7 +65,8 @@ def hash_cuts(
     ``positions`` maps a table (groups..., n) of group sizes to (groups..., pos): the number of rows that
     stand before each cut, at most ``n_cuts`` per group; a position asked for twice gives two equal cuts
     and one at or past the end gives none. Only the buckets that hold a cut (about cuts/4096 of a group)
-    are ordered; the rest of the data is counted and left in place.
+    are ordered; the rest of the data is counted and left in place. Runs as two jobs on the narrow
+    (groups, key) columns; the cuts are then a local table, not a subplan of everything built on them.
     """
     groups = list(groups)
     keyed = df.select(*groups, F.col(key).alias("_key"), seeded_hex(seed, key).alias("_h"))
@@ -77,17 +79,19 @@ def hash_cuts(
         .groupBy(*groups, "_bucket")
         .agg(F.collect_list(F.col("pos") - F.col("_before") + 1).alias("_offsets"))
     )
+    holders = settle(holders, n_groups * n_cuts)
     candidates = attach(keyed, holders, [*groups, "_bucket"], n_groups * n_cuts, 128, salt_on="_key")
     within = Window.partitionBy(*groups, "_bucket").orderBy("_h", "_key")
     ranked = candidates.withColumn("_rn", F.row_number().over(within).cast("bigint"))
     picked = ranked.where(F.array_contains("_offsets", F.col("_rn"))).withColumn(
         "_times", F.size(F.filter("_offsets", lambda o: o == F.col("_rn")))
     )
-    return picked.groupBy(*groups).agg(
+    cuts = picked.groupBy(*groups).agg(
         F.sort_array(F.flatten(F.collect_list(
             F.array_repeat(F.struct("_h", "_key"), F.col("_times"))
         ))).alias("_cuts")
     )
+    return settle(cuts, n_groups * n_cuts)
 
 
 def interval_of(seed: int | str, cuts: str = "_cuts", key: str = ROW_ID, max_cuts: int | None = None) -> Column:
