@@ -6,14 +6,27 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siloml.functions.joins import attach
+from siloml.functions.joins import attach, group_count
 from siloml.spec import CLIENT
 
 MERGES = ("FedAvg", "FedF1")
-FACTS_ROWS = 500_000  # rounds x silos up to which the facts table is broadcast
+ID_BLOCK = 4096  # silo ids per block when trees are numbered
 
 
-def usable_facts(facts: DataFrame, min_clients: int = 2, accept_failures: bool = True) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, n_facts: int | None, salt_on: str) -> DataFrame:
+    """Join silo rows to their facts on (round, client_id).
+
+    With a known number of facts inside the broadcast bound the rows stay where they are. Without one the
+    join is left to Spark: a (round, silo) key holds one model's or one report's rows, so it cannot be hot.
+    """
+    if n_facts is None:
+        return rows.join(facts, ["round", CLIENT])
+    return attach(rows, facts, ["round", CLIENT], n_facts, 48, salt_on=salt_on)
+
+
+def usable_facts(
+    facts: DataFrame, min_clients: int = 2, accept_failures: bool = True, n_rounds: int | None = None
+) -> DataFrame:
     """Facts of the rounds that may be merged.
 
     Failed silos are left out; a round with fewer than ``min_clients`` results, or with any failure when
@@ -24,7 +37,8 @@ def usable_facts(facts: DataFrame, min_clients: int = 2, accept_failures: bool =
     rounds = facts.groupBy("round").agg(ok.alias("_ok"), bad.alias("_bad")).where(F.col("_ok") >= min_clients)
     if not accept_failures:
         rounds = rounds.where("_bad = 0")
-    return facts.where("status = 'OK'").join(rounds.select("round"), "round", "left_semi")
+    n_rounds = group_count(facts, ["round"]) if n_rounds is None else n_rounds
+    return attach(facts.where("status = 'OK'"), rounds.select("round"), ["round"], n_rounds, 16, "left_semi", CLIENT)
 
 
 def _positive(total: Column) -> Column:
@@ -33,22 +47,22 @@ def _positive(total: Column) -> Column:
     )
 
 
-def merge_params(params: DataFrame, facts: DataFrame, weight: str, n_facts: int) -> DataFrame:
+def merge_params(params: DataFrame, facts: DataFrame, weight: str, n_facts: int | None) -> DataFrame:
     """Weighted mean of each position over the silos of a round; partial sums are combined map-side."""
     weights = facts.select("round", CLIENT, F.col(weight).cast("double").alias("_w"))
-    joined = attach(params, weights, ["round", CLIENT], n_facts, 32, salt_on="pos")
+    joined = with_facts(params, weights, n_facts, "pos")
     total = F.sum("_w")
     return joined.groupBy("round", "layer", "pos").agg(
         (F.sum(F.col("value") * F.col("_w")) / _positive(total)).alias("value")
     )
 
 
-def fedavg(params: DataFrame, facts: DataFrame, n_facts: int = FACTS_ROWS) -> DataFrame:
+def fedavg(params: DataFrame, facts: DataFrame, n_facts: int | None = None) -> DataFrame:
     """Silo models weighted by training rows."""
     return merge_params(params, facts, "n_examples", n_facts)
 
 
-def fedf1(params: DataFrame, facts: DataFrame, n_facts: int = FACTS_ROWS) -> DataFrame:
+def fedf1(params: DataFrame, facts: DataFrame, n_facts: int | None = None) -> DataFrame:
     """Silo models weighted by the class-1 F1 on validation rows; an absent class counts as 0."""
     return merge_params(params, facts.fillna(0.0, ["f1"]), "f1", n_facts)
 
@@ -66,7 +80,7 @@ def bag_trees(
     trees_per_client: int | None = 1,
     scale_first: bool = False,
     normalise: bool = False,
-    n_facts: int = FACTS_ROWS,
+    n_facts: int | None = None,
 ) -> DataFrame:
     """Join the silos' trees into one ensemble.
 
@@ -80,23 +94,30 @@ def bag_trees(
     weights = facts.select("round", CLIENT, F.col(name).cast("double").alias("_w"))
     if normalise:
         mean = weights.groupBy("round").agg(F.avg("_w").alias("_m"))
-        weights = weights.join(mean, "round").select("round", CLIENT, (F.col("_w") / _positive(F.col("_m"))).alias("_w"))
+        weights = attach(weights, mean, ["round"], group_count(facts, ["round"]), 16, salt_on=CLIENT).select("round", CLIENT, (F.col("_w") / _positive(F.col("_m"))).alias("_w"))
     first = weights.orderBy("round", CLIENT).limit(1).select("round", CLIENT, F.lit(True).alias("_is_first"))
     facts_rows = weights.join(F.broadcast(first), ["round", CLIENT], "left").fillna(False, ["_is_first"])
-    joined = attach(trees.drop("weight"), facts_rows, ["round", CLIENT], n_facts, 48, salt_on="tree_id")
+    joined = with_facts(trees.drop("weight"), facts_rows, n_facts, "tree_id")
     order = Window.partitionBy("round", CLIENT).orderBy("tree_id")
     placed = joined.withColumn("_rn", F.row_number().over(order))
     if trees_per_client is not None:
         placed = placed.where(F.col("_is_first") | (F.col("_rn") <= trees_per_client))
 
-    # Ids: trees before the round, then before the silo in its round, then the place within the silo.
+    # Ids: trees before the round, before the silo's id block, before the silo in its block, then the place
+    # within the silo. A block holds at most ID_BLOCK silos and a round 2^32 / ID_BLOCK blocks, so no
+    # ordering runs over all silos.
+    def before(counts: DataFrame, within: list[str], order: str, out: str) -> DataFrame:
+        upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn(out, F.sum("_n").over(upto) - F.col("_n")).drop("_n")
+
     per_silo = placed.groupBy("round", CLIENT).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    per_round = per_silo.groupBy("round").agg(F.sum("_n").alias("_r"))
-    per_round = per_round.select("round", (F.sum("_r").over(upto) - F.col("_r")).alias("_before_round"))
-    in_round = Window.partitionBy("round").orderBy(CLIENT).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = per_silo.withColumn("_before", F.sum("_n").over(in_round) - F.col("_n")).join(per_round, "round")
-    offsets = offsets.select("round", CLIENT, (F.col("_before") + F.col("_before_round")).alias("_offset"))
+    per_silo = per_silo.withColumn("_block", F.floor(F.col(CLIENT) / ID_BLOCK))
+    per_block = per_silo.groupBy("round", "_block").agg(F.sum("_n").alias("_n"))
+    per_round = per_block.groupBy("round").agg(F.sum("_n").alias("_n"))
+    offsets = before(per_silo, ["round", "_block"], CLIENT, "_in_block").join(
+        before(per_block, ["round"], "_block", "_in_round").join(before(per_round, [], "round", "_rounds"), "round"),
+        ["round", "_block"],
+    ).select("round", CLIENT, (F.col("_in_block") + F.col("_in_round") + F.col("_rounds")).alias("_offset"))
     weight = F.col("_w") if scale_first else F.when(F.col("_is_first"), 1.0).otherwise(F.col("_w"))
     rest = [c for c in trees.columns if c not in ("round", CLIENT, "tree_id", "weight")]
     return placed.join(offsets, ["round", CLIENT]).select(
@@ -119,10 +140,10 @@ def tree_count(n_local: int, n_clients: int, n_rounds: int, trees_per_client: in
 
 
 def weighted_metrics(metrics: DataFrame, facts: DataFrame, by: Sequence[str] = ("class", "metric"),
-                     n_facts: int = FACTS_ROWS) -> DataFrame:
+                     n_facts: int | None = None) -> DataFrame:
     """Row-weighted mean of each metric over the silos of a round that report it."""
     weights = facts.select("round", CLIENT, F.col("n_examples").cast("double").alias("_w"))
-    joined = attach(metrics, weights, ["round", CLIENT], n_facts, 32, salt_on="metric")
+    joined = with_facts(metrics, weights, n_facts, "metric")
     return joined.groupBy("round", *by).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
 
 
@@ -131,10 +152,10 @@ def mean_metrics(metrics: DataFrame, by: Sequence[str] = ("class", "metric")) ->
 
 
 def merge_eval_boost(metrics: DataFrame, facts: DataFrame, by: Sequence[str] = ("class", "metric"),
-                     n_facts: int = FACTS_ROWS) -> DataFrame:
+                     n_facts: int | None = None) -> DataFrame:
     """Boosters: AUC weighted by rows, every other metric a plain mean."""
     weights = facts.select("round", CLIENT, F.col("n_examples").cast("double").alias("_w"))
-    joined = attach(metrics, weights, ["round", CLIENT], n_facts, 32, salt_on="metric")
+    joined = with_facts(metrics, weights, n_facts, "metric")
     return joined.groupBy("round", *by).agg(
         F.when(F.col("metric") == "AUC", F.sum(F.col("value") * F.col("_w")) / F.sum("_w"))
         .otherwise(F.avg("value")).alias("value")
@@ -142,7 +163,7 @@ def merge_eval_boost(metrics: DataFrame, facts: DataFrame, by: Sequence[str] = (
 
 
 def merge_eval(metrics: DataFrame, facts: DataFrame, boosted: bool,
-               central: Callable[[], DataFrame] | None = None, n_facts: int = FACTS_ROWS) -> DataFrame:
+               central: Callable[[], DataFrame] | None = None, n_facts: int | None = None) -> DataFrame:
     """Evaluation metrics of a round over all silos; boosters get a fixed loss of 0.
 
     ``central`` may add the rows (round, class, metric, value) of an evaluation on pooled data.

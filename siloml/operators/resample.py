@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siloml.functions import joins
 from siloml.functions.hashing import hash32
-from siloml.functions.joins import attach, require_bound
+from siloml.functions.joins import attach, group_count, require_bound
 from siloml.functions.staging import stage
 from siloml.operators.hashrank import hash_cuts, hash_rank, interval_of
 from siloml.operators.knn import knn
@@ -25,19 +25,21 @@ def train_class_counts(df: DataFrame) -> dict[int, dict[int, int]]:
     return out
 
 
-def undersample(df: DataFrame, seed: int, n_silos: int, n_labels: int = 2) -> DataFrame:
+def undersample(df: DataFrame, seed: int, n_groups: int | None = None) -> DataFrame:
     """Cut every training class of a silo to the size of its smallest class, without replacement.
 
     The kept rows are the first in hash order; the cut row per (silo, label) is the only thing joined.
+    ``n_groups`` bounds the (silo, label) groups; they are counted if it is not given.
     """
     train = df.where(F.col(SPLIT) == TRAIN)
+    n_groups = group_count(train, [CLIENT, LABEL]) if n_groups is None else n_groups
 
     def positions(sizes: DataFrame) -> DataFrame:
         smallest = sizes.groupBy(CLIENT).agg(F.min("n").alias("pos"))
         return sizes.join(smallest, CLIENT).select(CLIENT, LABEL, "pos")
 
-    cuts = hash_cuts(train, [CLIENT, LABEL], f"{seed}-rus", positions, n_silos * n_labels, 1)
-    placed = attach(df, cuts, [CLIENT, LABEL], n_silos * n_labels, 128, how="left")
+    cuts = hash_cuts(train, [CLIENT, LABEL], f"{seed}-rus", positions, n_groups, 1)
+    placed = attach(df, cuts, [CLIENT, LABEL], n_groups, 128, how="left")
     keep = (F.col(SPLIT) != TRAIN) | (interval_of(f"{seed}-rus", max_cuts=1) == 0)
     return placed.where(keep).select(*[f"`{c}`" for c in df.columns])
 

@@ -57,7 +57,7 @@ def transform_chain(df: DataFrame, spec: PrepareSpec, n_silos: int) -> Prepared:
         df = standard_scale(df, exclude=category_pattern(spec.categoricals), n_silos=n_silos)
     names = feature_columns(df)
     if spec.undersample:
-        df = undersample(df, spec.seed, n_silos)
+        df = undersample(df, spec.seed, 2 * n_silos)  # a binary label
     # SMOTE looks at all features for its neighbours, so the selection follows it.
     if spec.smote:
         vectors = stage(split_xy(df, names))

@@ -205,7 +205,7 @@ def run_rounds(
             steps = None if spec.one_shot or r == 1 else spec.local_steps
             fits = local_fit(t, r, start, steps)
         params, metrics, facts = (f.withColumn("round", F.lit(r)) for f in fits)
-        usable = M.usable_facts(facts, spec.min_clients, spec.accept_failures)
+        usable = M.usable_facts(facts, spec.min_clients, spec.accept_failures, n_rounds=1)
         if boosted:
             all_trees = params if all_trees is None else all_trees.unionByName(params)
             all_facts = usable if all_facts is None else all_facts.unionByName(usable)

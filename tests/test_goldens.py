@@ -190,7 +190,7 @@ def test_rebalancing(eighty_twenty):
     assert w == {0: 0.625, 1: 2.5}
     sizes = lambda df: {(r["split"], r["label"]): r["count"] for r in df.groupBy("split", "label").count().collect()}
     rest = {("test", 0): 5, ("test", 1): 5}
-    assert sizes(resample.undersample(eighty_twenty, 7, 1)) == {("train", 0): 20, ("train", 1): 20, **rest}
+    assert sizes(resample.undersample(eighty_twenty, 7)) == {("train", 0): 20, ("train", 1): 20, **rest}
     assert sizes(resample.smote(eighty_twenty, 7)) == {("train", 0): 80, ("train", 1): 80, **rest}
 
 

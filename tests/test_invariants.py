@@ -146,7 +146,7 @@ def test_smote_among_copies(spark, monkeypatch):
 
 def test_undersample_is_a_subset(spark, keyed):
     df = silos.split_70_20_10(keyed, 3)
-    out = resample.undersample(df, 5, 4)
+    out = resample.undersample(df, 5)
     assert out.exceptAll(df).count() == 0
     sizes = out.where("split = 'train'").groupBy("client_id", "label").count().groupBy("client_id").agg(
         F.min("count").alias("lo"), F.max("count").alias("hi"))

@@ -309,7 +309,7 @@ def class_distribution(spark, d):
 
 def undersample(spark, d):
     df = stage(split_frame(spark, d).select(ROW_ID, CLIENT, SPLIT, LABEL))
-    return resample.undersample(df, SEED, n_regions(spark, d))
+    return resample.undersample(df, SEED)
 
 
 def class_weights(spark, d):
