@@ -19,7 +19,7 @@ def table(spark, tmp_path_factory):
         late = rng.integers(-1, 4, 6)
         row = {n: 0 for n in names}
         row |= {"ID": i + 1, "LIMIT_BAL": 1000.0 * rng.integers(1, 50), "SEX": 1 + i % 2, "EDUCATION": 1 + i % 4,
-                "MARRIAGE": 1 + i % 3, "AGE": 20 + i % 40, CREDIT_LABEL: int(late.sum() + rng.normal() > 11)}
+                "MARRIAGE": 1 + i % 3, "AGE": 20 + i % 40, CREDIT_LABEL: int(late.sum() + rng.normal() > 8)}
         row |= dict(zip(("PAY_0", "PAY_2", "PAY_3", "PAY_4", "PAY_5", "PAY_6"), map(int, late)))
         row |= {f"BILL_AMT{m}": float(rng.integers(0, 9000)) for m in range(1, 7)}
         row |= {f"PAY_AMT{m}": float(rng.integers(0, 900)) for m in range(1, 7)}
