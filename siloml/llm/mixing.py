@@ -45,33 +45,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epoch
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: int = 2,
         seed: str = "mix") -> DataFrame:
-    """Schedule documents (doc_id, source, size in words) so that each source supplies its target.
+    """Schedule documents (doc_id, source, size in words, other columns) so that each source supplies its target.
 
     Documents are shuffled within their source by a seeded hash of doc_id. A document's virtual finish time is
     the words of its source up to its end, earlier rounds over the source included, divided by the source's
     target. All are sorted by finish time and taken until the words reach the budget; the document at the end is
-    cut there. So a source's words differ from its target by about a document. Returns one row for each document:
-    row (number in source order), doc_id, source, size, source_size, target, taken, and first (words taken
-    in the mix before it, null if it isn't taken). Sizes must not be null; empty documents take part with no
-    words; rows that repeat are documents of their own; an empty table gives no rows.
+    cut there. So a source's words differ from its target by about a document. Returns the documents with
+    source_size, target, taken, row (their number in source order) and first (words taken in the mix before
+    them, null if they aren't taken). Sizes must not be null; empty documents take part with no words; rows
+    that repeat are documents of their own; an empty table gives no rows.
     """
     sizes = stage(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets, budget = source_targets(sizes, weights, share, epochs)
-    shuffled = docs.withColumn("h", seeded_hex(seed, "doc_id"))
-    queued = prefix_sums(shuffled, [F.col("source").isNull(), F.col("source"), F.col("h"), F.col("doc_id"), F.col("size")],
-                         F.col("size"))
+    order = [F.col("source").isNull(), F.col("source"), seeded_hex(seed, "doc_id"), F.col("doc_id"), F.col("size")]
+    queued = prefix_sums(docs, order, F.col("size")).select("row", F.col("row.source").alias("source"), "size", "before", "index")
     targets = stage(targets.withColumnRenamed("source", "of"))
-    rows = stage(join_measured(
-        queued.select("row.*", "before", "index"), targets, F.col("source").eqNullSafe(F.col("of")), "inner").select(
-        "doc_id", "source", "size", "source_size", "target", "h", F.col("index").alias("row"),
-        (F.col("before") - F.col("base") + F.col("size")).alias("upto")))
+    rows = stage(join_measured(queued, targets, F.col("source").eqNullSafe(F.col("of")), "inner").select(
+        "row", "size", "source_size", "target", "index", (F.col("before") - F.col("base") + F.col("size")).alias("upto")))
     rounds = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("epoch") * F.col("source_size")) / F.col("target")).otherwise(0.0)
     served = prefix_sums(
-        rounds.select("row", "size", "epoch", finish.alias("finish")),
-        [F.col("finish"), F.col("row"), F.col("epoch")], F.col("size"))
+        rounds.select("index", "epoch", "size", finish.alias("finish")),
+        [F.col("finish"), F.col("index"), F.col("epoch")], F.col("size"))
     left = F.greatest(F.lit(0), F.lit(int(budget)) - F.col("before"))
-    got = served.select(F.col("row.row").alias("of"), F.least("size", left).alias("took"), "before")
-    sums = stage(got.groupBy("of").agg(
+    got = served.select(F.col("row.index").alias("index"), F.least("size", left).alias("took"), "before")
+    sums = stage(got.groupBy("index").agg(
         F.sum("took").alias("taken"), F.min(F.when(F.col("took") > 0, F.col("before"))).alias("first")))
-    return rows.drop("h", "upto").join(sums, rows["row"] == sums["of"]).drop("of")
+    return rows.join(sums, "index").select("row.*", "source_size", "target", "taken", F.col("index").alias("row"), "first")

@@ -73,3 +73,103 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS
        vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
 FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN links k ON k.a = e.vec_id
 """
+
+_RULES = {
+    "symbols": ("n_symbols / nullif(n_words, 0)", (0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)),
+    "repeated": ("n_repeat_words / nullif(n_words, 0)", (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45)),
+    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)),
+    "word_size": ("word_chars / nullif(n_words, 0)", (6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0)),
+}
+
+# The measures of the documents of a table: one row each, by row number.
+_MEASURES = r"""
+numbered AS (SELECT row_number() OVER () AS rid, * FROM {table}),
+worded AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM numbered),
+grams AS (
+  SELECT rid, i, {{'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}} AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM worded)),
+often AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) AS x(k) GROUP BY rid),
+lined AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM numbered)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+measured AS (
+  SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines
+  FROM numbered d JOIN worded USING (rid) LEFT JOIN lined l USING (rid) LEFT JOIN covered c USING (rid)),
+rates AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM measured),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+rules(rule, cutoff) AS (VALUES {cutoffs}),
+held AS (
+  SELECT lang, rule, rate FROM (SELECT lang, {names} FROM rates WHERE doc_id IN (SELECT doc_id FROM good))
+  UNPIVOT (rate FOR rule IN ({names}))),
+strata AS (SELECT lang, count(*) AS n FROM rates WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY lang),
+counted AS (
+  SELECT h.lang, h.rule, r.cutoff, count(*) FILTER (WHERE rate > cutoff) AS k FROM held h JOIN rules r USING (rule) GROUP BY ALL),
+chances AS (
+  SELECT lang, j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0025) + (n - j) * ln(1 - 0.0025)))
+           OVER (PARTITION BY lang ORDER BY j) AS p
+  FROM (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.0025) AS BIGINT) + 1)) AS j FROM strata)),
+allowed AS (SELECT lang, max(j) AS most FROM chances
+            WHERE p <= 0.05 / ((SELECT count(*) FROM rules) * (SELECT count(*) FROM strata)) GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.rule, min(c.cutoff) AS cutoff FROM counted c JOIN allowed a ON c.lang IS NOT DISTINCT FROM a.lang
+  WHERE c.k <= a.most GROUP BY ALL),
+bad AS (
+  SELECT DISTINCT rid FROM (SELECT rid, lang, {names} FROM rates) UNPIVOT (rate FOR rule IN ({names})) x
+  JOIN cuts c ON x.rule = c.rule AND x.lang IS NOT DISTINCT FROM c.lang WHERE rate > cutoff),
+judged AS (SELECT r.*, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM rates r)"""
+
+
+def measures_sql(table: str) -> str:
+    """Common table expressions up to ``judged``: the rows of ``table`` with the quality measures and ``kept``."""
+    return _MEASURES.format(
+        table=table, names=", ".join(_RULES), rates=", ".join(f"coalesce({e}, 0.0) AS {n}" for n, (e, _) in _RULES.items()),
+        cutoffs=", ".join(f"('{n}', {c}::DOUBLE)" for n, (_, cs) in _RULES.items() for c in cs))
+
+
+ORACLE["op7_quality"] = f"""
+WITH {measures_sql("documents")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
+"""
+
+# The lines of a table that an earlier one matches, by exact document counts of the words.
+_LINES = r"""
+texts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table}),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts),
+sets AS (
+  SELECT doc_id, i, row_number() OVER (ORDER BY doc_id, i) AS id, list_distinct(regexp_extract_all(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+words AS (SELECT id, len(t) AS n, unnest(t) AS w FROM sets),
+ranked AS (
+  SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r
+  FROM words JOIN (SELECT w, count(*) AS c FROM words GROUP BY w) USING (w)),
+rare AS (SELECT id, n, w FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+pairs AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM rare a JOIN rare b ON a.w = b.w AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone AS (
+  SELECT DISTINCT y.doc_id, y.i FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b
+  WHERE 5 * len(list_intersect(x.t, y.t)) >= 4 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))),
+removed AS (SELECT doc_id, list(i) AS out, count(*) AS n FROM gone GROUP BY doc_id),
+cleaned AS (
+  SELECT t.doc_id, t.text AS before, CASE WHEN t.text IS NOT NULL THEN array_to_string(
+           list_filter(lines, lambda x, k: NOT list_contains(coalesce(out, []), k - 1)), chr(10)) END AS text,
+         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS INTEGER) AS n_lines,
+         CAST(coalesce(n, 0) AS INTEGER) AS n_removed
+  FROM texts t LEFT JOIN removed r ON t.doc_id = r.doc_id)"""
+
+
+def lines_sql(table: str) -> str:
+    """Common table expressions up to ``cleaned``: each document's text without the lines that repeat."""
+    return _LINES.format(table=table)
+
+
+ORACLE["op9_line_dedup"] = f"""
+WITH {lines_sql("documents")}
+SELECT doc_id, n_lines, n_removed, md5(text) AS text_md5 FROM cleaned
+"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siloml.llm import embeddings, mixing, packing, quality, secrets, sharding, simhash, tokenfile, urlrules
+from siloml.llm import (embeddings, linededup, mixing, packing, quality, secrets, sharding, simhash, tokenfile,
+                        urlrules)
 from siloml.llm.common import read
 
 # The rules and weights that the queries apply.
@@ -67,6 +68,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.new_path(spark)
     tokenfile.write_token_files(read(spark, sf_dir, "documents"), path)
@@ -75,4 +81,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_rules, op3_mixing, op4_embeddings, op5_packing, op6_secrets,
-                                   op7_quality, op8_sharding, op10_token_files)}
+                                   op7_quality, op8_sharding, op9_line_dedup, op10_token_files)}

@@ -38,15 +38,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (a signed 64-bit integer) of every whole text."""
+    """doc_id, the text's hash ``h`` and ``fp`` (a signed 64-bit integer) of every whole text."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.asarray([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, fp bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {key}, h bigint, fp bigint")
 
 
 def choose_split(items: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
@@ -175,7 +175,7 @@ def links(fps: DataFrame, radius: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """Every document (doc_id, text) with its fingerprint ``fp``, ``root`` (its component) and ``component_id``.
+    """Every document's doc_id, text hash ``h``, fingerprint ``fp``, ``root`` (its component) and ``component_id``.
 
     Documents are linked if their fingerprints differ in ``radius`` or fewer bits; component_id is the smallest
     doc_id that links reach (null if all its ids are null). Equal fingerprints are one node, so copies cost a
@@ -191,4 +191,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     nodes = stage(join_measured(groups, members, "fp").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(
             F.col("component")).alias("component_id")))
-    return join_measured(found, nodes, "fp", "inner").select("doc_id", "fp", "root", "component_id")
+    return join_measured(found, nodes, "fp", "inner").select("doc_id", "h", "fp", "root", "component_id")
