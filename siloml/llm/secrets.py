@@ -36,7 +36,7 @@ ALLOWED = (
     re.compile(r"[A-Za-z]+([-_/]?[A-Za-z]+)*[-_/=]?[0-9]{1,4}"),  # a name with a number
 )
 KINDS_ALL = (*KINDS, "entropy")
-_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

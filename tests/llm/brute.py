@@ -1,6 +1,7 @@
 """Plain Python versions of the queries' contracts, over rows as dicts."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -146,3 +147,64 @@ def quality(text):
         earlier.add(x)
     rep = len(cover)
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, rep, n < 50 or 100 * rep > 50 * n)
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def dedup_lines(docs):
+    """{(doc_id, text): (text left, lines with a word, lines removed)}; earlier is by doc_id, text hash, line."""
+    rows = sorted({(d["doc_id"], d["text"]) for d in docs if d["text"] is not None}, key=lambda r: (
+        r[0] is not None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64))))
+    seen, found, out = [], {}, {(d["doc_id"], None): (None, 0, 0) for d in docs if d["text"] is None}
+    for doc, text in rows:
+        left, n, gone = [], 0, 0
+        for line in text.split("\n"):
+            t = frozenset(WORDS.findall(lower(line)))
+            if not t:
+                left.append(line)
+                continue
+            n += 1
+            near = {k for w in t for k in found.get(w, ())}
+            if any(5 * len(t & seen[k]) >= 4 * len(t | seen[k]) for k in near):
+                gone += 1
+            else:
+                left.append(line)
+            for w in t:
+                found.setdefault(w, set()).add(len(seen))
+            seen.append(t)
+        out[doc, text] = ("\n".join(left), n, gone)
+    return out
+
+
+def mix(docs, weights=(3, 1, 2), share=1.5, epochs=2):
+    """[(doc_id, size, taken)] of rows (doc_id, source, size)."""
+    sizes = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    target, queue = targets(sizes, weights, share, epochs), []
+    order = sorted(docs, key=lambda d: (d[1] is None, (d[1] or "").encode(), hashlib.md5(
+        ("mix" if d[0] is None else f"mix|{d[0]}").encode()).hexdigest(), d[0] is not None, d[0] or 0, d[2]))
+    upto = Counter()
+    for k, (_, s, n) in enumerate(order):
+        upto[s] += n
+        for e in range(epochs):
+            queue.append(((upto[s] + e * sizes[s]) / target[s] if target[s] > 0 else 0.0, k, e))
+    left, taken = int(share * sum(sizes.values())), Counter()
+    for _, k, _ in sorted(queue):
+        took = min(order[k][2], left)
+        taken[k] += took
+        left -= took
+    return [(d[0], d[2], taken[k]) for k, d in enumerate(order)]
+
+
+def most_allowed(n, risk, level):
+    total, k = 0.0, -1
+    for j in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(risk)
+                          + (n - j) * math.log1p(-risk))
+        if total > level:
+            return k
+        k = j
+    return k

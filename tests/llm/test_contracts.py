@@ -187,3 +187,17 @@ def test_op10(spark, at):
     same([(i, n, c) for i, _, n, c in found], [(i, n, c) for i, _, n, c in want])
     found.sort(key=lambda f: (f[1], f[2]))
     assert [f[1] for f in found] == [sum(f[2] for f in found[:i]) for i in range(len(found))]
+
+
+def test_op9(spark, at):
+    import hashlib
+
+    found = [(r.doc_id, r.n_lines, r.n_removed, r.text_md5) for r in got(spark, "op9_line_dedup", at)]
+    docs = rows_of(at, "documents")
+    cleaned = brute.dedup_lines(docs)
+    want = []
+    for d in docs:
+        text, n, gone = cleaned[d["doc_id"], d["text"]]
+        empty = d["text"] is None
+        want.append((d["doc_id"], n, gone, None if empty else hashlib.md5(text.encode()).hexdigest()))
+    same(found, want)
