@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siloml.functions.staging import stage
 from siloml.llm.common import join_measured
-from siloml.llm.tokens import default_path, encoder
+from siloml.llm.tokens import default_path, encoded_rows, encoder
 
 CAPACITY = 4096
 SLACK = 32  # a piece may leave 1 / SLACK of its class's slot unused; a longer document is cut
@@ -44,8 +44,7 @@ def _pieces(path: str, capacity: int):
         for b in batches:
             cols = {n: [] for n in ("doc", "start", "length", "doc_tokens", "class", "rank", "ids")}
             rows = []
-            for i, text in enumerate(b.column(1)):
-                ids = enc.encode([text.as_py()])[0]
+            for i, (_, ids) in enumerate(encoded_rows(enc, [b])):
                 n, start = len(ids), 0
                 if n not in cuts:
                     if len(cuts) > 100_000:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siloml.functions.staging import stage, staging_dir
 from siloml.llm.common import join_measured, parts
-from siloml.llm.tokens import default_path, encoder
+from siloml.llm.tokens import default_path, encoded_rows, encoder
 
 # The file format.
 MAGIC = b"WVM1"
@@ -38,8 +38,7 @@ def encode_file(ids: np.ndarray, lengths: np.ndarray, planes: int) -> bytes:
     now = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     zeros, ones, sizes, body = [], [], [], []
     for k in range(planes - 1, -1, -1):
-        bits = (now >> now.dtype.type(k)) & now.dtype.type(1)
-        mask = bits.view(np.uint16 if planes <= 16 else np.uint32) != 0
+        mask = (now & now.dtype.type(1 << k)) != 0
         packed = np.packbits(mask, bitorder="little")
         ends = np.cumsum([np.count_nonzero(mask[i:i + BLOCK_BITS]) for i in range(0, len(mask), BLOCK_BITS)] or [0])
         zeros.append(len(now) - int(ends[-1]))
@@ -50,7 +49,7 @@ def encode_file(ids: np.ndarray, lengths: np.ndarray, planes: int) -> bytes:
             body.append(short if len(short) < len(raw) else raw)
             sizes.append(len(body[-1]))
         if k:
-            now = np.concatenate((now[~mask], now[mask]))
+            now = np.concatenate((now.compress(~mask), now.compress(mask)))  # faster than indexing by a mask
     return b"".join((
         HEAD.pack(MAGIC, planes, len(lengths), len(ids)), np.asarray(lengths, "<i8").tobytes(),
         np.asarray(zeros, "<i8").tobytes(), np.concatenate(ones).astype("<i8").tobytes() if ones else b"",
@@ -155,8 +154,8 @@ class TokenFile:
             raw = b"".join(self._raw(k, b) for b in range(self.blocks))
             mask = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[:self.n].view(bool)
             z, before = int(self.zeros[k]), np.empty(self.n, kind)
-            before[~mask] = now[:z]
-            before[mask] = now[z:] | kind(1 << (self.planes - 1 - k))
+            before[np.flatnonzero(~mask)] = now[:z]
+            before[np.flatnonzero(mask)] = now[z:] | kind(1 << (self.planes - 1 - k))
             now = before
         return now
 
@@ -190,14 +189,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             seq, keys, ids, size = seq + 1, [], [], 0
             return row
 
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                found = enc.encode([text.as_py()])[0]
-                keys.append(key)
-                ids.append(found)
-                size += len(found)
-                if size >= shard_ids:
-                    yield closed()
+        for key, found in encoded_rows(enc, batches):
+            keys.append(key)
+            ids.append(found)
+            size += len(found)
+            if size >= shard_ids:
+                yield closed()
         if keys:
             yield closed()
 
