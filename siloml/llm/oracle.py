@@ -143,7 +143,7 @@ texts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS line
 lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts),
 sets AS (
   SELECT doc_id, i, row_number() OVER (ORDER BY doc_id, i) AS id, list_distinct(regexp_extract_all(
-           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t
+           lower(line), '[^\x20\x09-\x0D]+')) AS t
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 words AS (SELECT id, len(t) AS n, unnest(t) AS w FROM sets),
 ranked AS (

@@ -161,7 +161,7 @@ def dedup_lines(docs):
     for doc, text in rows:
         left, n, gone = [], 0, 0
         for line in text.split("\n"):
-            t = frozenset(WORDS.findall(lower(line)))
+            t = frozenset(WORDS.findall(line.lower()))
             if not t:
                 left.append(line)
                 continue
