@@ -40,11 +40,6 @@ def attach(
     return salted.join(salted_side, [*on, "_salt"], how).drop("_salt")
 
 
-def require_bound(rows: int, row_bytes: int, what: str, limit: int = 256 * 1024 * 1024) -> None:
-    if rows * row_bytes > limit:
-        raise ValueError(f"{what}: {rows} rows of {row_bytes} bytes exceed the {limit} byte bound")
-
-
 HOT_ROWS = 1_000_000  # rows of one key from which the key is joined on its own
 
 

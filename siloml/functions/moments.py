@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from siloml.spec import CLIENT, FEATURES
+from siloml.spec import CLIENT, FEATURES, silo_type
 
 SALTS = 32
 FLUSH_VALUES = 16_000_000  # doubles held by one task before it emits its partial sums
@@ -55,10 +55,12 @@ def silo_sums(
             totals.clear()
             return pa.RecordBatch.from_pylist(rows, schema)
 
-        schema = pa.schema([(CLIENT, pa.int32()), ("salt", pa.int32()), ("part", pa.list_(pa.float64()))])
+        schema = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            kind = batch.schema.field(CLIENT).type
+            schema = pa.schema([(CLIENT, kind), ("salt", pa.int32()), ("part", pa.list_(pa.float64()))])
             x = matrix(batch.column(batch.schema.get_field_index(features)))
             cols = {}
             for name in extra:
@@ -73,7 +75,7 @@ def silo_sums(
         if totals:
             yield flush()
 
-    parts = df.select(CLIENT, features, *extra).mapInArrow(partial, f"{CLIENT} int, salt int, part array<double>")
+    parts = df.select(CLIENT, features, *extra).mapInArrow(partial, f"{CLIENT} {silo_type(df)}, salt int, part array<double>")
     salted = parts.withColumn("part", array_to_vector("part")).groupBy(CLIENT, "salt").agg(
         Summarizer.sum(F.col("part")).alias("part")
     )

@@ -35,15 +35,14 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
-SETTLE_ROWS = 2_000_000
+SETTLE_ROWS = 10_000
 
 
-def settle(df: DataFrame, rows: int, schema: str | None = None) -> DataFrame:
-    """End the lineage of a silo-level result that has at most ``rows`` rows by its definition.
+def settle(df: DataFrame) -> DataFrame:
+    """End the lineage of a silo-level result.
 
-    Small results become a local relation (later plans stay small and are planned fast), larger ones a
-    staged table.
+    A result of at most ``SETTLE_ROWS`` rows, as found, becomes a local relation (later plans stay small and
+    are planned fast), a larger one a staged table.
     """
-    if rows > SETTLE_ROWS:
-        return stage(df)
-    return df.sparkSession.createDataFrame(df.collect(), schema or df.schema)
+    found = df.limit(SETTLE_ROWS + 1).collect()
+    return stage(df) if len(found) > SETTLE_ROWS else df.sparkSession.createDataFrame(found, df.schema)

@@ -8,10 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from siloml.functions.staging import stage
 from siloml.functions.vectors import assemble, quoted
 from siloml.spec import CONTRACT, FEATURES, LABEL, ROW_ID, TRAIN
 
-MAX_LEVELS = 2000
+MAX_LEVELS = 2000  # dense columns that one categorical column may make by default
 
 # Columns of the credit-default table.
 CREDIT_RENAMES = {"default.payment.next.month": "def_pay", "PAY_0": "PAY_1"}
@@ -48,17 +49,20 @@ def require_no_nulls(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"null values in feature columns: {bad}")
 
 
-def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
     """Sorted level set of each categorical column over the whole table, found in one pass.
 
-    The distinct (column, level) pairs are combined map-side; only their bounded list reaches the driver.
+    The distinct (column, level) pairs are combined map-side; only their list reaches the driver, as every
+    level becomes a column. A column with more than ``max_levels`` levels is refused.
     """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("level")) for c in columns
     ])).alias("p")
-    found = df.select(pairs).select("p.*").distinct().limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {list(columns)}: not a categorical column")
+    distinct = stage(df.select(pairs).select("p.*").distinct())
+    wide = [r["column"] for r in distinct.groupBy("column").count().where(F.col("count") > max_levels).collect()]
+    if wide:
+        raise ValueError(f"more than {max_levels} levels in {sorted(wide)}: not categorical, or raise max_levels")
+    found = distinct.collect()
     if any(r["level"] is None for r in found):
         raise ValueError(f"null level in {list(columns)}")
     levels: dict[str, list] = {}
@@ -69,9 +73,10 @@ def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     return levels
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None,
+            max_levels: int = MAX_LEVELS) -> DataFrame:
     """Dense 0/1 columns ``<column>_<level>`` for every level, after the untouched columns."""
-    levels = levels or category_levels(df, columns)
+    levels = levels or category_levels(df, columns, max_levels)
     kept = [quoted(c) for c in df.columns if c not in columns]
     encoded = [
         F.when(quoted(c).cast("string") == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}")
@@ -123,12 +128,18 @@ def select_kbest(df: DataFrame, k: int, features: Sequence[str] | None = None) -
         F.count("*").alias("n"),
         F.array(*[F.avg(quoted(c)) for c in features]).alias("mean"),
         F.array(*[F.var_pop(quoted(c)) for c in features]).alias("var"),
-    ).limit(MAX_LEVELS).collect()
-    total = sum(r["n"] for r in stats)
+    )
+    # One row per (label, feature); labels may be many, features are the table's columns.
+    long = stage(stats.select("n", F.posexplode(F.arrays_zip("mean", "var")).alias("pos", "s")).select(
+        "n", "pos", F.col("s.mean").alias("mean"), F.col("s.var").alias("var")))
+    grand = long.groupBy("pos").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    parts = long.join(F.broadcast(grand), "pos").groupBy("pos").agg(
+        F.sum("n").alias("total"), F.count("*").alias("labels"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"),
+        F.sum(F.col("n") * F.col("var")).alias("within"))
     scores = []
-    for i, name in enumerate(features):
-        grand = sum(r["n"] * r["mean"][i] for r in stats) / total
-        between = sum(r["n"] * (r["mean"][i] - grand) ** 2 for r in stats) / max(len(stats) - 1, 1)
-        within = sum(r["n"] * r["var"][i] for r in stats) / max(total - len(stats), 1)
-        scores.append((-(between / within if within > 0 else 0.0), i, name))
+    for r in parts.collect():
+        within = r["within"] / max(r["total"] - r["labels"], 1)
+        score = r["between"] / max(r["labels"] - 1, 1) / within if within > 0 else 0.0
+        scores.append((-score, r["pos"], features[r["pos"]]))
     return [name for _, _, name in sorted(scores)[:k]]

@@ -79,7 +79,7 @@ def hash_cuts(
         .groupBy(*groups, "_bucket")
         .agg(F.collect_list(F.col("pos") - F.col("_before") + 1).alias("_offsets"))
     )
-    holders = settle(holders, n_groups * n_cuts)
+    holders = settle(holders)
     candidates = attach(keyed, holders, [*groups, "_bucket"], n_groups * n_cuts, 128, salt_on="_key")
     within = Window.partitionBy(*groups, "_bucket").orderBy("_h", "_key")
     ranked = candidates.withColumn("_rn", F.row_number().over(within).cast("bigint"))
@@ -91,7 +91,7 @@ def hash_cuts(
             F.array_repeat(F.struct("_h", "_key"), F.col("_times"))
         ))).alias("_cuts")
     )
-    return settle(cuts, n_groups * n_cuts)
+    return settle(cuts)
 
 
 def interval_of(seed: int | str, cuts: str = "_cuts", key: str = ROW_ID, max_cuts: int | None = None) -> Column:

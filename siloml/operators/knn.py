@@ -23,7 +23,7 @@ from siloml.functions.hashing import hash32
 from siloml.functions.joins import attach, join_hot
 from siloml.functions.moments import by_silo, matrix
 from siloml.functions.staging import stage
-from siloml.spec import CLIENT, FEATURES, ROW_ID
+from siloml.spec import CLIENT, FEATURES, ROW_ID, silo_type
 
 LEAF_ROWS = 1000  # aimed points per leaf
 SAMPLE_ROWS = 500_000  # over all groups, for the trees
@@ -113,13 +113,13 @@ def _search(k: int):
     return kernel
 
 
-def _kernel_schema() -> str:
-    return f"{CLIENT} int, q bigint, nbr_ids array<bigint>, d2 double"
+def _kernel_schema(kind: str) -> str:
+    return f"{CLIENT} {kind}, q bigint, nbr_ids array<bigint>, d2 double"
 
 
 def _place(points: DataFrame, trees: dict):
     """(points with their leaf, chunks per leaf, broadcast leaf boxes)."""
-    spark = points.sparkSession
+    spark, kind = points.sparkSession, silo_type(points)
     tree_var = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _place(points: DataFrame, trees: dict):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
     points = stage(points.select(CLIENT, "point", "ids", "vec").mapInArrow(
-        place, f"{CLIENT} int, point bigint, ids array<bigint>, vec array<double>, leaf int"
+        place, f"{CLIENT} {kind}, point bigint, ids array<bigint>, vec array<double>, leaf int"
     ))
 
     corner = points.select(CLIENT, "leaf", F.posexplode("vec").alias("pos", "x"))
@@ -145,7 +145,7 @@ def _place(points: DataFrame, trees: dict):
     )
     boxes_df = stage(boxes_df)
     boxes: dict[int, tuple] = {}
-    treed = spark.createDataFrame([(c,) for c in trees], f"{CLIENT} int")
+    treed = spark.createDataFrame([(c,) for c in trees], f"{CLIENT} {kind}")
     for r in boxes_df.join(F.broadcast(treed), CLIENT).collect():  # at most LEAVES rows
         entry = boxes.setdefault(r[CLIENT], ([], [], []))
         entry[0].append(r["leaf"])
@@ -174,7 +174,7 @@ def _visit(visits: DataFrame, points: DataFrame, chunk_df: DataFrame, n_leaves:
     right_keys = [F.col(c).alias(f"p_{c}") for c in keys]
     left = left.select(*left_keys, "q", "q_vec").groupBy(*[f"v_{c}" for c in keys])
     right = right.select(*right_keys, "point", "ids", "vec").groupBy(*[f"p_{c}" for c in keys])
-    return left.cogroup(right).applyInPandas(_search(k), _kernel_schema())
+    return left.cogroup(right).applyInPandas(_search(k), _kernel_schema(silo_type(points)))
 
 
 def _reach(asked: DataFrame, home: DataFrame, box_var, k: int) -> DataFrame:
@@ -189,12 +189,13 @@ def _reach(asked: DataFrame, home: DataFrame, box_var, k: int) -> DataFrame:
     bounded = asked.join(bound, [CLIENT, "q"], "left")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            (CLIENT, pa.int32()), ("q", pa.int64()), ("q_vec", pa.list_(pa.float64())), ("leaf", pa.int32()),
-        ])
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            schema = pa.schema([
+                (CLIENT, batch.schema.field(CLIENT).type), ("q", pa.int64()), ("q_vec", pa.list_(pa.float64())),
+                ("leaf", pa.int32()),
+            ])
             x = matrix(batch.column("q_vec"))
             own = batch.column("leaf").to_numpy(zero_copy_only=False)
             limit = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
@@ -220,7 +221,7 @@ def _reach(asked: DataFrame, home: DataFrame, box_var, k: int) -> DataFrame:
                         ], schema=schema)
 
     return bounded.select(CLIENT, "q", "q_vec", "leaf", "bound").mapInArrow(
-        reach, f"{CLIENT} int, q bigint, q_vec array<double>, leaf int"
+        reach, f"{CLIENT} {silo_type(asked)}, q bigint, q_vec array<double>, leaf int"
     )
 
 
@@ -247,7 +248,7 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
     if large:
         total = sum(large.values())
         share = min(1.0, SAMPLE_ROWS / total) * 2.0 ** 32
-        wanted = spark.createDataFrame([(c,) for c in large], f"{CLIENT} int")
+        wanted = spark.createDataFrame([(c,) for c in large], f"{CLIENT} {silo_type(df)}")
         sampled = points.join(F.broadcast(wanted), CLIENT).where(hash32(17, "point") < F.lit(share))
         vectors: dict[int, list] = {}
         for row in sampled.select(CLIENT, "vec").collect():  # about SAMPLE_ROWS rows at most
@@ -260,7 +261,7 @@ def knn(df: DataFrame, k: int, n_groups: int, leaf_rows: int = LEAF_ROWS) -> Dat
     else:
         points, box_var = points.withColumn("leaf", F.lit(0)), None
         chunk_df = spark.createDataFrame(
-            [(c, 0, -(-n // CHUNK_ROWS)) for c, n in sizes.items()], f"{CLIENT} int, leaf int, n_chunks int")
+            [(c, 0, -(-n // CHUNK_ROWS)) for c, n in sizes.items()], f"{CLIENT} {silo_type(df)}, leaf int, n_chunks int")
     n_leaves = len(sizes) + LEAVES
     asked = points.select(CLIENT, F.col("point").alias("q"), F.col("vec").alias("q_vec"), "leaf")
     home = _visit(asked, points, chunk_df, n_leaves, k)

@@ -121,7 +121,7 @@ def bag_trees(
     weight = F.col("_w") if scale_first else F.when(F.col("_is_first"), 1.0).otherwise(F.col("_w"))
     rest = [c for c in trees.columns if c not in ("round", CLIENT, "tree_id", "weight")]
     return placed.join(offsets, ["round", CLIENT]).select(
-        (F.col("_offset") + F.col("_rn") - 1).cast("int").alias("tree_id"), "round", CLIENT,
+        (F.col("_offset") + F.col("_rn") - 1).alias("tree_id"), "round", CLIENT,
         weight.alias("weight"), *rest,
     )
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siloml.functions.staging import stage
 from siloml.spec import CLIENT, LABEL
 
 EPS = 2.220446049250313e-16
-SCORE_BUCKETS = 512
 
 
 def confusion(df: DataFrame, keys: Sequence[str] = (CLIENT,), label: str = LABEL, pred: str = "pred") -> DataFrame:
@@ -100,17 +98,15 @@ def eval_set_metric(df: DataFrame, keys: Sequence[str] = (CLIENT,), label: str =
 def auc(df: DataFrame, keys: Sequence[str] = (CLIENT,), label: str = LABEL, score: str = "prob") -> DataFrame:
     """Exact area under the ROC curve by rank sums, ties counted half.
 
-    Rows are first collapsed to counts per distinct score. Scores are then cut at pooled quantiles of the
-    distinct values; bucket totals give each bucket's offset, and only a bucket is ordered in one task.
+    Rows are first collapsed to counts per distinct score. These are dealt into sorted ranges of (silo, score),
+    as many as spark.sql.shuffle.partitions says, so a range holds about as many scores as any other, however
+    narrow a silo's scores are; range totals give each range's offset, and only a range is ordered in one task.
     """
     keys = list(keys)
     counts = stage(df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("neg")
     ))
-    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    inner = sorted(set(counts.approxQuantile("_s", steps, 1 / (4 * SCORE_BUCKETS))))
-    splits = [float("-inf"), *inner, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(counts)
+    bucketed = stage(counts.repartitionByRange(*keys, "_s").withColumn("_b", F.spark_partition_id()))
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("neg").alias("_neg"))
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = totals.select(*keys, "_b", (F.sum("_neg").over(order) - F.col("_neg")).alias("_below"))

@@ -17,7 +17,7 @@ def init_zero(silos: DataFrame, width: int) -> DataFrame:
     """Round-0 linear parameters: ``width`` zero weights and a zero intercept for every silo in the frame."""
     layers = F.array(F.array_repeat(F.lit(0.0), width), F.array(F.lit(0.0)))
     return silos.select(CLIENT).distinct().select(CLIENT, F.posexplode(layers).alias("layer", "vector")).select(
-        F.lit(0).alias("round"), F.col(CLIENT).cast("int").alias(CLIENT), "layer",
+        F.lit(0).alias("round"), CLIENT, "layer",
         F.posexplode("vector").alias("pos", "value"),
     )
 
@@ -50,10 +50,10 @@ def shape_params(flat: DataFrame, inputs: int, hidden: int, outputs: int = 1) ->
     return flat.select("round", CLIENT, layer.alias("layer"), (F.col("pos") - start).alias("pos"), "value")
 
 
-def linear_table(spark: SparkSession, weights: Mapping[int, np.ndarray], round_no: int) -> DataFrame:
-    """{client: [w..., b]} -> long rows."""
+def linear_table(spark: SparkSession, weights: Mapping[int, np.ndarray], round_no: int, kind: str = "int") -> DataFrame:
+    """{client: [w..., b]} -> long rows; ``kind`` is the type of the silo ids."""
     rows = [
         (round_no, int(c), WEIGHTS if i < len(w) - 1 else INTERCEPT, i if i < len(w) - 1 else 0, float(v))
         for c, w in weights.items() for i, v in enumerate(w)
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))

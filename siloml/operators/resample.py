@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from siloml.functions import joins
 from siloml.functions.hashing import hash32
-from siloml.functions.joins import attach, group_count, require_bound
+from siloml.functions.joins import attach, group_count
 from siloml.functions.staging import stage
 from siloml.operators.hashrank import hash_cuts, hash_rank, interval_of
 from siloml.operators.knn import knn
-from siloml.spec import CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TRAIN
+from siloml.spec import CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TRAIN, silo_type
 
 DRAW_CHUNK = 65_536
 
@@ -18,7 +18,6 @@ DRAW_CHUNK = 65_536
 def train_class_counts(df: DataFrame) -> dict[int, dict[int, int]]:
     """{client: {label: training rows}}; silos x labels rows."""
     rows = df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT, LABEL).agg(F.count("*").alias("n")).collect()
-    require_bound(len(rows), 64, "silo x label counts")
     out: dict[int, dict[int, int]] = {}
     for r in rows:
         out.setdefault(r[CLIENT], {})[r[LABEL]] = r["n"]
@@ -44,13 +43,13 @@ def undersample(df: DataFrame, seed: int, n_groups: int | None = None) -> DataFr
     return placed.where(keep).select(*[f"`{c}`" for c in df.columns])
 
 
-def synthetic_draws(spark, needs: list[tuple[int, int, int, int]], seed: int, k: int) -> DataFrame:
+def synthetic_draws(spark, needs: list[tuple[int, int, int, int]], seed: int, k: int, kind: str = "int") -> DataFrame:
     """One row per synthetic row: (client_id, label, j, base, nbr_rank, gap).
 
     ``needs``: (client, label, minority rows m, rows to make). Draws are made in chunks of fixed size so
     that one silo's draws are spread over tasks.
     """
-    schema = f"{CLIENT} int, {LABEL} int, m bigint, need bigint"
+    schema = f"{CLIENT} {kind}, {LABEL} int, m bigint, need bigint"
     table = spark.createDataFrame(needs, schema).where("need > 0")
     starts = table.withColumn("start", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("need") - 1, F.lit(DRAW_CHUNK).cast("bigint"))))
@@ -88,9 +87,9 @@ def smote(
     if not short:
         return real
     labels = sorted({l for _, l in short})
-    wanted = spark.createDataFrame(short, f"{CLIENT} int, {LABEL} int")
+    wanted = spark.createDataFrame(short, f"{CLIENT} {silo_type(df)}, {LABEL} int")
     minority = stage(
-        df.where(F.col(SPLIT) == TRAIN).join(F.broadcast(wanted), [CLIENT, LABEL]).select(*[
+        df.where(F.col(SPLIT) == TRAIN).join(wanted, [CLIENT, LABEL]).select(*[
             CLIENT, LABEL, ROW_ID, FEATURES
         ])
     )
@@ -99,7 +98,7 @@ def smote(
         part = minority.where(F.col(LABEL) == label).drop(LABEL)
         ranked = hash_rank(part, [CLIENT], f"{seed}-smote", out="base", n_groups=len(counts))
         near = knn(part, k, len(counts), **({"leaf_rows": leaf_rows} if leaf_rows else {}))
-        draws = synthetic_draws(spark, [n for n in needs if n[1] == label], seed, k)
+        draws = synthetic_draws(spark, [n for n in needs if n[1] == label], seed, k, silo_type(df))
         base = ranked.select(CLIENT, "base", ROW_ID, F.col(FEATURES).alias("_x"))
         other = part.select(CLIENT, F.col(ROW_ID).alias("nbr_id"), F.col(FEATURES).alias("_y"))
         n_draws = sum(n[3] for n in needs if n[1] == label)

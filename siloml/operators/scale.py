@@ -12,7 +12,7 @@ from siloml.functions.joins import attach, group_count
 from siloml.functions.moments import silo_sums
 from siloml.functions.vectors import UNROLL, dot, quoted
 from siloml.operators.frame import feature_columns
-from siloml.spec import CLIENT, CONTRACT, FEATURES, SPLIT, TRAIN
+from siloml.spec import CLIENT, CONTRACT, FEATURES, SPLIT, TRAIN, silo_type
 
 EPS = 2.220446049250313e-16
 
@@ -110,7 +110,7 @@ def pca_loadings(cov: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame(out, columns=[CLIENT, "component", "variance", "mean", "loading"])
 
     return cov.select(CLIENT, "mean", "cov").mapInPandas(
-        solve, f"{CLIENT} int, component int, variance double, mean array<double>, loading array<double>"
+        solve, f"{CLIENT} {silo_type(cov)}, component int, variance double, mean array<double>, loading array<double>"
     )
 
 

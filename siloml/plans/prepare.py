@@ -12,7 +12,7 @@ from siloml.operators.frame import one_hot, feature_columns, select_columns, spl
 from siloml.operators.resample import smote, train_class_counts, undersample
 from siloml.operators.scale import pca, standard_scale
 from siloml.operators.silos import dirichlet_silos, natural_silos, split_70_20_10
-from siloml.spec import CLIENT, CONTRACT, FEATURES, PrepareSpec
+from siloml.spec import CLIENT, CONTRACT, FEATURES, LABEL, PrepareSpec
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,20 @@ def transform_chain(df: DataFrame, spec: PrepareSpec, n_silos: int) -> Prepared:
         vectors = stage(vectors)
         vectors = pca(vectors, spec.pca, len(names), n_silos)
         names = [str(i) for i in range(spec.pca)]
-    return Prepared(stage(vectors.select(*CONTRACT, FEATURES)), tuple(names), n_silos)
+    prepared = stage(vectors.select(*CONTRACT, FEATURES))
+    require_numbers(prepared, names)
+    return Prepared(prepared, tuple(names), n_silos)
+
+
+def require_numbers(df: DataFrame, names) -> None:
+    """Refuse null and non-finite features: one silent null would turn a silo's model, then all, into NaN."""
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    bad = df.where(F.exists(FEATURES, odd) | F.col(LABEL).isNull() | F.col(CLIENT).isNull())
+    places = bad.select(F.explode(F.filter(F.transform(FEATURES, lambda v, i: F.when(odd(v), i)), lambda i: i.isNotNull())).alias("i"))
+    first = bad.limit(1).collect()
+    if first:
+        found = sorted({names[r["i"]] for r in places.distinct().collect()})
+        raise ValueError(f"null or non-finite values in {found or 'the label or silo columns'}")
 
 
 def prepare(table: DataFrame, spec: PrepareSpec) -> Prepared:

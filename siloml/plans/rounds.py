@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 from siloml.functions.staging import settle, stage
 from siloml.operators import merge as M
 from siloml.operators.metrics import accuracy, classification_report, log_loss
-from siloml.operators.params import SCHEMA, rebuild_params
-from siloml.plans.prepare import Prepared
-from siloml.spec import CLIENT, LABEL, ROW_ID, SPLIT, TEST, TRAIN, VAL, RoundSpec
+from siloml.operators.params import rebuild_params
+from siloml.plans.prepare import Prepared, transform_chain
+from siloml.spec import CLIENT, SPLIT, TEST, TRAIN, VAL, PrepareSpec, RoundSpec
 from siloml.training import boost as B
 from siloml.training import linear as L
 from siloml.training import networks as N
 
 METRIC_SCHEMA = f"round int, {CLIENT} int, class string, metric string, value double"
 FACT_SCHEMA = f"round int, {CLIENT} int, n_examples bigint, f1 double, status string"
-METRICS_PER_SILO = 32  # rows of one silo's report on two classes, with room for losses
 
 
 def local_report(scored: DataFrame, split: str, round_no: int, extra: str | None = None) -> DataFrame:
@@ -79,6 +78,20 @@ class LinearTrainer(Trainer):
         return L.predict_linear(self.prepared.df, params, self.prepared.width, self.prepared.n_silos, shared)
 
 
+class GradientTrainer(Trainer):
+    """One gradient step a fit (``steps`` of them if asked), from the shared model or from zero."""
+
+    def fit(self, round_no, shared, steps):
+        df, width, n = self.prepared.df, self.prepared.width, self.prepared.n_silos
+        params = settle(L.gradient_step(df, width, self.spec.lr, round_no, shared, True, n))
+        for _ in range((steps or 1) - 1):
+            params = settle(L.gradient_step(df, width, self.spec.lr, round_no, params, False, n))
+        return params
+
+    def score(self, params, shared):
+        return L.predict_linear(self.prepared.df, params, self.prepared.width, self.prepared.n_silos, shared)
+
+
 class PerSiloTrainer(Trainer):
     """Families fitted silo by silo: the rows are staged by silo, so that a fit reads its own directory."""
 
@@ -122,7 +135,7 @@ class ForestTrainer(PerSiloTrainer):
 class BoostTrainer(Trainer):
     def __init__(self, prepared, spec):
         super().__init__(prepared, spec)
-        self.edges = B.bin_edges(prepared.df, prepared.width, spec.max_bins, prepared.n_silos)
+        self.edges = stage(B.edge_table(prepared.df, prepared.width, spec.max_bins))
 
     def fit(self, round_no, shared, steps):
         return B.boost(self.prepared.df, self.spec, self.prepared.width, self.clients, shared, round_no, self.edges)
@@ -132,7 +145,7 @@ class BoostTrainer(Trainer):
 
 
 TRAINERS: dict[str, Callable[..., Trainer]] = {
-    "logistic": LinearTrainer, "squared_hinge": LinearTrainer, "mlp": MlpTrainer, "forest": ForestTrainer,
+    "logistic": LinearTrainer, "squared_hinge": LinearTrainer, "gradient": GradientTrainer, "mlp": MlpTrainer, "forest": ForestTrainer,
     "boost": BoostTrainer,
 }
 
@@ -144,9 +157,8 @@ def trainer(prepared: Prepared, spec) -> Trainer:
 def local_fit(t: Trainer, round_no: int = 1, shared: DataFrame | None = None, steps: int | None = None):
     """Fit all silos from the shared parameters: (parameters, fit metrics, facts)."""
     params = t.fit(round_no, shared, steps)
-    n = t.prepared.n_silos
-    metrics = settle(fit_metrics(t.score(params, False), round_no), METRICS_PER_SILO * n, METRIC_SCHEMA)
-    return params, metrics, settle(facts_of(t.prepared, metrics, round_no), n, FACT_SCHEMA)
+    metrics = settle(fit_metrics(t.score(params, False), round_no))
+    return params, metrics, settle(facts_of(t.prepared, metrics, round_no))
 
 
 def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str = TEST) -> DataFrame:
@@ -167,7 +179,7 @@ def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str
         name = "loss"
     added = loss.select(F.lit(round_no).alias("round"), CLIENT, F.lit("").alias("class"),
                         F.lit(name).alias("metric"), "value")
-    return settle(report.unionByName(added), METRICS_PER_SILO * t.prepared.n_silos, METRIC_SCHEMA)
+    return settle(report.unionByName(added))
 
 
 def evaluation_facts(prepared: Prepared, round_no: int) -> DataFrame:
@@ -186,7 +198,9 @@ def run_rounds(
     """Rounds of fit -> merge -> evaluate.
 
     Returns (shared parameters or trees, history (round, class, metric, value), fit metrics). Each round
-    hands over silo-level rows only, so the plan does not grow with the rounds.
+    hands over silo-level rows only, so the plan does not grow with the rounds. A round with too few usable
+    fits leaves the shared model as it is and has no evaluation; without any merged round there is no model,
+    which is an error.
     """
     t = trainer(prepared, model_spec)
     rule = M.choose_merge(model_spec.family, spec.merge)
@@ -198,14 +212,17 @@ def run_rounds(
     all_fit: DataFrame | None = None
     all_trees: DataFrame | None = None
     all_facts: DataFrame | None = None
-    tests = settle(evaluation_facts(prepared, 0), n_facts, FACT_SCHEMA)
+    tests = settle(evaluation_facts(prepared, 0))
     for r in range(1, spec.rounds + 1):
         if boosted or not spec.one_shot or fits is None:
             start = shared if boosted or not spec.one_shot else None
             steps = None if spec.one_shot or r == 1 else spec.local_steps
             fits = local_fit(t, r, start, steps)
         params, metrics, facts = (f.withColumn("round", F.lit(r)) for f in fits)
-        usable = M.usable_facts(facts, spec.min_clients, spec.accept_failures, n_rounds=1)
+        usable = settle(M.usable_facts(facts, spec.min_clients, spec.accept_failures, n_rounds=1))
+        all_fit = metrics if all_fit is None else all_fit.unionByName(metrics)
+        if usable.isEmpty():
+            continue
         if boosted:
             all_trees = params if all_trees is None else all_trees.unionByName(params)
             all_facts = usable if all_facts is None else all_facts.unionByName(usable)
@@ -216,32 +233,43 @@ def run_rounds(
             if not spec.weight_trees:  # the weight is kept in base_weight only; leaves score as grown
                 bagged = M.scale_base_weights(bagged).withColumn("weight", F.lit(1.0))
             bagged = bagged.select("round", CLIENT, "tree_id", "weight", "nodes")
-            shared = settle(bagged, model_spec.n_local_trees * n_facts * r, B.TREE_SCHEMA)
+            shared = settle(bagged)
         else:
             merged = rule(params, usable, n_facts=n_facts)
             merged = merged.select(F.lit(r).alias("round"), F.lit(-1).alias(CLIENT), "layer", "pos",
                                    F.col("value").cast("double").alias("value"))
-            shared = settle(merged, 0, SCHEMA)  # one model
+            shared = settle(merged)  # one model
         evaluated = local_evaluate(t, shared, r, spec.report_split)
         extra = (lambda: central(shared, r)) if central else None
         if merge_metrics is not None:
             merged_metrics = merge_metrics(evaluated, tests.withColumn("round", F.lit(r)))
         else:
             merged_metrics = M.merge_eval(evaluated, tests.withColumn("round", F.lit(r)), boosted, extra, n_facts)
-        merged_metrics = settle(merged_metrics.select("round", "class", "metric", "value"), 0)
+        merged_metrics = settle(merged_metrics.select("round", "class", "metric", "value"))
         history = merged_metrics if history is None else history.unionByName(merged_metrics)
-        all_fit = metrics if all_fit is None else all_fit.unionByName(metrics)
+    if history is None:
+        raise ValueError(f"no round had {spec.min_clients} usable fits to merge")
     return shared, history, all_fit
 
 
+def merge_fit_metrics(prepared: Prepared, fit_rows: DataFrame) -> DataFrame:
+    """(round, class, metric, value): the fit metrics of each round weighted by the silos' training rows."""
+    n = prepared.df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(F.count("*").alias("n_examples"))
+    facts = fit_rows.select("round", CLIENT).distinct().join(settle(n), CLIENT)
+    return M.weighted_metrics(fit_rows, facts)
+
+
 def result_of(history: DataFrame, family: str) -> DataFrame:
     """The run's result: boosters average all rounds, the others report their last round."""
     return M.mean_over_rounds(history) if family == "boost" else M.final_round(history)
 
 
-def central_baseline(prepared: Prepared, model_spec, split: str = TEST) -> DataFrame:
-    """The same trainer on all rows as one silo: metric rows of the split."""
-    one = Prepared(prepared.df.withColumn(CLIENT, F.lit(0)), prepared.names, 1)
+def central_baseline(split_rows: DataFrame, model_spec, split: str = TEST, spec: PrepareSpec = PrepareSpec(encode=False)) -> DataFrame:
+    """The same trainer on all rows as one silo: metric rows of the split.
+
+    ``split_rows``: encoded and split rows before any silo-wise scaling; they are scaled as one silo here.
+    """
+    one = transform_chain(split_rows.withColumn(CLIENT, F.lit(0)), spec, 1)
     t = trainer(one, model_spec)
     params = t.fit(1, None, None)
     return local_report(t.score(params, False), split, 1, "test_accuracy").select("class", "metric", "value")

@@ -95,14 +95,17 @@ def scan_experiments(spark: SparkSession, paths) -> DataFrame:
     """(file, experiment, block): the text blocks after each ``EXPERIMENT #`` of each log.
 
     The header is the record separator of a line-splittable text scan, so one huge log is read by many
-    tasks. ``experiment`` is unique, not consecutive.
+    tasks. ``experiment`` is unique in its file, not consecutive: the start of the file's part that a task
+    reads, and the block's place among the task's.
     """
     raw = spark.read.option("lineSep", HEADER).text(paths)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     blocks = raw.select(
         F.col("_metadata.file_path").alias("file"),
+        F.concat_ws("-", F.col("_metadata.file_block_start"), place).alias("experiment"),
         F.col("value").alias("block"),
-    ).where(F.col("block").rlike(r"^\d+:"))
-    return blocks.withColumn("experiment", F.monotonically_increasing_id()).select("file", "experiment", "block")
+    )
+    return blocks.where(F.col("block").rlike(r"^\d+:"))
 
 
 def scan_lines(blocks: DataFrame) -> DataFrame:
@@ -165,10 +168,8 @@ def parse_results_flat(blocks: DataFrame, compat: bool = True) -> DataFrame:
     )
 
 
-def average_results(parsed: DataFrame, n_experiments: int | None = None) -> DataFrame:
-    """Sum over experiments / number of experiments: an experiment without the metric counts as 0."""
-    if n_experiments is None:
-        n_experiments = parsed.select("file", "experiment").distinct().count()
+def average_results(parsed: DataFrame, n_experiments: int) -> DataFrame:
+    """Sum over experiments / number of scanned blocks: an experiment without the metric, or any, counts as 0."""
     return parsed.groupBy("class", "metric").agg((F.sum("value") / F.lit(n_experiments)).alias("value"))
 
 

@@ -13,6 +13,11 @@ TRAIN, TEST, VAL = "train", "test", "val"
 CONTRACT = (ROW_ID, CLIENT, SPLIT, LABEL)
 
 
+def silo_type(df) -> str:
+    """SQL type of the silo ids, any integer type; kernels hand it on."""
+    return df.schema[CLIENT].dataType.simpleString()
+
+
 @dataclass(frozen=True)
 class PrepareSpec:
     """Options of one silo preparation (scan -> silos -> split -> transforms)."""
@@ -65,6 +70,14 @@ class SvcSpec:
     family: str = "squared_hinge"
 
 
+@dataclass(frozen=True)
+class GradientSpec:
+    """Logistic regression by full-batch gradient steps of size ``lr``, without a penalty."""
+
+    lr: float = 0.1
+    family: str = "gradient"
+
+
 @dataclass(frozen=True)
 class MlpSpec:
     hidden: int = 100

@@ -1,9 +1,10 @@
 """Boosted trees for all silos at once: one Spark job per tree level.
 
-Features are cut once into quantile bins. For a level, tasks add up gradient and Hessian sums per
-(silo, node, feature, bin) over Arrow batches; Spark sums them, picks each node's best split in parallel
-over silos, and only the splits come to the driver. The ensemble's margin is staged per round, so a job
-replays only the current round's trees.
+Features are cut once into quantile bins, staged together with the margin; each finished tree moves the
+margin on, so a level's job only routes rows through the tree being grown. Tasks add up gradient and Hessian
+sums per (silo, node, feature, bin) over Arrow batches; Spark sums them and picks each node's best split in
+parallel over silos, and only the splits come to the driver. Silos are trained in groups, so that neither
+their bin edges nor their splits outgrow the driver.
 
 Trees are rows (round, client_id, tree_id, weight, nodes) with nodes
 array<struct<id, feature, threshold, left, right, leaf, base_weight>>; a leaf has feature -1.
@@ -19,26 +20,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from siloml.functions.joins import require_bound
 from siloml.functions.moments import by_silo, matrix, silo_sums
 from siloml.functions.staging import stage
-from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, BoostSpec
+from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, BoostSpec, silo_type
 
 NODE = "struct<id:int,feature:int,threshold:double,left:int,right:int,leaf:double,base_weight:double>"
-TREE_SCHEMA = f"round int, {CLIENT} int, tree_id int, weight double, nodes array<{NODE}>"
+TREE_SCHEMA = f"round int, {CLIENT} int, tree_id bigint, weight double, nodes array<{NODE}>"
 MIN_GAIN = 1e-6
-TREE_VALUES = 4_000_000  # numbers of an ensemble or of bin edges that a task may hold
+GROUP_BYTES = 64 * 1024 * 1024  # bin edges of the silos that are trained together
+CHUNK_NODES = 1_000_000  # nodes of the trees that one pass over the rows scores, about 40 MB
 
 
-def bin_edges(df: DataFrame, width: int, max_bins: int, n_silos: int) -> dict[int, list[np.ndarray]]:
-    """Quantile cut points per silo and feature; one pass of mergeable sketches."""
-    require_bound(n_silos * width * max_bins, 8, "bin edges")
+def edge_table(df: DataFrame, width: int, max_bins: int) -> DataFrame:
+    """(client_id, edges array<array<double>>): quantile cut points per silo and feature, one pass of sketches."""
     cuts = [i / max_bins for i in range(1, max_bins)]
     columns = [
-        F.percentile_approx(F.get(FEATURES, F.lit(i)), cuts, 10 * max_bins).alias(f"q{i}") for i in range(width)
+        F.sort_array(F.array_distinct(F.percentile_approx(F.get(FEATURES, F.lit(i)), cuts, 10 * max_bins)))
+        for i in range(width)
     ]
-    rows = df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(*columns).collect()
-    return {r[CLIENT]: [np.unique(np.array(r[f"q{i}"], dtype=float)) for i in range(width)] for r in rows}
+    return df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(F.array(*columns).alias("edges"))
+
+
+def bin_edges(df: DataFrame, width: int, max_bins: int) -> dict[int, list[np.ndarray]]:
+    """``edge_table`` as a dict, for the silos of one group."""
+    return _edges(edge_table(df, width, max_bins))
+
+
+def _edges(table: DataFrame) -> dict[int, list[np.ndarray]]:
+    return {r[CLIENT]: [np.array(e, dtype=float) for e in r["edges"]] for r in table.collect()}
 
 
 def _bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -79,24 +88,24 @@ def _gradients(y, margin):
     return p - y, np.maximum(p * (1.0 - p), 1e-16)
 
 
-def _histograms(trees: dict, partial: dict, slots: dict, edges: dict, width: int, bins: int, n_nodes: int):
-    """Statistic for ``silo_sums``: flat (node slot, feature, bin, [g, h]) sums.
+def _histograms(partial: dict, slots: dict, width: int, bins: int, n_nodes: int):
+    """Statistic for ``silo_sums`` over binned rows: flat (node slot, feature, bin, [g, h]) sums.
 
-    ``trees``: finished trees of this round per silo; ``partial``: the tree being grown; ``slots``: node id
-    -> slot of the nodes that are open on this level.
+    ``partial``: the tree being grown per silo, its thresholds in bins; ``slots``: node id -> slot of the nodes
+    that are open on this level.
     """
 
     def statistic(client, x, extra):
-        margin = extra["margin"] + tree_score(x, trees[client], [1.0] * len(trees[client]))
-        g, h = _gradients(extra[LABEL].astype(float), margin)
+        if client not in slots:
+            return np.zeros(2 * n_nodes * width * bins)
+        g, h = _gradients(extra[LABEL].astype(float), extra["margin"])
         table = np.full(max(slots[client], default=0) + 1, -1)
         for node, slot in slots[client].items():
             table[node] = slot
         at = tree_leaf(x, partial[client]) if partial[client] is not None else np.zeros(len(x), int)
         slot = np.where(at < len(table), table[np.minimum(at, len(table) - 1)], -1)
         rows = slot >= 0
-        b = _bins(x[rows], edges[client])
-        flat = (slot[rows, None] * width + np.arange(width)[None, :]) * bins + b
+        flat = (slot[rows, None] * width + np.arange(width)[None, :]) * bins + x[rows].astype(np.int64)
         size = n_nodes * width * bins
         gs = np.bincount(flat.ravel(), np.repeat(g[rows], width), minlength=size)
         hs = np.bincount(flat.ravel(), np.repeat(h[rows], width), minlength=size)
@@ -129,7 +138,7 @@ def _best_splits(sums: DataFrame, width: int, bins: int, n_nodes: int, spec: Boo
             yield pd.DataFrame(out, columns=[CLIENT, "slot", "g", "h", "feature", "bin", "gain", "gl", "hl"])
 
     return sums.mapInPandas(
-        pick, f"{CLIENT} int, slot int, g double, h double, feature int, bin int, gain double, gl double, hl double"
+        pick, f"{CLIENT} {silo_type(sums)}, slot int, g double, h double, feature int, bin int, gain double, gl double, hl double"
     )
 
 
@@ -139,47 +148,83 @@ def _leaf(node_id: int, g: float, h: float, spec: BoostSpec) -> dict:
             "leaf": spec.eta * best, "base_weight": best}
 
 
-def with_margin(df: DataFrame, ensemble: list, shared: bool, base_margin: float) -> DataFrame:
-    """Add ``margin`` = base + sum of tree contributions.
-
-    ``ensemble``: rows (round, client_id, tree_id, weight, nodes); shared by all silos, or each silo's own.
-    """
+def _packed(ensemble: list, shared: bool) -> dict:
     packed: dict = {}
     for t in ensemble:
         trees, weights = packed.setdefault(None if shared else t[CLIENT], ([], []))
         trees.append(tree_arrays(t["nodes"]))
         weights.append(t["weight"])
-    require_bound(sum(len(t[0]) for trees, _ in packed.values() for t in trees), 40, "tree ensemble")
+    return packed
+
+
+def _add_scores(df: DataFrame, packed: dict, shared: bool, column: str) -> DataFrame:
+    """Move ``margin`` on by the trees of ``packed``, which are scored on the vectors of ``column``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = matrix(batch.column(FEATURES))
-            margin = np.full(len(x), base_margin)
+            x = matrix(batch.column(column))
+            margin = batch.column("margin").to_numpy(zero_copy_only=False).copy()
             for client, rows in by_silo(batch.column(CLIENT).to_numpy(zero_copy_only=False)):
                 trees, weights = packed.get(None if shared else client, ([], []))
                 margin[rows] += tree_score(x[rows], trees, weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin)], [*batch.schema.names, "margin"])
+            rest = [c for c in batch.schema.names if c != "margin"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(margin)], [*rest, "margin"])
+
+    rest = [f for f in df.schema.fields if f.name != "margin"]
+    return df.mapInArrow(score, StructType([*rest, StructField("margin", DoubleType())]))
+
+
+def with_margin(df: DataFrame, trees: DataFrame | None, shared: bool, base_margin: float) -> DataFrame:
+    """Add ``margin`` = base + sum of tree contributions.
 
-    schema = StructType([*df.schema.fields, StructField("margin", DoubleType())])
-    return df.mapInArrow(score, schema)
+    ``trees``: (round, client_id, tree_id, weight, nodes); shared by all silos, or each silo's own. All trees
+    count: an ensemble beyond ``CHUNK_NODES`` nodes is scored in as many passes as it takes, each with its
+    chunk of the trees.
+    """
+    df = df.withColumn("margin", F.lit(float(base_margin)))
+    if trees is None:
+        return df
+    nodes = trees.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0]
+    chunks = max(1, -(-nodes // CHUNK_NODES))
+    part = F.pmod(F.xxhash64("round", CLIENT, "tree_id"), F.lit(chunks))
+    for k in range(chunks):
+        some = trees.where(part == k) if chunks > 1 else trees
+        rows = [r.asDict(recursive=True) for r in some.orderBy("round", CLIENT, "tree_id").collect()]
+        df = _add_scores(df, _packed(rows, shared), shared, FEATURES)
+        if k + 1 < chunks:
+            df = stage(df)
+    return df
 
 
 def predict_boost(df: DataFrame, trees: DataFrame, shared: bool = True, base_margin: float = 0.0) -> DataFrame:
     """Add ``margin``, ``prob`` and ``pred`` (prob > 0.5) from a tree table."""
-    scored = with_margin(df, _tree_rows(trees), shared, base_margin)
+    scored = with_margin(df, trees, shared, base_margin)
     return scored.withColumn("prob", 1.0 / (1.0 + F.exp(-F.col("margin")))).withColumn(
         "pred", (F.col("prob") > 0.5).cast("int")
     )
 
 
-def _tree_rows(trees: DataFrame | None) -> list:
-    if trees is None:
-        return []
-    rows = trees.limit(TREE_VALUES // 16 + 1).collect()
-    require_bound(len(rows), 16 * 40, "tree table")
-    return [r.asDict(recursive=True) for r in rows]
+def _binned(df: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
+    """Training rows with ``bins`` in place of the features."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = matrix(batch.column(FEATURES))
+            bins = np.zeros(x.shape, dtype=np.int32)
+            for client, rows in by_silo(batch.column(CLIENT).to_numpy(zero_copy_only=False)):
+                if client in edges:
+                    bins[rows] = _bins(x[rows], edges[client])
+            offsets = pa.array(np.arange(0, bins.size + 1, max(1, x.shape[1]), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(bins.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(CLIENT), batch.column(LABEL), lists, batch.column("margin")], [CLIENT, LABEL, "bins", "margin"])
+
+    return df.select(CLIENT, LABEL, FEATURES, "margin").mapInArrow(
+        cut, f"{CLIENT} {silo_type(df)}, {LABEL} int, bins array<int>, margin double")
 
 
 def boost(
@@ -189,42 +234,60 @@ def boost(
     clients: list[int],
     ensemble: DataFrame | None = None,
     round_no: int = 1,
-    edges: dict[int, list[np.ndarray]] | None = None,
+    edges: dict[int, list[np.ndarray]] | DataFrame | None = None,
 ) -> DataFrame:
     """Grow ``n_local_trees`` per silo on top of the shared ``ensemble`` (None: first round).
 
-    ``df``: staged contract columns + features. Returns only the new trees.
+    ``df``: staged contract columns + features. ``edges``: an edge table, or the dict of a few silos. Returns
+    only the new trees.
     """
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, silo_type(df)
     train = df.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
-    edges = edges or bin_edges(df, width, spec.max_bins, len(clients))
-    clients = [c for c in clients if c in edges]
-    bins = max((len(e) for per in edges.values() for e in per), default=0) + 1
-    if ensemble is None:
-        rows = train.withColumn("margin", F.lit(float(spec.base_margin)))
-    else:
-        rows = stage(with_margin(train, _tree_rows(ensemble), True, spec.base_margin))
-
-    done: dict[int, list] = {c: [] for c in clients}
-    grown = []
+    rows = with_margin(train, ensemble, True, spec.base_margin)
+    if edges is None:
+        edges = stage(edge_table(df, width, spec.max_bins))
+    per_group = max(1, GROUP_BYTES // (8 * width * spec.max_bins))
+    if len(clients) > per_group:
+        rows = stage(rows)
+    grown: DataFrame | None = None
+    for at in range(0, len(clients), per_group):
+        group = clients[at:at + per_group]
+        part, table = rows, edges
+        if len(group) < len(clients):
+            ids = F.broadcast(spark.createDataFrame([(c,) for c in group], f"{CLIENT} {kind}"))
+            part = rows.join(ids, CLIENT, "left_semi")
+            table = edges.join(ids, CLIENT, "left_semi") if isinstance(edges, DataFrame) else edges
+        known = _edges(table) if isinstance(table, DataFrame) else table
+        trees = _grow_group(part, spec, width, [c for c in group if c in known], known, round_no, kind)
+        grown = trees if grown is None else stage(grown.unionByName(trees))
+    return grown if grown is not None else spark.createDataFrame([], TREE_SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))
+
+
+def _grow_group(df: DataFrame, spec: BoostSpec, width: int, clients: list[int], edges: dict, round_no: int, kind: str) -> DataFrame:
+    bins = max((len(edges[c][i]) for c in clients for i in range(width)), default=0) + 1
+    if not clients:
+        return df.sparkSession.createDataFrame([], TREE_SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))
+    rows, grown = stage(_binned(df, edges)), []
     for tree_no in range(spec.n_local_trees):
         nodes: dict[int, dict[int, dict]] = {c: {} for c in clients}
+        cuts: dict[int, dict[int, int]] = {c: {} for c in clients}  # split bin of the inner nodes
         open_nodes = {c: [0] for c in clients}
+
+        def in_bins(c):
+            return tree_arrays([{**n, "threshold": cuts[c].get(n["id"], 0) + 0.5} for n in nodes[c].values()])
+
         for _ in range(spec.max_depth):
             live = [c for c in clients if open_nodes[c]]
             if not live:
                 break
             n_nodes = max(len(open_nodes[c]) for c in live)
             slots = {c: {n: s for s, n in enumerate(open_nodes[c])} for c in clients}
-            partial = {c: tree_arrays(nodes[c].values()) if nodes[c] else None for c in clients}
-            some = rows if len(live) == len(clients) else rows.where(F.col(CLIENT).isin(live))
-            sums = silo_sums(
-                some, _histograms(done, partial, slots, edges, width, bins, n_nodes), [LABEL, "margin"]
-            )
+            partial = {c: in_bins(c) if nodes[c] else None for c in clients}
+            sums = silo_sums(rows, _histograms(partial, slots, width, bins, n_nodes), [LABEL, "margin"], "bins")
             fresh: dict[int, list] = {c: [] for c in clients}
             for s in sorted(_best_splits(sums, width, bins, n_nodes, spec).collect(), key=lambda s: s["slot"]):
                 c = s[CLIENT]
-                if s["slot"] >= len(open_nodes[c]):
+                if c not in slots or s["slot"] >= len(open_nodes[c]):
                     continue
                 node_id = open_nodes[c][s["slot"]]
                 node = nodes[c].setdefault(node_id, _leaf(node_id, s["g"], s["h"], spec))
@@ -232,6 +295,7 @@ def boost(
                     continue
                 # The split's own sums give both children's leaves, so the deepest level needs no job.
                 left = len(nodes[c])
+                cuts[c][node_id] = s["bin"]
                 node.update(feature=s["feature"], threshold=float(edges[c][s["feature"]][s["bin"]]), leaf=0.0,
                             left=left, right=left + 1)
                 nodes[c][left] = _leaf(left, s["gl"], s["hl"], spec)
@@ -240,7 +304,8 @@ def boost(
             open_nodes = fresh
         for c in clients:
             tree = sorted(nodes[c].values(), key=lambda n: n["id"])
-            done[c].append(tree_arrays(tree))
             grown.append((round_no, c, tree_no, 1.0, [tuple(n[k] for k in (
                 "id", "feature", "threshold", "left", "right", "leaf", "base_weight")) for n in tree]))
-    return spark.createDataFrame(grown, TREE_SCHEMA)
+        if tree_no + 1 < spec.n_local_trees:
+            rows = stage(_add_scores(rows, {c: ([in_bins(c)], [1.0]) for c in clients if nodes[c]}, False, "bins"))
+    return df.sparkSession.createDataFrame(grown, TREE_SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))

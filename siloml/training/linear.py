@@ -15,7 +15,7 @@ from siloml.functions.moments import silo_sums
 from siloml.functions.vectors import dot, sigmoid
 from siloml.operators.params import linear_table, rebuild_params
 from siloml.operators.silos import class_weights
-from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, LogisticSpec, SvcSpec
+from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, LogisticSpec, SvcSpec, silo_type
 
 STATE_BYTES = 256 * 1024 * 1024
 
@@ -157,16 +157,25 @@ def fit_linear(
             at = {c: states[c].trial for c in live}
             seen = set()
             for r in silo_sums(some, _statistic(spec.family, at, balance), [LABEL]).collect():
+                if not np.isfinite(r["sums"]).all():
+                    raise ValueError(f"silo {r[CLIENT]}: null, NaN or infinite values in its training rows")
                 states[r[CLIENT]].advance(*_unpack(r["sums"], d))
                 seen.add(r[CLIENT])
             for c in set(live) - seen:  # a silo without training rows keeps its start
                 states[c].done = True
+        if steps is None:
+            open_silos = {c: states[c].residual for c in block if not states[c].done}
+            if open_silos:
+                worst = max(open_silos, key=open_silos.get)
+                raise ValueError(f"{len(open_silos)} silos not optimal after {spec.max_iter} steps, e.g. silo {worst}: "
+                                 f"residual {open_silos[worst]:.3g}; raise max_iter or tol")
         fitted.update({c: states[c].best for c in block})
         residuals.update({c: states[c].residual for c in block})
-    return linear_table(df.sparkSession, fitted, round_no), residuals, fitted
+    return linear_table(df.sparkSession, fitted, round_no, silo_type(df)), residuals, fitted
 
 
-def linear_margin(df: DataFrame, params: DataFrame, width: int, n_silos: int, shared: bool = False) -> DataFrame:
+def linear_margin(df: DataFrame, params: DataFrame, width: int, n_silos: int, shared: bool = False,
+                  keep_vector: bool = False) -> DataFrame:
     """Add ``margin`` = w.x + b from the parameters of the row's silo (or one shared model)."""
     if shared:
         vector = rebuild_params(params.withColumn("_one", F.lit(1)), ["_one"])
@@ -175,7 +184,8 @@ def linear_margin(df: DataFrame, params: DataFrame, width: int, n_silos: int, sh
         vector = rebuild_params(params, [CLIENT])
         joined = attach(df, vector, [CLIENT], n_silos, 8 * width + 64, how="left")
     margin = dot(F.col(FEATURES), F.col("vector"), width) + F.get("vector", F.lit(width))
-    return joined.withColumn("margin", margin).drop("vector")
+    scored = joined.withColumn("margin", margin)
+    return scored if keep_vector else scored.drop("vector")
 
 
 def predict_linear(df: DataFrame, params: DataFrame, width: int, n_silos: int, shared: bool = False) -> DataFrame:
@@ -184,15 +194,24 @@ def predict_linear(df: DataFrame, params: DataFrame, width: int, n_silos: int, s
     return scored.withColumn("prob", sigmoid(F.col("margin"))).withColumn("pred", (F.col("margin") > 0).cast("int"))
 
 
-def gradient_step(df: DataFrame, width: int, lr: float, round_no: int = 1) -> DataFrame:
-    """Parameters after one full-batch logistic gradient step from zero, all silos in one aggregation.
+def gradient_step(
+    df: DataFrame, width: int, lr: float, round_no: int = 1, start: DataFrame | None = None, shared: bool = False,
+    n_silos: int | None = None,
+) -> DataFrame:
+    """Parameters after one full-batch logistic gradient step, all silos in one aggregation.
 
-    At zero every probability is 1/2, so the step is ``lr * avg((y - 1/2) * x)``.
+    ``start``: parameters to step from, the silos' own or one ``shared`` model (None: zero, where every
+    probability is 1/2).
     """
-    residual = F.col(LABEL) - F.lit(0.5)
-    sums = df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(
-        F.array(*[F.avg(residual * F.get(FEATURES, F.lit(i))) * lr for i in range(width)]).alias("w"),
-        F.array(F.avg(residual) * lr).alias("b"),
+    train = df.where(F.col(SPLIT) == TRAIN)
+    if start is None:
+        residual, old = F.col(LABEL) - F.lit(0.5), lambda i: F.lit(0.0)
+    else:
+        train = linear_margin(train, start, width, n_silos or 1, shared, keep_vector=True)
+        residual, old = F.col(LABEL) - sigmoid(F.col("margin")), lambda i: F.first(F.get("vector", F.lit(i)))
+    sums = train.groupBy(CLIENT).agg(
+        F.array(*[old(i) + F.avg(residual * F.get(FEATURES, F.lit(i))) * lr for i in range(width)]).alias("w"),
+        F.array(old(width) + F.avg(residual) * lr).alias("b"),
     )
     layers = F.array(F.col("w"), F.col("b"))
     return sums.select(CLIENT, F.posexplode(layers).alias("layer", "vector")).select(

@@ -256,7 +256,7 @@ def test_parse_class_log(spark, tmp_path):
     path = str(tmp_path)
     blocks = results.scan_experiments(spark, path)
     rows = lambda compat: {(r["class"], r["metric"]): r["value"] for r in results.average_results(
-        results.parse_results(blocks, compat)).collect()}
+        results.parse_results(blocks, compat), blocks.count()).collect()}
     compat = rows(True)
     assert compat["Class 1:", "accuracy"] == 0.81 and compat["Class test:", "accuracy"] == 0.81
     assert compat["Class 1:", "recall"] == 1.0 and compat["Class 0:", "support"] == 467.0
@@ -265,14 +265,14 @@ def test_parse_class_log(spark, tmp_path):
     assert results.count_results(spark, path).first()[1:] == (2, 2)
     lines = results.scan_lines(blocks)
     assert lines.where("line like '%EXPERIMENT%'").count() == 2
-    summary = results.summary_report(results.average_results(results.parse_results(blocks)), {"round": 10}, 2).first()
+    summary = results.summary_report(results.average_results(results.parse_results(blocks), 2), {"round": 10}, 2).first()
     assert "precision: 0.84" in summary["report"] and summary["options"] == '{"round": 10}'
 
 
 def test_missing_metric_counts_as_zero(spark, tmp_path):
     (tmp_path / "a.txt").write_text(LOG + "\nEXPERIMENT #1:\n\nClass 0:\n  precision: 0.5\n")
     blocks = results.scan_experiments(spark, str(tmp_path))
-    avg = {(r["class"], r["metric"]): r["value"] for r in results.average_results(results.parse_results(blocks)).collect()}
+    avg = {(r["class"], r["metric"]): r["value"] for r in results.average_results(results.parse_results(blocks), blocks.count()).collect()}
     assert avg["Class 0:", "precision"] == pytest.approx(0.67)
     assert avg["Class 0:", "recall"] == pytest.approx(0.475)
 

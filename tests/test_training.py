@@ -95,7 +95,7 @@ def plain_boost(x, y, spec, edges):
 def test_boosting_matches_plain_loops(data):
     prepared, keep = data
     spec = BoostSpec(n_local_trees=3, max_bins=16)
-    edges = B.bin_edges(prepared.df, 3, 16, 2)
+    edges = B.bin_edges(prepared.df, 3, 16)
     trees = B.boost(prepared.df, spec, 3, [0, 1], edges=edges)
     scored = {r["row_id"]: r["margin"] for r in B.predict_boost(prepared.df, trees, shared=False).collect()}
     start = 0
@@ -109,7 +109,7 @@ def test_boosting_matches_plain_loops(data):
 def test_boosting_continues_from_the_ensemble(data):
     prepared, _ = data
     spec = BoostSpec(n_local_trees=1, max_bins=16)
-    edges = B.bin_edges(prepared.df, 3, 16, 2)
+    edges = B.bin_edges(prepared.df, 3, 16)
     one = Prepared(prepared.df.where("client_id = 0"), prepared.names, 1)
     both = B.boost(one.df, BoostSpec(n_local_trees=2, max_bins=16), 3, [0], edges=edges)
     first = B.boost(one.df, spec, 3, [0], edges=edges)
@@ -171,7 +171,9 @@ def test_forest_merges_hyperparameters(data):
 
 def test_central_baseline_and_sweep(data):
     prepared, _ = data
-    base = {(r["class"], r["metric"]): r["value"] for r in R.central_baseline(prepared, LogisticSpec(C=1.0)).collect()}
+    columns = [F.get("features", F.lit(i)).alias(n) for i, n in enumerate("abc")]
+    rows = prepared.df.select("row_id", "client_id", "split", "label", *columns)
+    base = {(r["class"], r["metric"]): r["value"] for r in R.central_baseline(rows, LogisticSpec(C=1.0)).collect()}
     assert base["", "test_accuracy"] > 0.75 and base["", "accuracy"] == base["", "test_accuracy"]
     runs = R.sweep(lambda seed: prepared, [LogisticSpec()], RoundSpec(rounds=1), repeats=2)
     assert {r["run_id"] for r in runs.select("run_id").distinct().collect()} == {"logistic-1", "logistic-2"}

@@ -1,7 +1,7 @@
 """SQL that gives the same rows as the registered queries, by the plainest means (full windows, self joins).
 
-Trained models (fits, rounds, sweeps), principal component scores and the text summary have no SQL; tests
-check them against brute force instead.
+Rounds, sweeps and baselines are checked with a family that takes one gradient step a fit. Fitted models are
+checked by their optimality conditions and falling losses; networks, forests and the text summary by tests.
 """
 
 from __future__ import annotations
@@ -293,6 +293,79 @@ def one_step(weight: str) -> str:
         "SELECT client_id, class, metric, round(value, 6) AS value FROM report"
 
 
+def step_rounds(weight: str, rounds: int = 3, seed: int = SEED, pooled: bool = False) -> dict[str, str]:
+    """CTEs of rounds 1..n: step_r, loc_r (scored by the silo's own step), merged_r, tested_r, rows_r (metric rows)."""
+    parts = dict(SCALED) if seed == SEED else {**SCALED, "split": SPLIT.replace("42-split", f"{seed}-split")}
+    if pooled:
+        parts["split"] = f"SELECT * REPLACE (0 AS client_id) FROM ({parts['split']})"
+    names = [*(f"w_{n}" for n in NUMS), "b"]
+    x = [*NUMS, "1.0"]
+    f1 = """coalesce(2.0 * count(*) FILTER (split = 'val' AND label = 1 AND margin > 0)
+      / nullif(count(*) FILTER (split = 'val' AND label = 1) + count(*) FILTER (split = 'val' AND margin > 0), 0), 0)"""
+    parts["merged_0"] = "SELECT " + ", ".join(f"0.0::DOUBLE AS {n}" for n in names)
+    for r in range(1, rounds + 1):
+        old = f"(SELECT s.*, m.*, 1.0 / (1.0 + exp(-({MARGIN}))) AS prob FROM scaled s, merged_{r - 1} m WHERE split = 'train')"
+        parts[f"step_{r}"] = "SELECT client_id, " + ", ".join(
+            f"max({n}) + avg((label - prob) * {v}) * {LR}::DOUBLE AS {n}" for n, v in zip(names, x)) + f" FROM {old} GROUP BY client_id"
+        parts[f"loc_{r}"] = f"SELECT row_id, client_id, split, label, {MARGIN} AS margin FROM scaled JOIN step_{r} USING (client_id)"
+        parts[f"facts_{r}"] = f"SELECT client_id, count(*) FILTER (split = 'train') AS n_examples, {f1} AS f1 FROM loc_{r} GROUP BY client_id"
+        parts[f"merged_{r}"] = "SELECT " + ", ".join(
+            f"sum({n} * {weight}) / sum({weight}) AS {n}" for n in names) + f" FROM step_{r} JOIN facts_{r} USING (client_id)"
+        parts[f"tested_{r}"] = f"SELECT client_id, label, CAST({MARGIN} > 0 AS INTEGER) AS pred FROM scaled, merged_{r} WHERE split = 'test'"
+        parts.update(numbered(report(f"tested_{r}", ("client_id",)), f"_{r}"))
+        loss = "avg(-ln(CASE WHEN label = pred THEN 1 - 2.220446049250313e-16::DOUBLE ELSE 2.220446049250313e-16::DOUBLE END))"
+        parts[f"rows_{r}"] = f"""SELECT client_id, class, metric, value FROM report_{r}
+          UNION ALL SELECT client_id, '', 'test_accuracy', avg(CAST(label = pred AS DOUBLE)) FROM tested_{r} GROUP BY client_id
+          UNION ALL SELECT client_id, '', 'loss', {loss} FROM tested_{r} GROUP BY client_id"""
+        parts[f"fitted_{r}"] = f"SELECT client_id, label, CAST(margin > 0 AS INTEGER) AS pred FROM loc_{r} WHERE split = 'val'"
+        parts.update(numbered(report(f"fitted_{r}", ("client_id",)), f"_fit_{r}"))
+        parts[f"fits_{r}"] = f"""SELECT client_id, class, metric, value FROM report_fit_{r}
+          UNION ALL SELECT client_id, '', 'train_accuracy', avg(CAST(label = CAST(margin > 0 AS INTEGER) AS DOUBLE))
+          FROM loc_{r} WHERE split = 'train' GROUP BY client_id"""
+    return parts
+
+
+def numbered(parts: dict[str, str], end: str) -> dict[str, str]:
+    """The report's CTEs under names of their own."""
+    out = {}
+    for name, sql in parts.items():
+        for other in parts:
+            sql = sql.replace(f"FROM {other} ", f"FROM {other}{end} ").replace(f"FROM {other}\n", f"FROM {other}{end}\n")
+            sql = sql + " " if sql.endswith(f"FROM {other}") else sql
+            sql = sql.replace(f"FROM {other} ", f"FROM {other}{end} ")
+        out[name + end] = sql
+    return out
+
+
+def merged_rows(source: str, split: str, r: int) -> str:
+    return f"""SELECT {r} AS round, class, metric, round(sum(value * n) / sum(n), 6) AS value FROM {source}_{r}
+      JOIN (SELECT client_id, CAST(count(*) AS DOUBLE) AS n FROM scaled WHERE split = '{split}' GROUP BY client_id) USING (client_id)
+      GROUP BY class, metric"""
+
+
+def history(weight: str, source: str = "rows", split: str = "test") -> str:
+    return ctes(**step_rounds(weight)) + " UNION ALL ".join(merged_rows(source, split, r) for r in (1, 2, 3))
+
+
+ORACLE["step_rounds_fedavg"] = history("n_examples")
+ORACLE["step_rounds_fedf1"] = history("f1")
+ORACLE["step_fit_metrics"] = history("n_examples", "fits", "train")
+ORACLE["step_local_fit"] = ctes(**step_rounds("n_examples", 1)) + \
+    "SELECT 1 AS round, client_id, class, metric, round(value, 6) AS value FROM fits_1"
+ORACLE["step_local_evaluate"] = ctes(**step_rounds("n_examples", 1)) + \
+    "SELECT 1 AS round, client_id, class, metric, round(value, 6) AS value FROM rows_1"
+ORACLE["step_central_baseline"] = ctes(**step_rounds("n_examples", 1, pooled=True)) + \
+    "SELECT class, metric, round(value, 6) AS value FROM rows_1 WHERE metric <> 'loss'"
+ORACLE["step_sweep"] = " UNION ALL ".join(
+    f"SELECT * FROM ({ctes(**step_rounds('n_examples', 3, SEED + k))} SELECT 'gradient-{k + 1}' AS run_id, 'gradient' AS algorithm, "
+    f"{k + 1} AS repeat, {SEED + k} AS seed, class, metric, value FROM ({merged_rows('rows', 'test', 3)}))" for k in range(2))
+SILO_POSITIONS = "SELECT DISTINCT n_regionkey AS client_id, CAST(unnest(range({n})) AS INTEGER) AS {name} FROM nation"
+ORACLE["optimal_logistic"] = ORACLE["optimal_linear_svc"] = \
+    f"SELECT client_id, pos, true AS optimal FROM ({SILO_POSITIONS.format(n=len(NUMS) + len(ONE_HOT_NAMES) + 1, name='pos')})"
+ORACLE["boost_learns"] = f"SELECT client_id, tree + 1 AS tree, true AS better FROM ({SILO_POSITIONS.format(n=10, name='tree')})"
+ORACLE["pca_reconstruction"] = ORACLE["covariance"]
+ORACLE["pca_uncorrelated"] = f"""SELECT a.client_id, i, j, true AS ok FROM ({SILO_POSITIONS.format(n=3, name='i')}) a
+JOIN ({SILO_POSITIONS.format(n=3, name='j')}) b ON a.client_id = b.client_id AND i <= j"""
 ORACLE["one_step_fedavg"] = one_step("n_examples")
 ORACLE["one_step_fedf1"] = one_step("f1")
 ORACLE["tree_counts"] = """

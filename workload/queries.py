@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from siloml.functions.joins import group_count
@@ -20,8 +21,8 @@ from siloml.operators import frame, hashrank, knn as K, merge as M, metrics as E
 from siloml.plans import prepare as prep, rounds as R
 from siloml.sources import models, results, tables
 from siloml.spec import (
-    CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TEST, TRAIN, VAL, BoostSpec, ForestSpec, LogisticSpec, MlpSpec,
-    PrepareSpec, RoundSpec, SvcSpec,
+    CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TEST, TRAIN, BoostSpec, ForestSpec, GradientSpec, LogisticSpec,
+    MlpSpec, PrepareSpec, RoundSpec, SvcSpec,
 )
 from siloml.training import boost as B, linear as L
 
@@ -48,9 +49,9 @@ def n_regions(spark: SparkSession, d: str) -> int:
     return group_count(spark.read.parquet(f"{d}/nation.parquet"), ["n_regionkey"])
 
 
-def split_frame(spark: SparkSession, d: str) -> DataFrame:
+def split_frame(spark: SparkSession, d: str, seed: int = SEED) -> DataFrame:
     # Staged: the three scans behind a split then read a narrow table instead of repeating the joins.
-    return silos.split_70_20_10(stage(regions(spark, d)), SEED, n_regions(spark, d))
+    return silos.split_70_20_10(stage(regions(spark, d)), seed, n_regions(spark, d))
 
 
 def encoded_split(spark: SparkSession, d: str) -> DataFrame:
@@ -61,10 +62,10 @@ def prepared(spark: SparkSession, d: str) -> prep.Prepared:
     return prep.prepare(cleaned(spark, d).drop("n_nationkey", "o_custkey"), CHAIN)
 
 
-def lean(spark: SparkSession, d: str) -> prep.Prepared:
+def lean(spark: SparkSession, d: str, seed: int = SEED) -> prep.Prepared:
     """Scaled numeric features only (7 wide), from the already split table."""
     n = n_regions(spark, d)
-    df = split_frame(spark, d).select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS)
+    df = split_frame(spark, d, seed).select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS)
     return prep.transform_chain(stage(df), PrepareSpec(encode=False), n)
 
 
@@ -361,6 +362,25 @@ def pca(spark, d):
     return scale.pca(p.df, 3, p.width, p.n_silos)
 
 
+def pca_reconstruction(spark, d):
+    """All components of each silo put together again: loading_i * loading_j * variance summed is the covariance."""
+    p = lean(spark, d)
+    parts = stage(scale.pca_loadings(scale.covariance(p.df, p.width, p.n_silos), p.width))
+    side = lambda name: parts.select(CLIENT, "component", "variance", F.posexplode("loading").alias(name, f"l{name}"))
+    both = side("i").join(side("j").drop("variance"), [CLIENT, "component"]).where("i <= j")
+    return both.groupBy(CLIENT, "i", "j").agg(F.round(F.sum(F.col("li") * F.col("lj") * F.col("variance")), 6).alias("cov"))
+
+
+def pca_uncorrelated(spark, d):
+    """(client_id, i, j, ok): the projected training columns have the component variances and no covariance."""
+    p = lean(spark, d)
+    parts = scale.pca_loadings(scale.covariance(p.df, p.width, p.n_silos), 3).select(CLIENT, F.col("component").alias("i"), "variance")
+    scores = scale.pca(p.df, 3, p.width, p.n_silos)
+    got = scale.covariance_entries(scale.covariance(stage(scores), 3, p.n_silos))
+    want = F.when(F.col("i") == F.col("j"), F.col("variance")).otherwise(0.0)
+    return got.join(parts, [CLIENT, "i"]).select(CLIENT, "i", "j", (F.abs(F.col("cov") - want) < 1e-9).alias("ok"))
+
+
 def pca_variance(spark, d):
     """Total variance per silo as the sum of all component variances."""
     p = lean(spark, d)
@@ -406,11 +426,11 @@ def gradient_step(spark, d):
 
 def one_step_merged(spark, d, method: str):
     p, params = one_step(spark, d)
-    params = settle(params, p.n_silos * (p.width + 1))
+    params = settle(params)
     scored = L.predict_linear(p.df, params, p.width, p.n_silos)
-    fits = settle(R.fit_metrics(scored, 1), R.METRICS_PER_SILO * p.n_silos)
-    facts = settle(R.facts_of(p, fits, 1), p.n_silos)
-    return p, settle(M.choose_merge("logistic", method)(params, facts, n_facts=p.n_silos), p.width + 1)
+    fits = settle(R.fit_metrics(scored, 1))
+    facts = settle(R.facts_of(p, fits, 1))
+    return p, settle(M.choose_merge("logistic", method)(params, facts, n_facts=p.n_silos))
 
 
 def one_step_fedavg(spark, d):
@@ -436,9 +456,93 @@ def fit_linear_svc(spark, d):
     return L.fit_linear(p.df, SvcSpec(), p.width, p.clients())[0]
 
 
-SMALL_MLP = MlpSpec(hidden=8, max_iter=25)
-SMALL_FOREST = ForestSpec(n_trees=10, max_depth=6)
-SMALL_BOOST = BoostSpec(n_local_trees=2, max_bins=32)
+def optimal(spark, d, spec):
+    """(client_id, pos, optimal): whether each coefficient of the full-width fit meets its optimality condition.
+
+    The gradient of the loss is summed by plain column arithmetic, apart from the trainer's kernels.
+    """
+    p = prepared(spark, d)
+    params, _, _ = L.fit_linear(p.df, spec, p.width, p.clients())
+    rows = L.linear_margin(p.df.where(F.col(SPLIT) == TRAIN), settle(params), p.width, p.n_silos, keep_vector=True)
+    y = F.col(LABEL).cast("double")
+    if spec.family == "logistic":
+        slope = sigmoid(F.col("margin")) - y
+    else:
+        s = 2.0 * y - 1.0
+        weights = settle(silos.class_weights(p.df).select(CLIENT, LABEL, "weight"))
+        rows = rows.join(F.broadcast(weights), [CLIENT, LABEL])
+        slope = -2.0 * s * F.greatest(F.lit(0.0), 1.0 - s * F.col("margin")) * F.col("weight")
+    x = lambda i: F.get(FEATURES, F.lit(i)) if i < p.width else F.lit(1.0)
+    sums = rows.groupBy(CLIENT).agg(
+        F.count("*").alias("n"), F.first("vector").alias("w"),
+        F.array(*[F.sum(slope * x(i)) * spec.C for i in range(p.width + 1)]).alias("g"))
+    each = sums.select(CLIENT, "n", F.posexplode(F.arrays_zip("w", "g")).alias("pos", "c"))
+    w, g = F.col("c.w"), F.col("c.g")
+    if spec.family == "logistic":  # |g| <= 1, and g = -sign(w) where w is not 0
+        gap = F.when(w == 0, F.greatest(F.abs(g) - 1.0, F.lit(0.0))).otherwise(F.abs(g + F.signum(w)))
+    else:
+        gap = F.abs(g + w)
+    return each.select(CLIENT, "pos", (gap <= 1e-5 * F.greatest(F.lit(1.0), spec.C * F.col("n"))).alias("optimal"))
+
+
+def optimal_logistic(spark, d):
+    return optimal(spark, d, LogisticSpec())
+
+
+def optimal_linear_svc(spark, d):
+    return optimal(spark, d, SvcSpec())
+
+
+THREE_STEPS = RoundSpec(rounds=3, one_shot=False, local_steps=1)
+
+
+def step_rounds(spark, d, merge: str):
+    """Three rounds of gradient step -> merge -> report on each silo, merged by test rows."""
+    _, history, _ = R.run_rounds(lean(spark, d), GradientSpec(LR), replace(THREE_STEPS, merge=merge))
+    return rounded(history, "value")
+
+
+def step_rounds_fedavg(spark, d):
+    return step_rounds(spark, d, "FedAvg")
+
+
+def step_rounds_fedf1(spark, d):
+    return step_rounds(spark, d, "FedF1")
+
+
+def step_local_fit(spark, d):
+    _, metrics, _ = R.local_fit(R.trainer(lean(spark, d), GradientSpec(LR)))
+    return rounded(metrics, "value")
+
+
+def step_fit_metrics(spark, d):
+    """The silos' fit metrics of three rounds, merged by training rows."""
+    p = lean(spark, d)
+    _, _, fits = R.run_rounds(p, GradientSpec(LR), THREE_STEPS)
+    return rounded(R.merge_fit_metrics(p, fits), "value")
+
+
+def step_local_evaluate(spark, d):
+    p = lean(spark, d)
+    t = R.trainer(p, GradientSpec(LR))
+    params, _, facts = R.local_fit(t)
+    shared = settle(M.fedavg(params, facts, p.n_silos))
+    return rounded(R.local_evaluate(t, shared), "value")
+
+
+def step_central_baseline(spark, d):
+    rows = split_frame(spark, d).select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS)
+    return rounded(R.central_baseline(rows, GradientSpec(LR)), "value")
+
+
+def step_sweep(spark, d):
+    return rounded(R.sweep(lambda seed: lean(spark, d, seed), [GradientSpec(LR)], THREE_STEPS, repeats=2), "value")
+
+
+BOOST = BoostSpec()
+FOREST = ForestSpec()
+SMALL_MLP = MlpSpec(hidden=100, max_iter=100)  # the network's size; iterations cut to what a query may take
+SMALL_BOOST = BoostSpec(n_local_trees=2)
 TWO_ROUNDS = RoundSpec(rounds=2)
 
 
@@ -454,12 +558,26 @@ def fit_mlp(spark, d):
 
 
 def fit_forest(spark, d):
-    return fit_report(spark, d, SMALL_FOREST)
+    return fit_report(spark, d, FOREST)
 
 
 def boost_first(spark, d):
     p = lean(spark, d)
-    return B.boost(p.df, SMALL_BOOST, p.width, p.clients())
+    return B.boost(p.df, BOOST, p.width, p.clients())
+
+
+def boost_learns(spark, d):
+    """(client_id, tree, better): whether every tree of the full booster lowers its silo's training loss."""
+    p = lean(spark, d)
+    trees = settle(B.boost(p.df, BOOST, p.width, p.clients()))
+    train = p.df.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
+    out = None
+    for k in range(BOOST.n_local_trees + 1):
+        scored = B.predict_boost(train, trees.where(F.col("tree_id") < k), False)
+        loss = E.log_loss(scored).select(CLIENT, F.lit(k).alias("tree"), "log_loss")
+        out = loss if out is None else out.unionByName(loss)
+    earlier = F.lag("log_loss").over(Window.partitionBy(CLIENT).orderBy("tree"))
+    return out.withColumn("better", F.col("log_loss") < earlier).where("tree > 0").select(CLIENT, "tree", "better")
 
 
 def boost_continue(spark, d):
@@ -489,7 +607,7 @@ def local_evaluate(spark, d):
 
 
 def central_baseline(spark, d):
-    return R.central_baseline(lean(spark, d), LogisticSpec())
+    return R.central_baseline(split_frame(spark, d).select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS), LogisticSpec())
 
 
 def run_rounds(spark, d):
@@ -503,12 +621,7 @@ def boost_rounds(spark, d):
 
 
 def sweep(spark, d):
-    def make(seed):
-        df = silos.split_70_20_10(stage(regions(spark, d)), seed, n_regions(spark, d))
-        df = df.select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS)
-        return prep.transform_chain(stage(df), PrepareSpec(encode=False), n_regions(spark, d))
-
-    return R.sweep(make, [LogisticSpec(), SvcSpec()], TWO_ROUNDS, repeats=2)
+    return R.sweep(lambda seed: lean(spark, d, seed), [LogisticSpec(), SvcSpec()], TWO_ROUNDS, repeats=2)
 
 
 # ---- scoring -------------------------------------------------------------------------------------
@@ -644,7 +757,7 @@ def parse_results_flat(spark, d):
 
 def average_results(spark, d):
     blocks = results.scan_experiments(spark, customer_log(spark, d))
-    return rounded(results.average_results(results.parse_results(blocks)), "value")
+    return rounded(results.average_results(results.parse_results(blocks), blocks.count()), "value")
 
 
 def count_results(spark, d):
@@ -654,8 +767,7 @@ def count_results(spark, d):
 
 def summary_report(spark, d):
     blocks = results.scan_experiments(spark, customer_log(spark, d))
-    parsed = stage(results.parse_results(blocks))
-    n = parsed.select("file", "experiment").distinct().count()
+    parsed, n = results.parse_results(blocks), blocks.count()
     return results.summary_report(results.average_results(parsed, n), {"round": 10, "client": 5}, n)
 
 
@@ -666,9 +778,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_metrics, unflatten_metrics, flatten_params, rebuild_params, shape_params,
         hash_rank, dirichlet_silos, split_70_20_10, split_sizes, class_distribution,
         undersample, class_weights, scale_stats, standard_scale, knn, smote, smote_counts, covariance, pca,
-        pca_variance, embedding_pca_variance, transform_chain,
-        init_zero, gradient_step, one_step_fedavg, one_step_fedf1, fit_logistic, fit_linear_svc, fit_mlp, fit_forest,
-        boost_first, boost_continue, tree_counts, local_fit, local_evaluate, central_baseline, run_rounds,
+        pca_reconstruction, pca_uncorrelated, pca_variance, embedding_pca_variance, transform_chain,
+        init_zero, gradient_step, one_step_fedavg, one_step_fedf1, fit_logistic, fit_linear_svc, optimal_logistic,
+        optimal_linear_svc, step_local_fit, step_local_evaluate, step_rounds_fedavg, step_rounds_fedf1,
+        step_fit_metrics, step_central_baseline, step_sweep, fit_mlp, fit_forest, boost_first, boost_learns, boost_continue, tree_counts, local_fit, local_evaluate, central_baseline, run_rounds,
         boost_rounds, sweep,
         predict, predict_proba, confusion, accuracy, classification_report, log_loss, log_loss_hard,
         eval_set_metric, auc,
