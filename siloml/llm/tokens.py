@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END_ID = 2  # Fixed value: appended to each document
-CACHED = 1_000_000  # chunks that one worker keeps, about 250 MB
+CACHED = 500_000  # chunks that one worker keeps, about 125 MB
 ROWS = 256  # texts that are encoded together
 MARK = "\x01"  # stands between chunks in one call; texts that hold it are encoded whole
 
