@@ -19,17 +19,22 @@ LEAF_ROWS = 2048  # fingerprints of a shard, by the sample
 BLOCK = 512  # fingerprints that are compared with each other without a further split
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, in order; A-Z is lower-cased, a text of fewer words than ``width`` is one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    grams = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), dtype="<u8")
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of a text's word shingles: a bit is set if it is set in over half of the shingles' hashes.
 
     A-Z is lower-cased; a text of fewer words than ``width`` is one shingle; no word (or null) gives 0.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    grams = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), dtype="<u8")
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
