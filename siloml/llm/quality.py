@@ -110,6 +110,22 @@ def most_allowed(n: Column, risk: float, level: float) -> Column:
     return let(first, summed)
 
 
+def _counted(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each stratum the labelled good documents ``n`` and those that each cutoff rejects, stored."""
+    good = stage(labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id"))
+    held = join_measured(measured, good, "doc_id", "left_semi")
+    counts = [F.count(F.when(r > c, 1)).alias(f"{name}_{i}") for name, r in ratios(F.col("m")).items()
+              for i, c in enumerate(CUTOFFS[name])]
+    return stage(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts))
+
+
+def _lowest(allowed: DataFrame) -> DataFrame:
+    return allowed.select("stratum", *[
+        F.least(F.lit(None).cast("double"), F.lit(None).cast("double"), *[
+            F.when(F.col(f"{name}_{i}") <= F.col("k"), F.lit(c)) for i, c in enumerate(CUTOFFS[name])]).alias(name)
+        for name in CUTOFFS])
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """For each stratum the lowest proven cutoff of every rule, null where none is proven.
 
@@ -119,17 +135,26 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     all tests (rules, cutoffs and strata). All labelled documents count. A document with several labels is
     good if all are 1; without a good document there is no cutoff.
     """
-    good = stage(labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id"))
-    held = join_measured(measured, good, "doc_id", "left_semi")
-    counts = [F.count(F.when(r > c, 1)).alias(f"{name}_{i}") for name, r in ratios(F.col("m")).items()
-              for i, c in enumerate(CUTOFFS[name])]
-    counted = stage(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts))
-    tests = len(counts) * max(1, counted.count())
-    allowed = counted.withColumn("k", most_allowed(F.col("n"), risk, delta / tests))
-    return allowed.select("stratum", *[
-        F.least(F.lit(None).cast("double"), F.lit(None).cast("double"), *[
-            F.when(F.col(f"{name}_{i}") <= F.col("k"), F.lit(c)) for i, c in enumerate(CUTOFFS[name])]).alias(name)
-        for name in CUTOFFS])
+    counted = _counted(measured, labels)
+    tests = sum(map(len, CUTOFFS.values())) * max(1, counted.count())
+    return _lowest(counted.withColumn("k", most_allowed(F.col("n"), risk, delta / tests)))
+
+
+def pooled_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Like ``cutoffs``, by tests in a fixed sequence and with a pool for strata with too few labels.
+
+    A rule's cutoffs are tested from the loosest to the tightest and the first that isn't proven ends them, so
+    ``delta`` is divided by the rules and strata only. The pool, all labelled good documents, is one stratum more;
+    its cutoffs count for a stratum whose own labels could not prove a cutoff that rejects none of them.
+    """
+    counted = _counted(measured, labels)
+    names = [c for c in counted.columns if c != "stratum"]
+    level = delta / (len(CUTOFFS) * (counted.count() + 1))
+    pool = counted.agg(*[F.sum(c).alias(f"pool_{c}") for c in names])
+    enough = F.col("n") * math.log1p(-risk) <= math.log(level)
+    chosen = counted.crossJoin(F.broadcast(pool)).select(
+        "stratum", *[F.when(enough, F.col(c)).otherwise(F.col(f"pool_{c}")).alias(c) for c in names])
+    return _lowest(chosen.withColumn("k", most_allowed(F.col("n"), risk, level)))
 
 
 def verdict(m: Column, cuts: DataFrame) -> Column:
@@ -155,7 +180,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents to keep, with all their columns. Cutoffs come first; texts are measured again, not moved."""
-    cuts = stage(cutoffs(measure_documents(docs), labels).withColumnRenamed("stratum", "__stratum"))
+    cuts = stage(pooled_cutoffs(measure_documents(docs), labels).withColumnRenamed("stratum", "__stratum"))
     cuts = cuts.select("__stratum", *[F.col(c).alias(f"__{c}") for c in CUTOFFS])
     joined = join_measured(docs, cuts, F.col("lang").eqNullSafe(F.col("__stratum")))
     named = {c: F.col(f"__{c}") for c in CUTOFFS}

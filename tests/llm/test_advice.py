@@ -37,3 +37,18 @@ def test_near_copies_at_a_similarity_of_08(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], SCHEMA)
     found = {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()}
     assert found == set(roots.values())
+
+
+def test_symbol_spam_is_rejected_with_pooled_labels(spark, tmp_path):
+    """The registered risk and chance prove cutoffs on 2,500 labelled documents of three languages together."""
+    import corpus_pipeline as pipeline
+
+    def text(i, spam):
+        return " ".join(f"w{i * 61 % 997}{k}" for k in range(60)) + " #" * spam
+
+    langs = ["en"] * 1400 + ["de"] * 600 + ["fr"] * 500
+    rows = [(i, text(i, 0), lang, "a", 0) for i, lang in enumerate(langs)]
+    spam = [(5000 + i, text(i, 30), ("en", "de", "fr")[i % 3], "a", 0) for i in range(30)]
+    spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + spam, SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()) == list(range(len(rows)))
