@@ -25,7 +25,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 # numbers don't reach.
 WINDOW = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-HEX_ONLY = re.compile(r"[0-9a-fA-F-]+")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF-")
+JOINTS = re.compile(r"[=/_-]+")  # what joins names and keys; a span reaches to the next one
 LEAST_BITS = {"hex": 3.0, "base64": 3.9}
 # Strings that look random but are public by their form: UUIDs, data checksums with their prefix, and so on.
 ALLOWED = (
@@ -33,8 +34,10 @@ ALLOWED = (
     re.compile(r"(sha(1|224|256|384|512)|md5)[-_][A-Za-z0-9+/=]+"),
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*"),  # words, joined or not
     re.compile(r"[0-9][0-9_/=+-]*"),  # numbers, dates, telephone numbers
-    re.compile(r"[A-Za-z]+([-_/]?[A-Za-z]+)*[-_/=]?[0-9]{1,4}"),  # a name with a number
+    re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/=]?[0-9]{1,4}"),  # a name with a number
 )
+# The first two forms where they stand in a longer string, glued to a name.
+PUBLIC = re.compile("(?<![A-Za-z0-9])(?:%s(?![A-Za-z0-9])|%s)" % (ALLOWED[0].pattern, ALLOWED[1].pattern))
 KINDS_ALL = (*KINDS, "entropy")
 _LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]
 
@@ -52,8 +55,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def hot_windows(s: str, least: float) -> Iterator[int]:
-    """Starts of the windows of ``s`` whose Shannon entropy is ``least`` bits a character or more.
+def window_bits(s: str) -> Iterator[tuple[int, float]]:
+    """Start and Shannon entropy, in bits a character, of every window of ``s``.
 
     The characters' counts go along with the window: one comes, one goes, and the sum of n * log2(n) with them.
     """
@@ -67,27 +70,62 @@ def hot_windows(s: str, least: float) -> Iterator[int]:
             n = counts[gone]
             total += _LOG[n - 1] - _LOG[n]
             counts[gone] = n - 1
-        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= least:
-            yield i - WINDOW + 1
+        if i >= WINDOW - 1:
+            yield i - WINDOW + 1, math.log2(WINDOW) - total / WINDOW
+
+
+def hot_windows(s: str, least: float) -> Iterator[int]:
+    """Starts of the windows of ``s`` whose Shannon entropy is ``least`` bits a character or more."""
+    return (at for at, bits in window_bits(s) if bits >= least)
+
+
+def secret_windows(s: str) -> Iterator[int]:
+    """Starts of the hot windows of ``s``, each by its own alphabet: hex digits with a letter and a digit, or any."""
+    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    other = digit = letter = -1  # the last places of such characters
+    kinds = []
+    for i, c in enumerate(s):
+        other = other if c in HEX_DIGITS else i
+        digit, letter = (i if c.isdigit() else digit), (i if c.isalpha() else letter)
+        if i >= WINDOW - 1:
+            kinds.append(other <= i - WINDOW and min(digit, letter) > i - WINDOW)
+    for at, bits in window_bits(s):
+        if bits >= LEAST_BITS["base64"] and mixed or kinds[at] and bits >= LEAST_BITS["hex"]:
+            yield at
+
+
+def _weighed(s: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``s`` under hot windows, each out to the joints around it; spans that meet are one."""
+    hot, joints = list(secret_windows(s)), [0]
+    if not hot:
+        return
+    ends = [*(m.start() for m in JOINTS.finditer(s)), len(s)]
+    joints += [m.end() for m in JOINTS.finditer(s)]
+    start = stop = None
+    for at in hot:
+        first = max(joints[bisect_right(joints, at) - 1], 0)
+        last = max(at + WINDOW, ends[min(bisect_right(ends, at + WINDOW - 1), len(ends) - 1)])
+        if start is not None and first <= stop:
+            start, stop = min(start, first), max(stop, last)
+            continue
+        if start is not None:
+            yield start, stop
+        start, stop = first, last
+    yield start, stop
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate strings under windows of high entropy, by the alphabet of the string; allowed forms are left out."""
+    """Spans of candidate strings under windows of high entropy, by the windows' alphabets; allowed forms are left out."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(a.fullmatch(s) for a in ALLOWED):
-            continue
-        kind = "hex" if HEX_ONLY.fullmatch(s) else "base64"
-        if kind == "base64" and not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        whole, at = m.group(), 0
+        if any(a.fullmatch(whole) for a in ALLOWED):
             continue
-        hot = list(hot_windows(s, LEAST_BITS[kind]))
-        start = None
-        for i, at in enumerate(hot):
-            start = at if start is None else start
-            if i + 1 == len(hot) or hot[i + 1] > at + WINDOW:
-                out.append((m.start() + start, m.start() + at + WINDOW))
-                start = None
+        for start, stop in [*(p.span() for p in PUBLIC.finditer(whole)), (len(whole), len(whole))]:
+            s = whole[at:start]
+            if len(s) >= WINDOW and not any(a.fullmatch(s) for a in ALLOWED):
+                out += [(m.start() + at + i, m.start() + at + j) for i, j in _weighed(s)]
+            at = stop
     return out
 
 

@@ -52,3 +52,24 @@ def test_symbol_spam_is_rejected_with_pooled_labels(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame(rows + spam, SCHEMA)
     assert sorted(r.doc_id for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()) == list(range(len(rows)))
+
+
+def test_hex_keys_glued_to_names():
+    import time
+
+    from siloml.llm.secrets import secret_spans
+
+    rng = random.Random(3)
+    for name in ("", "AUTH=", "KEY=", "v1/", "SIGNING_KEY=", "id-"):
+        whole = 0
+        for _ in range(300):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(40))
+            start = 4 + len(name)
+            whole += any(s <= start and e >= start + 40 for s, _, e in secret_spans(f"use {name}{key} now"))
+        assert whole >= 298, (name, whole)
+    for clean in ("id=123e4567-e89b-12d3-a456-426614174000", "hash=sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=",
+                  "order-20240101123456789012", "build_2024-12-01/2024-12-31-0000"):
+        assert not [s for s in secret_spans(f"see {clean} here") if s[1] == "entropy"], clean
+    began = time.time()
+    assert not secret_spans("x" * 10_000 + "+") and not secret_spans("xy" * 5_000 + "_=")
+    assert time.time() - began < 2
