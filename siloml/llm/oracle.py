@@ -173,3 +173,84 @@ ORACLE["op9_line_dedup"] = f"""
 WITH {lines_sql("documents")}
 SELECT doc_id, n_lines, n_removed, md5(text) AS text_md5 FROM cleaned
 """
+
+ORACLE["op11_filter_audit"] = r"""
+WITH first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
+said AS (
+  SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic
+  FROM labels GROUP BY doc_id),
+split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f
+  FROM split JOIN first USING (t) LEFT JOIN said USING (doc_id)),
+cells AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed GROUP BY part, f),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM i a, i b, i c, i d, i e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+applied AS (
+  SELECT part, o, step, o[step] AS filter, n, good, toxic, f[o[step]] AS fails,
+         len(list_filter(o[:step - 1], lambda x: f[x])) AS earlier, len(list_filter(f, lambda x: x)) AS failing
+  FROM cells, orders, (SELECT i AS step FROM i)),
+steps AS (
+  SELECT part, o, step, filter,
+         sum(CASE WHEN earlier = 0 AND NOT fails THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN earlier = 0 AND fails THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN earlier > 0 AND fails THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails AND failing = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN earlier = 0 AND fails THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN earlier = 0 AND fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM applied GROUP BY part, o, step, filter)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
+def _codes(books: str, name: str) -> str:
+    """Nearest entry of every part in the codebooks ``books`` (p, e, c)."""
+    return f"""{name} AS (
+  SELECT r, p, any_value(x) AS x, min(z) AS z FROM (
+    SELECT cut.r, cut.p, cut.x, {{'d': CAST(list_sum(list_transform(list_zip(cut.x, b.c), lambda y: (y[1] - y[2]) * (y[1] - y[2]))) AS BIGINT),
+                                 'e': b.e}} AS z
+    FROM cut JOIN {books} b USING (p)) GROUP BY r, p)"""
+
+
+def _moved(books: str, codes: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS c FROM (
+      SELECT p, z.e AS e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+      FROM {codes}, (SELECT unnest(range(1, 5)) AS i) GROUP BY p, z.e, i) GROUP BY p, e) m USING (p, e))"""
+
+
+# The tables' vectors have 64 components: 16 parts of 4. Sums stay below 2^53, and a quotient of two such integers
+# that is not whole differs from the next whole number by more than the rounding.
+ORACLE["op12_vector_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+cut AS (SELECT r, p, x[4 * p + 1:4 * p + 4] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+books0 AS (SELECT p, r - 1 AS e, x AS c FROM cut WHERE r <= 64),
+{_codes('books0', 'codes0')},
+{_moved('books0', 'codes0', 'books1')},
+{_codes('books1', 'codes1')},
+{_moved('books1', 'codes1', 'books2')},
+{_codes('books2', 'codes2')},
+coded AS (
+  SELECT r, string_agg(printf('%02x', z.e), '' ORDER BY p) AS code, CAST(sum(z.d) AS BIGINT) AS error FROM codes2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siloml.llm import (embeddings, linededup, mixing, packing, quality, secrets, sharding, simhash, tokenfile,
-                        urlrules)
+from siloml.llm import (embeddings, filteraudit, linededup, mixing, packing, quality, secrets, sharding, simhash,
+                        tokenfile, urlrules, vectorcodes, weightedprints)
 from siloml.llm.common import read
 
 # The rules and weights that the queries apply.
@@ -80,5 +80,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vectorcodes.encode_vectors(read(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("codes", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    return vectorcodes.with_label_errors(coded.select("vec_id", "label", digits.alias("code"), "error")).select(
+        "vec_id", "code", "error", "label_error", F.lit(vectorcodes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weightedprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_rules, op3_mixing, op4_embeddings, op5_packing, op6_secrets,
-                                   op7_quality, op8_sharding, op9_line_dedup, op10_token_files)}
+                                   op7_quality, op8_sharding, op9_line_dedup, op10_token_files, op11_filter_audit,
+                                   op12_vector_codes, op13_fingerprints)}

@@ -208,3 +208,83 @@ def most_allowed(n, risk, level):
             return k
         k = j
     return k
+
+
+def filter_audit(docs, labels):
+    """Rows (part, order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley), order by order."""
+    import itertools
+
+    least = {}
+    for d in docs:
+        if d["doc_id"] is not None:
+            t = d["text"] or ""
+            least[t] = min(least.get(t, d["doc_id"]), d["doc_id"])
+    good = {r["doc_id"] for r in labels if r["quality"] == 1 and r["doc_id"] is not None}
+    toxic = {r["doc_id"] for r in labels if r["toxic"] == 1 and r["doc_id"] is not None}
+    parts = defaultdict(list)
+    for d in docs:
+        t = d["text"] or ""
+        words = WORDS.findall(t)
+        fails = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words),
+                 "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search(r"[#$%&*|]", t)),
+                 "E": d["doc_id"] is not None and d["doc_id"] > least[t]}
+        parts[d["source"] or ""].append((fails, d["doc_id"] in good, d["doc_id"] in toxic))
+    out = []
+    for part, rows in parts.items():
+        mine, shapley = [], Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if r[0][f]]
+                left = [r for r in left if not r[0][f]]
+                shapley[f] += len(gone)
+                unique = sum(r[0][f] and sum(r[0].values()) == 1 for r in rows)
+                mine.append((part, "".join(order), step, len(left), len(gone), sum(r[0][f] for r in rows) - len(gone), unique,
+                             sum(r[1] for r in gone), sum(r[2] for r in gone)))
+        out += [(*m, shapley[m[1][m[2] - 1]]) for m in mine]
+    return out
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """Rows (vec_id, code, error, label_error, codebooks_sha256), entry by entry in plain integers."""
+    kept = [r for r in rows if r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    d = max(1, -(-max([len(r["embedding"]) for r in kept], default=0) // parts))
+    whole = []
+    for r in kept:
+        x = [max(-(1 << 25), min(1 << 25, math.floor(256 * v))) for v in r["embedding"]] + [0] * (parts * d - len(r["embedding"]))
+        whole.append([x[p * d:(p + 1) * d] for p in range(parts)])
+    order = sorted(range(len(kept)), key=lambda i: (kept[i]["vec_id"] is None, kept[i]["vec_id"] or 0, kept[i]["embedding"]))
+    books = [[whole[i][p] for i in order[:entries]] for p in range(parts)]
+
+    def nearest(book, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for x in whole:
+                members[nearest(books[p], x[p])[1]].append(x[p])
+            books[p] = [[sum(c) // len(members[i]) for c in zip(*members[i])] if i in members else e for i, e in enumerate(books[p])]
+    found = [[nearest(books[p], x[p]) for p in range(parts)] for x in whole]
+    errors = [sum(e for e, _ in f) for f in found]
+    by_label = Counter()
+    for r, e in zip(kept, errors):
+        by_label[r["label"]] += e
+    digest = hashlib.sha256(",".join(str(v) for b in books for e in b for v in e).encode()).hexdigest()
+    return [(r["vec_id"], "".join(f"{i:02x}" for _, i in f), e, by_label[r["label"]], digest) for r, f, e in zip(kept, found, errors)]
+
+
+def generalised_jaccard(a, b):
+    """Sum of the lesser by sum of the greater word counts; 1 for two texts without words."""
+    a, b = Counter(WORDS.findall(a)), Counter(WORDS.findall(b))
+    most = sum((a | b).values())
+    return sum((a & b).values()) / most if most else 1.0
+
+
+def in_descending_order(docs):
+    """Documents by descending id, nulls last, ties by the text's hash as a signed number."""
+    def signed(t):
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted(docs, key=lambda d: (d["doc_id"] is None, -(d["doc_id"] or 0), signed(d["text"])))

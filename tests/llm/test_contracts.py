@@ -201,3 +201,41 @@ def test_op9(spark, at):
         empty = d["text"] is None
         want.append((d["doc_id"], n, gone, None if empty else hashlib.md5(text.encode()).hexdigest()))
     same(found, want)
+
+
+def test_op11(spark, at):
+    found = got(spark, "op11_filter_audit", at)
+    same([(r.part, r.filter_order, r.step, r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley)
+          for r in found], brute.filter_audit(rows_of(at, "documents"), rows_of(at, "labels")))
+
+
+def test_op12(spark, at):
+    same([(r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got(spark, "op12_vector_codes", at)],
+         brute.vector_codes(rows_of(at, "embeddings")))
+
+
+def test_op13(spark, at):
+    import hashlib
+
+    found = got(spark, "op13_fingerprints", at)
+    docs = brute.in_descending_order(rows_of(at, "documents"))
+    texts = [d["text"] or "" for d in docs]
+    want, prints, alike, apart = [], {}, [], []
+    for d, t, after in zip(docs, texts, [*texts[1:], *texts[:1]]):
+        k = len(t) // 3
+        edited = t[:len(t) - k] + after[:k]
+        want.append((d["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest()))
+        prints[want[-1]] = (t, edited, after)
+    same([(r.doc_id, r.n_chars, r.edited_sha256) for r in found], want)
+    of_text = {}
+    for r in found:
+        t, edited, after = prints[r.doc_id, r.n_chars, r.edited_sha256]
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == 256
+        assert of_text.setdefault(t, r.fingerprint) == r.fingerprint
+        assert of_text.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+        alike.append(r.near_edited - brute.generalised_jaccard(t, edited))
+        apart.append(r.near_next - brute.generalised_jaccard(t, after))
+    # 64 samples of a share p: a standard error of at most 1/16, less over many documents.
+    for off in (alike, apart):
+        assert all(abs(x) < 0.3 for x in off) and (len(off) < 100 or abs(sum(off) / len(off)) < 0.02)
+    same([tuple(r) for r in found], [tuple(r) for r in got(spark, "op13_fingerprints", at)])
