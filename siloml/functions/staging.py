@@ -26,13 +26,22 @@ def staging_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as parquet and read it back: survives executor loss, keeps column pruning."""
-    spark = df.sparkSession
-    path = f"{staging_dir(spark)}/stage-{uuid.uuid4().hex}"
+    return stage_at(df, f"{staging_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}", partition_by)
+
+
+def stage_at(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``stage`` at a given place, for a caller that discards the table itself."""
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 SETTLE_ROWS = 10_000

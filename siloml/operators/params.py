@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siloml.spec import CLIENT
 
@@ -50,10 +49,8 @@ def shape_params(flat: DataFrame, inputs: int, hidden: int, outputs: int = 1) ->
     return flat.select("round", CLIENT, layer.alias("layer"), (F.col("pos") - start).alias("pos"), "value")
 
 
-def linear_table(spark: SparkSession, weights: Mapping[int, np.ndarray], round_no: int, kind: str = "int") -> DataFrame:
-    """{client: [w..., b]} -> long rows; ``kind`` is the type of the silo ids."""
-    rows = [
-        (round_no, int(c), WEIGHTS if i < len(w) - 1 else INTERCEPT, i if i < len(w) - 1 else 0, float(v))
-        for c, w in weights.items() for i, v in enumerate(w)
-    ]
-    return spark.createDataFrame(rows, SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))
+def linear_table(fits: DataFrame, width: int, round_no: int) -> DataFrame:
+    """(client_id, vector [w..., b]) -> long rows of two layers."""
+    layers = F.array(F.slice("vector", 1, width), F.slice("vector", width + 1, 1))
+    return fits.select(CLIENT, F.posexplode(layers).alias("layer", "part")).select(
+        F.lit(round_no).alias("round"), CLIENT, "layer", F.posexplode("part").alias("pos", "value"))

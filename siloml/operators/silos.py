@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from siloml.functions.joins import attach, group_count
 from siloml.operators.hashrank import hash_cuts, interval_of
-from siloml.spec import CLIENT, LABEL, ROW_ID, SPLIT, TEST, TRAIN, VAL
+from siloml.spec import CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TEST, TRAIN, VAL
 
 ATTEMPTS = 10
 
@@ -119,3 +119,13 @@ def class_weights(df: DataFrame) -> DataFrame:
     return counts.join(totals, CLIENT).select(
         CLIENT, LABEL, "n", (F.col("n_all") / (F.col("k") * F.col("n"))).alias("weight")
     )
+
+
+def silo_health(df: DataFrame) -> DataFrame:
+    """(client_id, n_train, n_test, bad_train, bad_test): rows of the silos, and those with null or non-finite values."""
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    bad = F.exists(FEATURES, odd) | F.col(LABEL).isNull()
+    of = lambda split: F.col(SPLIT) == split
+    return df.groupBy(CLIENT).agg(
+        F.count_if(of(TRAIN)).alias("n_train"), F.count_if(of(TEST)).alias("n_test"),
+        F.count_if(of(TRAIN) & bad).alias("bad_train"), F.count_if(of(TEST) & bad).alias("bad_test"))

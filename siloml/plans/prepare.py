@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from siloml.functions.joins import group_count
-from siloml.functions.staging import stage
+from siloml.functions.staging import settle, stage
 from siloml.operators.frame import one_hot, feature_columns, select_columns, split_xy
 from siloml.operators.resample import smote, train_class_counts, undersample
 from siloml.operators.scale import pca, standard_scale
-from siloml.operators.silos import dirichlet_silos, natural_silos, split_70_20_10
+from siloml.operators.silos import dirichlet_silos, natural_silos, silo_health, split_70_20_10
 from siloml.spec import CLIENT, CONTRACT, FEATURES, LABEL, PrepareSpec
 
 
@@ -27,6 +28,11 @@ class Prepared:
     def width(self) -> int:
         return len(self.names)
 
+    @functools.cached_property
+    def health(self) -> DataFrame:
+        """``silo_health`` of the rows, counted once."""
+        return settle(silo_health(self.df))
+
     def clients(self) -> list[int]:
         return [r[0] for r in self.df.select(CLIENT).distinct().orderBy(CLIENT).collect()]
 
@@ -76,7 +82,8 @@ def transform_chain(df: DataFrame, spec: PrepareSpec, n_silos: int) -> Prepared:
         vectors = pca(vectors, spec.pca, len(names), n_silos)
         names = [str(i) for i in range(spec.pca)]
     prepared = stage(vectors.select(*CONTRACT, FEATURES))
-    require_numbers(prepared, names)
+    if spec.refuse_bad:
+        require_numbers(prepared, names)
     return Prepared(prepared, tuple(names), n_silos)
 
 

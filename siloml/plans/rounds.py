@@ -15,6 +15,8 @@ from siloml.operators.params import rebuild_params
 from siloml.plans.prepare import Prepared, transform_chain
 from siloml.spec import CLIENT, SPLIT, TEST, TRAIN, VAL, PrepareSpec, RoundSpec
 from siloml.training import boost as B
+from siloml.training import forest as FO
+from siloml.training import iterate as I
 from siloml.training import linear as L
 from siloml.training import networks as N
 
@@ -41,21 +43,41 @@ def fit_metrics(scored: DataFrame, round_no: int) -> DataFrame:
     return local_report(scored, VAL, round_no).unionByName(train)
 
 
+def health_status(n: str, bad: str):
+    return F.when(F.col(n) == 0, I.NO_ROWS).when(F.col(bad) > 0, I.NON_FINITE).otherwise(I.OK)
+
+
 def facts_of(prepared: Prepared, metrics: DataFrame, round_no: int) -> DataFrame:
-    """(round, client_id, n_examples, f1, status) of a fit: training rows and class-1 validation F1."""
-    n = prepared.df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(F.count("*").alias("n_examples"))
+    """(round, client_id, n_examples, f1, status) of a fit: training rows, class-1 validation F1, health of the rows."""
+    n = prepared.health.select(CLIENT, F.col("n_train").alias("n_examples"), health_status("n_train", "bad_train").alias("status"))
     f1 = metrics.where("class = '1' and metric = 'f1-score'").select(CLIENT, F.col("value").alias("f1"))
     return n.join(f1, CLIENT, "left").select(
-        F.lit(round_no).alias("round"), CLIENT, "n_examples",
-        F.coalesce("f1", F.lit(0.0)).alias("f1"), F.lit("OK").alias("status"))
+        F.lit(round_no).alias("round"), CLIENT, "n_examples", F.coalesce("f1", F.lit(0.0)).alias("f1"), "status")
+
+
+def with_fit_status(facts: DataFrame, fits: DataFrame | None) -> DataFrame:
+    """Facts whose fit has failed say how (``fits``: client_id, status); silos without a fit keep theirs."""
+    if fits is None:
+        return facts
+    said = fits.select(CLIENT, F.col("status").alias("fit_status"))
+    status = F.when(F.col("status") == I.OK, F.coalesce("fit_status", "status")).otherwise(F.col("status"))
+    return facts.join(said, CLIENT, "left").withColumn("status", status).drop("fit_status").select(*facts.columns)
+
+
+def shared_vector(shared: DataFrame) -> np.ndarray:
+    """One merged model as a vector."""
+    return np.array(rebuild_params(shared, []).first()["vector"])
 
 
 class Trainer:
-    """One model family over a prepared frame: ``fit`` -> parameter rows, ``score`` -> pred and prob."""
+    """One model family over a prepared frame: ``fit`` -> parameter rows, ``score`` -> pred and prob.
+
+    ``fits`` (client_id, status) says afterwards which silos' fits have failed, if the family knows.
+    """
 
     def __init__(self, prepared: Prepared, spec):
-        self.prepared, self.spec, self.clients = prepared, spec, prepared.clients()
-        self.models: dict | None = None
+        self.prepared, self.spec = prepared, spec
+        self.fits: DataFrame | None = None
 
     def fit(self, round_no: int, shared: DataFrame | None, steps: int | None) -> DataFrame:
         raise NotImplementedError
@@ -66,12 +88,9 @@ class Trainer:
 
 class LinearTrainer(Trainer):
     def fit(self, round_no, shared, steps):
-        start = None
-        if shared is not None:
-            w = np.array(rebuild_params(shared, []).first()["vector"])
-            start = {c: w for c in self.clients}
-        table, self.residuals, _ = L.fit_linear(
-            self.prepared.df, self.spec, self.prepared.width, self.clients, start, steps, round_no)
+        start = None if shared is None else shared_vector(shared)
+        table, self.fits = L.fit_linear(
+            self.prepared.df, self.spec, self.prepared.width, start, steps, round_no, self.prepared.n_silos, strict=False)
         return table
 
     def score(self, params, shared):
@@ -92,44 +111,30 @@ class GradientTrainer(Trainer):
         return L.predict_linear(self.prepared.df, params, self.prepared.width, self.prepared.n_silos, shared)
 
 
-class PerSiloTrainer(Trainer):
-    """Families fitted silo by silo: the rows are staged by silo, so that a fit reads its own directory."""
-
-    def __init__(self, prepared, spec):
-        super().__init__(replace(prepared, df=stage(prepared.df, [CLIENT])), spec)
-
-
-class MlpTrainer(PerSiloTrainer):
+class MlpTrainer(Trainer):
     def fit(self, round_no, shared, steps):
-        start = None
-        if shared is not None:
-            w = rebuild_params(shared, []).first()["vector"]
-            start = {c: w for c in self.clients}
-        spec = self.spec if steps is None else replace(self.spec, max_iter=steps)
-        models = N.fit_mlp(self.prepared.df, spec, self.prepared.width, self.clients, start)
-        return N.mlp_table(self.prepared.df.sparkSession, models, round_no)
+        start = None if shared is None else shared_vector(shared)
+        self.fits = N.fit_mlp(self.prepared.df, self.spec, self.prepared.width, start, steps)
+        return N.mlp_table(self.fits, self.prepared.width, self.spec.hidden, round_no)
 
     def score(self, params, shared):
-        if shared:
-            weights = list(rebuild_params(params, []).first()["vector"])
-        else:
-            weights = {r[CLIENT]: list(r["vector"]) for r in rebuild_params(params, [CLIENT]).collect()}
-        return N.predict_mlp(self.prepared.df, weights, self.prepared.width, self.spec.hidden)
+        p = self.prepared
+        return N.predict_mlp(p.df, params, p.width, self.spec.hidden, p.n_silos, shared)
 
 
-class ForestTrainer(PerSiloTrainer):
+class ForestTrainer(Trainer):
     """Only hyper-parameters are merged; every silo keeps scoring with its own trees."""
 
     def fit(self, round_no, shared, steps):
-        overrides = None
+        spec = self.spec
         if shared is not None:
-            v = [int(x) for x in rebuild_params(shared, []).first()["vector"]]
-            overrides = {c: tuple(v) for c in self.clients}
-        self.models = N.fit_forest(self.prepared.df, self.spec, self.clients, overrides)
-        return N.forest_table(self.prepared.df.sparkSession, self.clients, self.spec, round_no)
+            trees, depth, split, leaf = (int(v) for v in shared_vector(shared))
+            spec = replace(spec, n_trees=trees, max_depth=depth, min_samples_split=split, min_samples_leaf=leaf)
+        self.trees = FO.fit_forest(self.prepared.df, spec, self.prepared.width, self.prepared.n_silos, round_no)
+        return FO.forest_table(self.prepared.df.select(CLIENT).distinct(), spec, round_no)
 
     def score(self, params, shared):
-        return N.predict_models(self.prepared.df, self.models)
+        return FO.predict_forest(self.prepared.df, self.trees, self.prepared.n_silos)
 
 
 class BoostTrainer(Trainer):
@@ -138,7 +143,7 @@ class BoostTrainer(Trainer):
         self.edges = stage(B.edge_table(prepared.df, prepared.width, spec.max_bins))
 
     def fit(self, round_no, shared, steps):
-        return B.boost(self.prepared.df, self.spec, self.prepared.width, self.clients, shared, round_no, self.edges)
+        return B.boost(self.prepared.df, self.spec, self.prepared.width, self.prepared.clients(), shared, round_no, self.edges)
 
     def score(self, params, shared):
         return B.predict_boost(self.prepared.df, params, shared, self.spec.base_margin)
@@ -158,7 +163,7 @@ def local_fit(t: Trainer, round_no: int = 1, shared: DataFrame | None = None, st
     """Fit all silos from the shared parameters: (parameters, fit metrics, facts)."""
     params = t.fit(round_no, shared, steps)
     metrics = settle(fit_metrics(t.score(params, False), round_no))
-    return params, metrics, settle(facts_of(t.prepared, metrics, round_no))
+    return params, metrics, settle(with_fit_status(facts_of(t.prepared, metrics, round_no), t.fits))
 
 
 def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str = TEST) -> DataFrame:
@@ -184,8 +189,8 @@ def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str
 
 def evaluation_facts(prepared: Prepared, round_no: int) -> DataFrame:
     """Facts that weight evaluation metrics: test rows per silo."""
-    n = prepared.df.where(F.col(SPLIT) == TEST).groupBy(CLIENT).agg(F.count("*").alias("n_examples"))
-    return n.select(F.lit(round_no).alias("round"), CLIENT, "n_examples", F.lit(0.0).alias("f1"), F.lit("OK").alias("status"))
+    return prepared.health.select(F.lit(round_no).alias("round"), CLIENT, F.col("n_test").alias("n_examples"),
+                                  F.lit(0.0).alias("f1"), health_status("n_test", "bad_test").alias("status"))
 
 
 def run_rounds(
@@ -212,7 +217,7 @@ def run_rounds(
     all_fit: DataFrame | None = None
     all_trees: DataFrame | None = None
     all_facts: DataFrame | None = None
-    tests = settle(evaluation_facts(prepared, 0))
+    tests = settle(evaluation_facts(prepared, 0).where(F.col("status") == I.OK))
     for r in range(1, spec.rounds + 1):
         if boosted or not spec.one_shot or fits is None:
             start = shared if boosted or not spec.one_shot else None
@@ -254,8 +259,8 @@ def run_rounds(
 
 def merge_fit_metrics(prepared: Prepared, fit_rows: DataFrame) -> DataFrame:
     """(round, class, metric, value): the fit metrics of each round weighted by the silos' training rows."""
-    n = prepared.df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(F.count("*").alias("n_examples"))
-    facts = fit_rows.select("round", CLIENT).distinct().join(settle(n), CLIENT)
+    n = prepared.health.select(CLIENT, F.col("n_train").alias("n_examples"))
+    facts = fit_rows.select("round", CLIENT).distinct().join(n, CLIENT)
     return M.weighted_metrics(fit_rows, facts)
 
 

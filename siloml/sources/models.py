@@ -1,4 +1,4 @@
-"""Saving and loading models: parameter and tree tables as JSON lines, MLlib models in their own format."""
+"""Saving and loading models of every family: parameter and tree tables as JSON lines."""
 
 from __future__ import annotations
 
@@ -14,11 +14,3 @@ def write_model(table: DataFrame, path: str) -> None:
 def read_model(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     ddl = schema if isinstance(schema, str) else schema.simpleString()
     return spark.read.text(path).select(F.from_json("value", ddl).alias("r")).select("r.*")
-
-
-def write_mllib(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def read_mllib(model_class, path: str):
-    return model_class.load(path)

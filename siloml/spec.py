@@ -34,6 +34,7 @@ class PrepareSpec:
     undersample: bool = False
     pca: int = 0
     kbest: tuple[str, ...] = ()
+    refuse_bad: bool = True  # raise on null or non-finite features; otherwise their silos' fits fail
 
     def __post_init__(self):
         validate_options(self.smote, self.undersample, self.pca)
@@ -83,6 +84,7 @@ class MlpSpec:
     hidden: int = 100
     max_iter: int = 1000
     tol: float = 1e-4
+    alpha: float = 1e-4
     seed: int = 42
     family: str = "mlp"
 
@@ -93,6 +95,7 @@ class ForestSpec:
     max_depth: int = 10
     min_samples_split: int = 5
     min_samples_leaf: int = 1
+    max_bins: int = 256
     seed: int = 42
     balanced: bool = False
     family: str = "forest"

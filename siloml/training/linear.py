@@ -1,8 +1,7 @@
 """L1 logistic regression and squared-hinge SVM for all silos at once.
 
-One Spark job per iteration sums loss, gradient and Hessian of every silo (numpy over Arrow batches in the
-tasks, silos x d^2 numbers back); the driver solves one d x d problem per silo. Silos whose statistics
-would not fit the driver bound together are trained in groups.
+A pass sums loss, gradient and Hessian of every silo (numpy over blocks of rows in the tasks), and each silo takes
+its damped Newton step in a task; the steps' state is a table (``iterate``), so any number of silos can be fitted.
 """
 
 from __future__ import annotations
@@ -10,52 +9,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from siloml.functions.joins import attach
-from siloml.functions.moments import silo_sums
+from siloml.functions.joins import attach, group_count
 from siloml.functions.vectors import dot, sigmoid
 from siloml.operators.params import linear_table, rebuild_params
 from siloml.operators.silos import class_weights
-from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, LogisticSpec, SvcSpec, silo_type
-
-STATE_BYTES = 256 * 1024 * 1024
-
-
-def _statistic(family: str, weights: dict[int, np.ndarray], balance: dict[int, dict[int, float]]):
-    """Per-silo [n, loss, gradient, Hessian upper triangle] at ``weights`` = {client: [w..., b]}.
-
-    ``balance``: {client: {label: sample weight}}, empty for unit weights.
-    """
-
-    def logistic(y, m):
-        p = 1.0 / (1.0 + np.exp(-m))
-        return np.logaddexp(0.0, m) - y * m, p - y, p * (1.0 - p)
-
-    def squared_hinge(y, m):
-        s = 2.0 * y - 1.0
-        short = np.maximum(0.0, 1.0 - s * m)
-        return short ** 2, -2.0 * s * short, 2.0 * (short > 0)
-
-    terms = logistic if family == "logistic" else squared_hinge
-
-    def statistic(client, x, extra):
-        y = extra[LABEL].astype(float)
-        per_label = balance.get(client)
-        sw = np.where(y > 0, per_label.get(1, 1.0), per_label.get(0, 1.0)) if per_label else np.ones(len(y))
-        x1 = np.hstack([x, np.ones((len(x), 1))])
-        loss, slope, curve = terms(y, x1 @ weights[client])
-        hessian = (x1 * (sw * curve)[:, None]).T @ x1
-        return np.concatenate([
-            [len(x), float(sw @ loss)], x1.T @ (sw * slope), hessian[np.triu_indices(x1.shape[1])],
-        ])
-
-    return statistic
-
-
-def _unpack(sums, d):
-    sums = np.asarray(sums)
-    h = np.zeros((d, d))
-    h[np.triu_indices(d)] = sums[2 + d:]
-    return sums[0], sums[1], sums[2:2 + d], h + np.triu(h, 1).T
+from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, LogisticSpec, SvcSpec
+from siloml.training.iterate import NOT_CONVERGED, OK, fit_silos, require_fitted
 
 
 def _soft(v, t):
@@ -81,97 +40,91 @@ def _l1_step(w, g, h, penalty, sweeps=200):
     return z
 
 
-class _Silo:
-    """Damped Newton state of one silo; one statistics row per iteration moves it on."""
-
-    def __init__(self, start, spec):
-        self.spec, self.best, self.target = spec, start.copy(), None
-        self.trial, self.value, self.done, self.residual = start.copy(), np.inf, False, np.inf
-        penalty = np.ones(len(start))
-        penalty[-1] = 1.0 if spec.penalise_intercept else 0.0
-        self.penalty = penalty
-
-    def advance(self, n, loss, g, h):
-        spec, w, l1 = self.spec, self.trial, self.spec.family == "logistic"
-        g, h = spec.C * g, spec.C * h
-        value = spec.C * loss + (np.abs(w) @ self.penalty if l1 else 0.5 * (w * w) @ self.penalty)
-        if value > self.value + 1e-12 * abs(self.value) and self.target is not None:
-            self.trial = self.best + 0.5 * (self.trial - self.best)  # overshoot: halve the step
-            self.done = bool(np.max(np.abs(self.trial - self.best)) < 1e-12)
-            return
-        self.best, self.value = w.copy(), value
+class Newton:
+    """Damped Newton steps of one silo. Memory: [objective, residual], then the best [w..., b]."""
+
+    def __init__(self, spec: LogisticSpec | SvcSpec, width: int):
+        self.spec, self.size = spec, width + 1
+        self.penalty = np.ones(self.size)
+        self.penalty[-1] = 1.0 if spec.penalise_intercept else 0.0
+
+    def statistic(self, vector, x, y, w):
+        """[rows, loss, gradient, upper triangle of the Hessian] sums."""
+        x1 = np.hstack([x, np.ones((len(x), 1))])
+        m = x1 @ vector
+        if self.spec.family == "logistic":
+            p = 1.0 / (1.0 + np.exp(-m))
+            loss, slope, curve = np.logaddexp(0.0, m) - y * m, p - y, p * (1.0 - p)
+        else:
+            s = 2.0 * y - 1.0
+            short = np.maximum(0.0, 1.0 - s * m)
+            loss, slope, curve = short ** 2, -2.0 * s * short, 2.0 * (short > 0)
+        hessian = (x1 * (w * curve)[:, None]).T @ x1
+        return np.concatenate([[len(x), float(w @ loss)], x1.T @ (w * slope), hessian[np.triu_indices(self.size)]])
+
+    def advance(self, vector, memory, sums):
+        spec, d, w, l1 = self.spec, self.size, vector, self.spec.family == "logistic"
+        g, h = spec.C * sums[2:2 + d], np.zeros((d, d))
+        h[np.triu_indices(d)] = spec.C * sums[2 + d:]
+        h += np.triu(h, 1).T
+        value = spec.C * sums[1] + (np.abs(w) @ self.penalty if l1 else 0.5 * (w * w) @ self.penalty)
+        if len(memory) and value > memory[0] + 1e-12 * abs(memory[0]):  # overshoot: halve the step
+            trial = memory[2:] + 0.5 * (w - memory[2:])
+            return trial, memory, bool(np.max(np.abs(trial - memory[2:])) < 1e-12), float(memory[1])
         if l1:
             at_zero = np.maximum(np.abs(g) - self.penalty, 0.0)
             residual = np.where(w != 0, np.abs(g + np.sign(w) * self.penalty), at_zero)
-            self.target = _l1_step(w, g, h + 1e-10 * np.eye(len(w)), self.penalty)
         else:
             grad = g + w * self.penalty
             residual = np.abs(grad)
-            self.target = w - np.linalg.solve(h + np.diag(self.penalty) + 1e-12 * np.eye(len(w)), grad)
-        self.residual = float(residual.max()) / max(1.0, spec.C * n)
-        self.done = self.residual < spec.tol
-        self.trial = self.target
+        residual = float(residual.max()) / max(1.0, spec.C * sums[0])
+        kept = np.concatenate([[value, residual], w])
+        if residual < spec.tol:
+            return w, kept, True, residual
+        if l1:
+            target = _l1_step(w, g, h + 1e-10 * np.eye(d), self.penalty)
+        else:
+            target = w - np.linalg.solve(h + np.diag(self.penalty) + 1e-12 * np.eye(d), grad)
+        return target, kept, False, residual
+
+    def best(self, vector, memory):
+        return memory[2:] if len(memory) else vector
 
 
 def weighted_rows(df: DataFrame, balanced: bool, n_silos: int) -> DataFrame:
-    """Training rows as (client_id, label, features, sample_weight)."""
-    train = df.where(F.col(SPLIT) == TRAIN)
+    """Rows as (client_id, split, label, features, sample_weight); weights are those of the training rows' classes."""
     if not balanced:
-        return train.select(CLIENT, LABEL, FEATURES, F.lit(1.0).alias("sample_weight"))
+        return df.select(CLIENT, SPLIT, LABEL, FEATURES, F.lit(1.0).alias("sample_weight"))
     weights = class_weights(df).select(CLIENT, LABEL, F.col("weight").alias("sample_weight"))
-    return attach(train, weights, [CLIENT, LABEL], 2 * n_silos, 64).select(CLIENT, LABEL, FEATURES, "sample_weight")
+    return attach(df, weights, [CLIENT, LABEL], 2 * n_silos, 64, how="left").select(
+        CLIENT, SPLIT, LABEL, FEATURES, "sample_weight")
 
 
 def fit_linear(
     df: DataFrame,
     spec: LogisticSpec | SvcSpec,
     width: int,
-    clients: list[int],
-    start: dict[int, np.ndarray] | None = None,
+    start: DataFrame | np.ndarray | None = None,
     steps: int | None = None,
     round_no: int = 1,
-) -> tuple[DataFrame, dict[int, float], dict[int, np.ndarray]]:
+    n_silos: int | None = None,
+    strict: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """Fit every silo of a staged frame (contract columns + features).
 
-    ``steps`` limits the Newton steps (None: to convergence). Returns the parameter table, the optimality
-    residual per silo and the weights.
+    ``start``: a vector [w..., b] for all silos, or (client_id, vector); zero if None. ``steps`` limits the Newton steps
+    (None: to convergence). Returns the parameter table and the fits (client_id, vector, status, passes, residual), where
+    the residual is that of the optimality condition. A silo that has no training rows, holds non-finite values or is
+    not optimal after ``max_iter`` passes says so in its status; with ``strict`` it is an error.
     """
-    d = width + 1
-    group = max(1, STATE_BYTES // (8 * d * d))
-    fitted: dict[int, np.ndarray] = {}
-    residuals: dict[int, float] = {}
-    for s in range(0, len(clients), group):
-        block = clients[s:s + group]
-        rows = df if len(block) == len(clients) else df.where(F.col(CLIENT).isin(block))
-        balance: dict[int, dict[int, float]] = {}
-        if spec.balanced:  # silos x labels numbers, so no join is repeated per step
-            for r in class_weights(rows).collect():
-                balance.setdefault(r[CLIENT], {})[r[LABEL]] = r["weight"]
-        rows = rows.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
-        states = {c: _Silo(np.zeros(d) if start is None else np.asarray(start[c], float), spec) for c in block}
-        for _ in range(steps + 1 if steps is not None else spec.max_iter):
-            live = [c for c in block if not states[c].done]
-            if not live:
-                break
-            some = rows if len(live) == len(block) else rows.where(F.col(CLIENT).isin(live))
-            at = {c: states[c].trial for c in live}
-            seen = set()
-            for r in silo_sums(some, _statistic(spec.family, at, balance), [LABEL]).collect():
-                if not np.isfinite(r["sums"]).all():
-                    raise ValueError(f"silo {r[CLIENT]}: null, NaN or infinite values in its training rows")
-                states[r[CLIENT]].advance(*_unpack(r["sums"], d))
-                seen.add(r[CLIENT])
-            for c in set(live) - seen:  # a silo without training rows keeps its start
-                states[c].done = True
-        if steps is None:
-            open_silos = {c: states[c].residual for c in block if not states[c].done}
-            if open_silos:
-                worst = max(open_silos, key=open_silos.get)
-                raise ValueError(f"{len(open_silos)} silos not optimal after {spec.max_iter} steps, e.g. silo {worst}: "
-                                 f"residual {open_silos[worst]:.3g}; raise max_iter or tol")
-        fitted.update({c: states[c].best for c in block})
-        residuals.update({c: states[c].residual for c in block})
-    return linear_table(df.sparkSession, fitted, round_no, silo_type(df)), residuals, fitted
+    n_silos = group_count(df, [CLIENT]) if n_silos is None else n_silos
+    rows = weighted_rows(df, spec.balanced, n_silos)
+    start = np.zeros(width + 1) if start is None else start
+    fits = fit_silos(rows, Newton(spec, width), start, spec.max_iter if steps is None else steps + 1,
+                     NOT_CONVERGED if steps is None else OK)
+    if strict:
+        require_fitted(fits)
+    return linear_table(fits, width, round_no), fits
 
 
 def linear_margin(df: DataFrame, params: DataFrame, width: int, n_silos: int, shared: bool = False,

@@ -1,147 +1,167 @@
-"""One-hidden-layer networks and forests: one MLlib fit per silo, each distributed over the silo's rows.
+"""One-hidden-layer networks of all silos: back-propagated gradient sums, limited-memory quasi-Newton steps.
 
-Fits are submitted from a few driver threads, so that their jobs interleave. Meant for tens of silos on a
-staged table; the linear and boosted trainers handle any number of silos in one job.
+A vector holds w1 (inputs x hidden), w2 (hidden), b1 (hidden) and b2, in this order. Hidden units are rectified, the
+output is logistic. A pass over the rows is one job for all silos (``iterate``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
-import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from siloml.functions.moments import by_silo, matrix
-from siloml.operators.params import SCHEMA
-from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, ForestSpec, MlpSpec
-from siloml.training.linear import weighted_rows
+from siloml.functions.blocks import map_with_side
+from siloml.operators.params import flatten_params, rebuild_params, shape_params
+from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, MlpSpec
+from siloml.training.iterate import fit_silos
 
-THREADS = 4
+PAIRS = 10  # steps that the quasi-Newton direction remembers
+CALM = 10  # accepted steps in a row that gain less than tol end a fit
 
 
-def _each(clients: Sequence[int], spark, fit: Callable):
-    """{client: fit(client)} from a small thread pool."""
-    if len(clients) == 1:
-        return {clients[0]: fit(clients[0])}
-    pool = ThreadPool(min(THREADS, len(clients)))
-    try:
-        return dict(zip(clients, pool.map(inheritable_thread_target(spark)(fit), clients)))
-    finally:
-        pool.close()
+def n_weights(width: int, hidden: int) -> int:
+    return width * hidden + 2 * hidden + 1
 
 
-def fit_mlp(
-    df: DataFrame, spec: MlpSpec, width: int, clients: Sequence[int], start: dict | None = None
-) -> dict[int, MultilayerPerceptronClassificationModel]:
-    """Per-silo networks; ``start`` = {client: flat weights} is a true warm start."""
-    rows = df.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, array_to_vector(FEATURES).alias("x"))
+def start_weights(width: int, hidden: int, seed: int) -> np.ndarray:
+    """Uniform start inside +-sqrt(6 / (fan in + fan out)) of each layer, biases too; the same in every silo."""
+    rng = np.random.default_rng(seed)
+    first, second = np.sqrt(6.0 / (width + hidden)), np.sqrt(6.0 / (hidden + 1))
+    return np.concatenate([
+        rng.uniform(-first, first, width * hidden), rng.uniform(-second, second, hidden),
+        rng.uniform(-first, first, hidden), rng.uniform(-second, second, 1)])
 
-    def fit(client):
-        learner = MultilayerPerceptronClassifier(
-            featuresCol="x", labelCol=LABEL, layers=[width, spec.hidden, 2], maxIter=spec.max_iter,
-            tol=spec.tol, seed=spec.seed, solver="l-bfgs",
-        )
-        if start is not None:
-            learner = learner.setInitialWeights(Vectors.dense(start[client]))
-        return learner.fit(rows.where(F.col(CLIENT) == client))
 
-    return _each(list(clients), df.sparkSession, fit)
+def layers(vector: np.ndarray, width: int, hidden: int):
+    cut = width * hidden
+    return vector[:cut].reshape(width, hidden), vector[cut:cut + hidden], vector[cut + hidden:cut + 2 * hidden], vector[-1]
 
 
-def mlp_table(spark, models: dict, round_no: int) -> DataFrame:
-    """Long parameter rows of the networks' flat weights."""
-    return spark.createDataFrame([
-        (round_no, int(c), 0, i, float(v)) for c, m in models.items() for i, v in enumerate(m.weights.toArray())
-    ], SCHEMA)
+def margins(vector: np.ndarray, x: np.ndarray, hidden: int) -> np.ndarray:
+    w1, w2, b1, b2 = layers(vector, x.shape[1], hidden)
+    return np.maximum(x @ w1 + b1, 0.0) @ w2 + b2
 
 
-def predict_mlp(df: DataFrame, weights: dict[int, Sequence[float]] | Sequence[float], width: int, hidden: int) -> DataFrame:
-    """Add ``prob`` and ``pred`` of networks given by their flat weights (per silo, or one for all).
+class Network:
+    """Mean log loss plus alpha / 2n times the squared weights (biases are free), all rows in a step.
 
-    Layout as in MLlib: w1 (inputs x hidden), b1, w2 (hidden x 2), b2; sigmoid hidden units, softmax output.
+    The memory of a silo: [pairs, loss, step, calm steps, accepted], the best vector, its gradient, the direction,
+    then PAIRS moves and PAIRS gradient changes, the latest last.
     """
-    def layers(flat):
-        flat = np.asarray(flat, dtype=float)
-        e1 = width * hidden
-        e2, e3 = e1 + hidden, e1 + hidden + 2 * hidden
-        return flat[:e1].reshape(width, hidden), flat[e1:e2], flat[e2:e3].reshape(hidden, 2), flat[e3:]
-
-    shared = layers(weights) if not isinstance(weights, dict) else None
-    own = {c: layers(w) for c, w in weights.items()} if shared is None else {}
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = matrix(batch.column(FEATURES))
-            margin = np.zeros(len(x))
-            for client, rows in by_silo(batch.column(CLIENT).to_numpy(zero_copy_only=False)):
-                w1, b1, w2, b2 = shared or own[client]
-                z = (1.0 / (1.0 + np.exp(-(x[rows] @ w1 + b1)))) @ w2 + b2
-                margin[rows] = z[:, 1] - z[:, 0]
-            prob = 1.0 / (1.0 + np.exp(-margin))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(prob), pa.array((prob > 0.5).astype(np.int32))],
-                [*batch.schema.names, "prob", "pred"],
-            )
-
-    schema = StructType([*df.schema.fields, StructField("prob", DoubleType()), StructField("pred", IntegerType())])
-    return df.mapInArrow(score, schema)
-
-
-def fit_forest(
-    df: DataFrame, spec: ForestSpec, clients: Sequence[int], overrides: dict | None = None
-) -> dict[int, RandomForestClassificationModel]:
-    """Per-silo forests. ``overrides`` = {client: (trees, depth, min split, min leaf)}.
-
-    MLlib has no minimum split size; a node of fewer than s rows cannot give two children of s/2 rows,
-    so the minimum leaf size is raised to s // 2 (5 -> 2).
+
+    def __init__(self, spec: MlpSpec, width: int):
+        self.spec, self.width, self.size = spec, width, n_weights(width, spec.hidden)
+        self.weights = self.size - spec.hidden - 1
+
+    def statistic(self, vector, x, y, w):
+        """[rows, loss, gradient] sums."""
+        w1, w2, b1, b2 = layers(vector, self.width, self.spec.hidden)
+        h = np.maximum(x @ w1 + b1, 0.0)
+        m = h @ w2 + b2
+        slope = w * (1.0 / (1.0 + np.exp(-m)) - y)
+        back = np.outer(slope, w2) * (h > 0)
+        loss = float(w @ (np.logaddexp(0.0, m) - y * m))
+        return np.concatenate([[w.sum(), loss], (x.T @ back).ravel(), h.T @ slope, back.sum(axis=0), [slope.sum()]])
+
+    def objective(self, vector, sums) -> tuple[float, np.ndarray]:
+        n, shrunk = sums[0], self.spec.alpha * vector
+        shrunk[self.weights:] = 0.0
+        return float(sums[1] + 0.5 * shrunk @ vector) / n, (sums[2:] + shrunk) / n
+
+    def advance(self, vector, memory, sums):
+        d, spec = self.size, self.spec
+        loss, grad = self.objective(vector, sums)
+        if not len(memory):
+            head, pairs = np.asarray([0.0, loss, 0.0, 0.0, 0.0]), np.zeros((2, 0, d))
+        else:
+            head = memory[:5].copy()
+            best, old, direction = memory[5:5 + 3 * d].reshape(3, d)
+            pairs = memory[5 + 3 * d:].reshape(2, -1, d)
+            if loss > head[1] + 1e-4 * head[2] * (old @ direction):  # not enough of a fall: half the step
+                head[2] /= 2
+                ended = head[2] < 1e-10
+                return best + head[2] * direction, np.concatenate([head, memory[5:]]), ended, float(np.abs(old).max())
+            head[3] = head[3] + 1 if head[1] - loss < spec.tol else 0
+            move, change = vector - best, grad - old
+            if move @ change > 1e-10 * (change @ change):
+                pairs = np.concatenate([pairs, np.stack([move, change])[:, None]], axis=1)[:, -PAIRS:]
+            head[1] = loss
+            head[4] += 1
+        direction = -self._curved(grad, pairs)
+        # Without pairs the direction is the gradient, whose length says nothing about a step.
+        head[2] = 1.0 if pairs.shape[1] else min(1.0, 1.0 / max(1e-12, float(np.linalg.norm(grad))))
+        head[0] = pairs.shape[1]
+        ended = head[3] >= CALM or float(np.abs(grad).max()) < 1e-9
+        kept = np.concatenate([head, vector, grad, direction, pairs.ravel()])
+        return vector + head[2] * direction, kept, ended, float(np.abs(grad).max())
+
+    @staticmethod
+    def _curved(grad, pairs):
+        """The inverse curvature of the remembered pairs times the gradient, by two loops over them."""
+        q, moves, changes = grad.copy(), *pairs
+        scale = 1.0 / np.einsum("ij,ij->i", moves, changes) if len(moves) else np.zeros(0)
+        a = np.zeros(len(moves))
+        for i in range(len(moves) - 1, -1, -1):
+            a[i] = scale[i] * (moves[i] @ q)
+            q -= a[i] * changes[i]
+        if len(moves):
+            q *= (moves[-1] @ changes[-1]) / (changes[-1] @ changes[-1])
+        for i in range(len(moves)):
+            q += (a[i] - scale[i] * (changes[i] @ q)) * moves[i]
+        return q
+
+    def best(self, vector, memory):
+        return memory[5:5 + self.size] if len(memory) else vector
+
+
+class Descent(Network):
+    """Plain gradient steps of size ``lr`` on the same objective, one a pass; nothing is remembered."""
+
+    def __init__(self, spec: MlpSpec, width: int, lr: float):
+        super().__init__(spec, width)
+        self.lr = lr
+
+    def advance(self, vector, memory, sums):
+        _, grad = self.objective(vector, sums)
+        return vector - self.lr * grad, memory, False, float(np.abs(grad).max())
+
+    def best(self, vector, memory):
+        return vector
+
+
+def descend_mlp(df: DataFrame, spec: MlpSpec, width: int, start: DataFrame | np.ndarray, lr: float, steps: int = 1) -> DataFrame:
+    """All silos' networks after ``steps`` full-batch gradient steps from ``start``, as ``fit_mlp`` returns them."""
+    rows = df.select(CLIENT, SPLIT, LABEL, FEATURES, F.lit(1.0).alias("sample_weight"))
+    return fit_silos(rows, Descent(spec, width, lr), start, steps)
+
+
+def fit_mlp(df: DataFrame, spec: MlpSpec, width: int, start: DataFrame | np.ndarray | None = None, steps: int | None = None) -> DataFrame:
+    """Networks of all silos (contract columns + features): (client_id, vector, status, passes, residual).
+
+    ``start``: a vector for all silos or (client_id, vector); the seeded start if None. A fit ends after ten steps in a
+    row that lower the loss by less than ``tol``, or after ``max_iter`` passes (``steps``, if given), whose network counts as
+    fitted. Silos without training rows or with non-finite values say so in their status.
     """
-    n = len(clients)
-    rows = weighted_rows(df, spec.balanced, n).withColumn("x", array_to_vector(FEATURES))
-
-    def fit(client):
-        trees, depth, split, leaf = (overrides or {}).get(
-            client, (spec.n_trees, spec.max_depth, spec.min_samples_split, spec.min_samples_leaf)
-        )
-        learner = RandomForestClassifier(
-            featuresCol="x", labelCol=LABEL, weightCol="sample_weight", numTrees=trees, maxDepth=depth,
-            impurity="entropy", featureSubsetStrategy="sqrt", minInstancesPerNode=max(leaf, split // 2),
-            bootstrap=True, seed=spec.seed,
-        )
-        return learner.fit(rows.where(F.col(CLIENT) == client))
-
-    return _each(list(clients), df.sparkSession, fit)
-
-
-def forest_table(spark, clients: Sequence[int], spec: ForestSpec, round_no: int) -> DataFrame:
-    """The four hyper-parameters as long parameter rows."""
-    values = (spec.n_trees, spec.max_depth, spec.min_samples_split, spec.min_samples_leaf)
-    return spark.createDataFrame([
-        (round_no, int(c), 0, i, float(v)) for c in clients for i, v in enumerate(values)
-    ], SCHEMA)
-
-
-def predict_models(df: DataFrame, models: dict) -> DataFrame:
-    """Add ``prob`` and ``pred`` with each silo's own model."""
-    out = None
-    for client, model in sorted(models.items()):
-        rows = df.where(F.col(CLIENT) == client).withColumn("x", array_to_vector(FEATURES))
-        scored = model.transform(rows).select(
-            *df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"),
-            F.col("prediction").cast("int").alias("pred"),
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    start = start_weights(width, spec.hidden, spec.seed) if start is None else start
+    rows = df.select(CLIENT, SPLIT, LABEL, FEATURES, F.lit(1.0).alias("sample_weight"))
+    return fit_silos(rows, Network(spec, width), start, spec.max_iter if steps is None else steps + 1)
+
+
+def mlp_table(fits: DataFrame, width: int, hidden: int, round_no: int) -> DataFrame:
+    """Long parameter rows, layers w1 (0), w2 (1), b1 (2), b2 (3)."""
+    flat = flatten_params(fits.select(F.lit(round_no).alias("round"), CLIENT, "vector"))
+    return shape_params(flat, width, hidden, 1)
+
+
+def predict_mlp(df: DataFrame, params: DataFrame, width: int, hidden: int, n_silos: int, shared: bool = False) -> DataFrame:
+    """Add ``prob`` and ``pred`` of the silos' networks, or of one ``shared`` network, given as parameter rows."""
+    if shared:
+        model = rebuild_params(params.withColumn("_one", F.lit(1)), ["_one"])
+        vectors = df.select(CLIENT).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(model), "_one")
+    else:
+        vectors = rebuild_params(params, [CLIENT])
+
+    def score(vector, x):
+        prob = 1.0 / (1.0 + np.exp(-margins(np.asarray(vector), x, hidden)))
+        return prob, (prob > 0.5).astype(np.int32)
+
+    return map_with_side(df, vectors, "vector", score, "prob double, pred int", n_silos, 8 * n_weights(width, hidden) + 64)

@@ -82,10 +82,10 @@ def test_nulls_are_refused(spark, bad):
 def test_fit_refuses_nan_and_reports_missing_convergence(spark):
     rows = silo_rows(spark).withColumn("features", F.array("a", "b"))
     with pytest.raises(ValueError, match="not optimal"):
-        L.fit_linear(rows, LogisticSpec(C=1.0, max_iter=1), 2, [0, 1])
+        L.fit_linear(rows, LogisticSpec(C=1.0, max_iter=1), 2)
     odd = rows.withColumn("features", F.when(F.col("row_id") == 3, F.array(F.lit(float("nan")), F.col("b"))).otherwise(F.col("features")))
     with pytest.raises(ValueError, match="null, NaN or infinite"):
-        L.fit_linear(stage(odd), LogisticSpec(C=1.0), 2, [0, 1])
+        L.fit_linear(stage(odd), LogisticSpec(C=1.0), 2)
 
 
 def test_too_few_silos_leave_no_model(spark):
@@ -121,7 +121,7 @@ def test_wide_silo_ids(spark):
     df = silo_rows(spark, (big, big + 1))
     prepared = P.transform_chain(df, PrepareSpec(encode=False), 2)
     assert prepared.clients() == [big, big + 1]
-    params, _, _ = L.fit_linear(prepared.df, LogisticSpec(C=1.0), 2, prepared.clients())
+    params, _ = L.fit_linear(prepared.df, LogisticSpec(C=1.0), 2)
     assert {r[0] for r in params.select("client_id").distinct().collect()} == {big, big + 1}
     trees = B.boost(prepared.df, BoostSpec(n_local_trees=2, max_bins=8), 2, prepared.clients())
     assert {r[0] for r in trees.select("client_id").distinct().collect()} == {big, big + 1}

@@ -9,7 +9,7 @@ from siloml.operators import merge as M, params as P
 from siloml.plans.prepare import Prepared
 from siloml.plans import rounds as R
 from siloml.spec import BoostSpec, ForestSpec, LogisticSpec, MlpSpec, RoundSpec, SvcSpec
-from siloml.training import boost as B, linear as L, networks as N
+from siloml.training import boost as B, forest as FO, linear as L, networks as N
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +26,16 @@ def data(spark):
     return Prepared(stage(df.repartition(5)), ("a", "b", "c"), 2), keep
 
 
+def fitted(df, spec, width=3):
+    """{silo: residual} and {silo: weights} of a linear fit."""
+    fits = L.fit_linear(df, spec, width)[1].collect()
+    return {r.client_id: r.residual for r in fits}, {r.client_id: np.array(r.vector) for r in fits}
+
+
 def test_logistic_is_optimal(data):
     prepared, keep = data
     spec = LogisticSpec(C=0.5)
-    _, residual, w = L.fit_linear(prepared.df, spec, 3, [0, 1])
+    residual, w = fitted(prepared.df, spec)
     for c, (x, y, tr) in keep.items():
         x1 = np.hstack([x[tr], np.ones((tr.sum(), 1))])
         g = spec.C * x1.T @ (1 / (1 + np.exp(-x1 @ w[c])) - y[tr])
@@ -40,14 +46,14 @@ def test_logistic_is_optimal(data):
 
 
 def test_strong_penalty_gives_zeros(data):
-    _, _, w = L.fit_linear(data[0].df, LogisticSpec(C=1e-5), 3, [0, 1])
+    _, w = fitted(data[0].df, LogisticSpec(C=1e-5))
     assert all(np.all(v == 0) for v in w.values())
 
 
 def test_svc_gradient_vanishes(data):
     prepared, keep = data
     spec = SvcSpec(C=2.0)
-    _, _, w = L.fit_linear(prepared.df, spec, 3, [0, 1])
+    _, w = fitted(prepared.df, spec)
     for c, (x, y, tr) in keep.items():
         x1, s = np.hstack([x[tr], np.ones((tr.sum(), 1))]), 2.0 * y[tr] - 1
         n = np.array([np.sum(s < 0), np.sum(s > 0)])
@@ -56,10 +62,13 @@ def test_svc_gradient_vanishes(data):
         assert np.max(np.abs(w[c] - 2 * spec.C * x1.T @ (sw * s * short))) < 1e-3
 
 
-def test_silo_groups_give_the_same_fit(data, monkeypatch):
-    both = L.fit_linear(data[0].df, SvcSpec(), 3, [0, 1])[2]
-    monkeypatch.setattr(L, "STATE_BYTES", 1)
-    single = L.fit_linear(data[0].df, SvcSpec(), 3, [0, 1])[2]
+def test_states_without_a_broadcast_give_the_same_fit(data, monkeypatch):
+    """Beyond the byte bound the silos' vectors meet the blocks by a salted join."""
+    from siloml.functions import joins
+
+    both = fitted(data[0].df, SvcSpec())[1]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1)
+    single = fitted(data[0].df, SvcSpec())[1]
     assert all(np.allclose(both[c], single[c]) for c in both)
 
 
@@ -148,25 +157,138 @@ def test_one_shot_and_warm_rounds(data):
     assert 0.7 < final["", "test_accuracy"] <= 1.0 and final["", "loss"] > 0
 
 
-def test_mlp_scores_like_mllib_and_warm_starts(data):
-    prepared, _ = data
-    spec = MlpSpec(hidden=4, max_iter=15)
-    models = N.fit_mlp(prepared.df, spec, 3, [0, 1])
-    ours = N.predict_mlp(prepared.df, {c: m.weights.toArray() for c, m in models.items()}, 3, 4)
-    theirs = N.predict_models(prepared.df, models).select("row_id", F.col("prob").alias("p"), F.col("pred").alias("q"))
-    gap = ours.join(theirs, "row_id").agg(F.max(F.abs(F.col("prob") - F.col("p"))), F.sum((F.col("pred") != F.col("q")).cast("int")))
-    assert gap.first()[0] < 1e-9 and gap.first()[1] == 0
-    _, history, _ = R.run_rounds(prepared, spec, RoundSpec(rounds=2, one_shot=False, local_steps=3))
-    assert history.where("metric = 'test_accuracy' and value > 0.6").count() == 2
+def plain_network(vector, x, y, hidden, alpha):
+    """Objective of one silo's network, written out."""
+    d = x.shape[1]
+    w1, w2, b1, b2 = vector[:d * hidden].reshape(d, hidden), vector[d * hidden:(d + 1) * hidden], vector[(d + 1) * hidden:-1], vector[-1]
+    m = np.maximum(x @ w1 + b1, 0) @ w2 + b2
+    return np.mean(np.logaddexp(0, m) - y * m) + alpha / (2 * len(y)) * ((w1 ** 2).sum() + (w2 ** 2).sum()), 1 / (1 + np.exp(-m))
+
+
+def test_network_gradient_is_the_slope(data):
+    _, keep = data
+    x, y, tr = keep[0]
+    spec = MlpSpec(hidden=5)
+    net, v = N.Network(spec, 3), np.random.default_rng(3).normal(size=26)
+    loss, grad = net.objective(v, net.statistic(v, x[tr], y[tr].astype(float), np.ones(tr.sum())))
+    assert loss == pytest.approx(plain_network(v, x[tr], y[tr], 5, spec.alpha)[0])
+    for i in range(26):
+        e = np.eye(26)[i] * 1e-6
+        rise = plain_network(v + e, x[tr], y[tr], 5, spec.alpha)[0] - plain_network(v - e, x[tr], y[tr], 5, spec.alpha)[0]
+        assert grad[i] == pytest.approx(rise / 2e-6, abs=1e-6)
 
 
-def test_forest_merges_hyperparameters(data):
+def test_mlp_lowers_its_loss_and_warm_starts(data):
     prepared, keep = data
-    shared, history, _ = R.run_rounds(prepared, ForestSpec(n_trees=5, max_depth=4), RoundSpec(rounds=1))
+    spec = MlpSpec(hidden=6, max_iter=30)
+    fits = {r.client_id: r for r in N.fit_mlp(prepared.df, spec, 3).collect()}
+    start = N.start_weights(3, 6, spec.seed)
+    params = N.mlp_table(prepared.df.sparkSession.createDataFrame(list(fits.values())), 3, 6, 1)
+    scored = {r.row_id: (r.prob, r.pred) for r in N.predict_mlp(prepared.df, params, 3, 6, 2).collect()}
+    at = 0
+    for c, (x, y, tr) in keep.items():
+        first, _ = plain_network(start, x[tr], y[tr], 6, spec.alpha)
+        last, _ = plain_network(np.array(fits[c].vector), x[tr], y[tr], 6, spec.alpha)
+        assert fits[c].status == "OK" and last < 0.7 * first
+        prob = plain_network(np.array(fits[c].vector), x, y, 6, spec.alpha)[1]
+        assert np.allclose([scored[at + i][0] for i in range(len(y))], prob)
+        assert all(scored[at + i][1] == int(prob[i] > 0.5) for i in range(len(y)))
+        assert np.mean([scored[at + i][1] == y[i] for i in range(len(y))]) > max(np.mean(y), 1 - np.mean(y))
+        at += len(y)
+    _, history, _ = R.run_rounds(prepared, MlpSpec(hidden=6, max_iter=8), RoundSpec(rounds=2, one_shot=False, local_steps=2))
+    acc = {r["round"]: r["value"] for r in history.where("metric = 'test_accuracy'").collect()}
+    assert len(acc) == 2 and acc[2] > 0.5
+
+
+def plain_tree(x, y, row_ids, client, tree, spec, edges):
+    """One tree of one silo, node by node from the definitions."""
+    bins = np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(edges)], axis=1)
+    weight = FO.bootstrap(row_ids, spec.n_trees, spec.seed)[:, tree].astype(float)
+    entropy = lambda w, p: -sum(q * np.log2(q) for q in (p / w, 1 - p / w) if q > 0)
+    out = {}
+
+    def grow(rows, heap, depth):
+        w, pos = weight[rows].sum(), (weight[rows] * y[rows]).sum()
+        best = (1e-9, None)
+        if depth < spec.max_depth and len(rows) >= spec.min_samples_split and 0 < pos < w:
+            for f in FO.subset(client, tree, heap, x.shape[1], FO.n_candidates(x.shape[1]), spec.seed):
+                for b in range(len(edges[f])):
+                    left, right = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                    if min(len(left), len(right)) < spec.min_samples_leaf:
+                        continue
+                    s = [(weight[r].sum(), (weight[r] * y[r]).sum()) for r in (left, right)]
+                    gain = round(entropy(w, pos) - sum(a * entropy(a, p) for a, p in s) / w, 10)
+                    if gain > best[0]:
+                        best = (gain, (int(f), edges[f][b], left, right))
+        if best[1] is None:
+            out[heap] = (-1, 0.0, pos / w if w else 0.0)
+            return
+        f, cut, left, right = best[1]
+        out[heap] = (f, cut, 0.0)
+        grow(left, 2 * heap, depth + 1)
+        grow(right, 2 * heap + 1, depth + 1)
+
+    grow(np.flatnonzero(weight > 0), 1, 0)
+    return [out[h] for h in sorted(out)]
+
+
+@pytest.mark.parametrize("small", [1 << 16, 60, 0])
+def test_forest_matches_plain_loops(data, small):
+    """Trees grown in one task, level by level, and by both."""
+    prepared, keep = data
+    spec = ForestSpec(n_trees=3, max_depth=4, max_bins=16)
+    edges = {r.client_id: r.edges for r in B.edge_table(prepared.df, 3, 16).collect()}
+    trees = FO.fit_forest(prepared.df, spec, 3, 2, small=small).collect()
+    assert len(trees) == 6
+    at = 0
+    for c, (x, y, tr) in keep.items():
+        for t in (t for t in trees if t.client_id == c):
+            want = plain_tree(x[tr], y[tr].astype(float), at + np.flatnonzero(tr), c, t.tree_id, spec, edges[c])
+            assert [n.id for n in t.nodes] == list(range(len(want)))
+            assert [(n.feature, n.threshold) for n in t.nodes] == [(f, e) for f, e, _ in want]
+            assert np.allclose([n.leaf for n in t.nodes], [p for _, _, p in want])
+        at += len(y)
+
+
+def test_forest_is_saved_and_merges_hyperparameters(data, tmp_path):
+    from siloml.sources.models import read_model, write_model
+
+    prepared, keep = data
+    spec = ForestSpec(n_trees=9, max_depth=5)
+    shared, history, _ = R.run_rounds(prepared, spec, RoundSpec(rounds=1))
     got = {r["pos"]: r["value"] for r in shared.collect()}
-    assert got == {0: 5.0, 1: 4.0, 2: 5.0, 3: 1.0}
+    assert got == {0: 9.0, 1: 5.0, 2: 5.0, 3: 1.0}
     majority = np.mean([max(np.mean(y), 1 - np.mean(y)) for _, y, _ in keep.values()])
     assert history.where("metric = 'test_accuracy'").first()["value"] > majority
+    trees = FO.fit_forest(prepared.df, spec, 3, 2)
+    write_model(trees, str(tmp_path / "forest"))
+    again = read_model(prepared.df.sparkSession, str(tmp_path / "forest"), trees.schema)
+    score = lambda t: sorted((r.row_id, r.prob) for r in FO.predict_forest(prepared.df, t, 2).collect())
+    assert score(again) == score(trees)
+
+
+@pytest.mark.parametrize("spec", [LogisticSpec(C=1.0), MlpSpec(hidden=4, max_iter=3), ForestSpec(n_trees=4, max_depth=3),
+                                  BoostSpec(n_local_trees=1, max_bins=8)], ids=lambda s: s.family)
+def test_a_broken_silo_is_skipped(data, spec):
+    """A silo with one NaN fails for every family: it is not merged where failures are accepted, else no round is."""
+    prepared, _ = data
+    third = prepared.df.where("client_id = 0").withColumns({"client_id": F.lit(2), "row_id": F.col("row_id") + 10_000})
+    nan = F.array(F.lit(float("nan")), F.lit(0.0), F.lit(0.0))
+    third = third.withColumn("features", F.when(F.col("row_id") == 10_000, nan).otherwise(F.col("features")))
+    broken = Prepared(stage(prepared.df.unionByName(third)), prepared.names, 3)
+    one = RoundSpec(rounds=1)
+    shared, history, _ = R.run_rounds(broken, spec, one)
+    alone, _, _ = R.run_rounds(prepared, spec, one)
+    if spec.family == "boost":
+        assert sorted(r.client_id for r in shared.collect()) == sorted(r.client_id for r in alone.collect()) == [0, 1]
+    else:
+        values = lambda p: {(r["layer"], r["pos"]): round(r["value"], 6) for r in p.collect()}
+        assert values(shared) == values(alone)
+    assert all(np.isfinite(r["value"]) for r in history.collect())
+    _, _, facts = R.local_fit(R.trainer(broken, spec))
+    assert {r.client_id: r.status for r in facts.collect()} == {0: "OK", 1: "OK", 2: "NON_FINITE"}
+    with pytest.raises(ValueError, match="usable fits"):
+        R.run_rounds(broken, spec, RoundSpec(rounds=1, accept_failures=False))
 
 
 def test_central_baseline_and_sweep(data):

@@ -448,12 +448,12 @@ def one_step_fedf1(spark, d):
 
 def fit_logistic(spark, d):
     p = prepared(spark, d)
-    return L.fit_linear(p.df, LogisticSpec(), p.width, p.clients())[0]
+    return L.fit_linear(p.df, LogisticSpec(), p.width)[0]
 
 
 def fit_linear_svc(spark, d):
     p = prepared(spark, d)
-    return L.fit_linear(p.df, SvcSpec(), p.width, p.clients())[0]
+    return L.fit_linear(p.df, SvcSpec(), p.width)[0]
 
 
 def optimal(spark, d, spec):
@@ -462,7 +462,7 @@ def optimal(spark, d, spec):
     The gradient of the loss is summed by plain column arithmetic, apart from the trainer's kernels.
     """
     p = prepared(spark, d)
-    params, _, _ = L.fit_linear(p.df, spec, p.width, p.clients())
+    params, _ = L.fit_linear(p.df, spec, p.width)
     rows = L.linear_margin(p.df.where(F.col(SPLIT) == TRAIN), settle(params), p.width, p.n_silos, keep_vector=True)
     y = F.col(LABEL).cast("double")
     if spec.family == "logistic":
