@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,15 @@ from siloml.llm.common import parts
 
 SAMPLES = 64
 SEED = 13  # of the terms' hashes
-TERMS = 2048  # terms that are drawn and weighed together, some MB
-TEXTS = 64  # documents that share the draws of their common terms
+TERMS = 16384  # weighted terms that are drawn and weighed together, some 50 MB
+TEXTS = 128  # documents that share the draws of their common terms
 DIGITS = 4  # hex digits of a sample
 EMPTY = "0" * DIGITS  # a text without terms has only these; no sample of a term is 0
 
 
-def terms(text: str) -> dict[int, int]:
-    """The words of a text (runs of anything but ASCII white space) as 64-bit hashes, with their counts."""
-    digest = xxhash.xxh64_intdigest
-    return {digest(w, SEED): n for w, n in Counter(text.encode().split()).items()}
+def terms(text: str) -> Counter[bytes]:
+    """The words of a text (runs of anything but ASCII white space) with their counts."""
+    return Counter(text.encode().split())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -37,52 +37,69 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) of each 64-bit value."""
-    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) / 2.0 ** 32, ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0 ** 32
+def draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """terms x samples: r and the logarithm of c, both gamma of shape 2, and beta, uniform; by term and sample alone.
+
+    Two 64-bit values give five uniform numbers in (0, 1) of 23 bits, which single precision holds exactly.
+    """
+    salt = _mixed(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x, y = _mixed(hashes[:, None] ^ salt[:samples]), _mixed(hashes[:, None] ^ salt[samples:])
 
+    def uniform(z):
+        bits = z.astype(np.uint32) & np.uint32((1 << 23) - 1)
+        return (bits.view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -23)
 
-def draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """terms x samples: r and the logarithm of c, both gamma of shape 2, and beta, uniform; by term and sample alone."""
-    salt = _mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64).reshape(3, samples) * np.uint64(0x9E3779B97F4A7C15))
-    (a, b), (c, d), (beta, _) = (_uniforms(_mixed(hashes[:, None] ^ s)) for s in salt)
-    return -np.log(a * b), np.log(-np.log(c * d)), beta
+    def gamma(z):
+        return -np.log(uniform(z) * uniform(z >> np.uint64(23)))
 
+    return gamma(x), np.log(gamma(y)), uniform(x >> np.uint64(46) ^ y >> np.uint64(41))
 
-def signatures(bags: Sequence[dict[int, int]], samples: int = SAMPLES) -> np.ndarray:
+
+def signatures(bags: Sequence[Mapping[bytes, int]], samples: int = SAMPLES) -> np.ndarray:
     """bags x samples numbers of 16 bits (zero for an empty bag).
 
     For a sample, a term of weight w has t = floor(ln w / r + beta), y = exp(r (t - beta)) and a = c / (y exp(r)); the
     term with the least a is the sample, with its t. Two bags take the same (term, t) with the probability of
-    their generalised Jaccard similarity: the sum of the lesser weights by the sum of the greater. Terms go through
-    in blocks that keep the least a so far, so memory does not grow with a text.
+    their generalised Jaccard similarity: the sum of the lesser weights by the sum of the greater. Bags that share a
+    weighted term share its t and a. Terms go through in blocks that keep the least a so far, so memory does not
+    grow with a text's words times the samples.
     """
-    count = np.asarray([len(b) for b in bags], np.int64)
-    owner = np.repeat(np.arange(len(bags)), count)
-    hashes = np.fromiter((h for b in bags for h in b), np.uint64, len(owner))
-    log_weight = np.log(np.fromiter((w for b in bags for w in b.values()), np.float64, len(owner)))
-    # Ordered by term, so that a block draws a term once for all of its documents.
+    words = list(set().union(*bags))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     order = np.argsort(hashes, kind="stable")
-    owner, hashes, log_weight = owner[order], hashes[order], log_weight[order]
-    least = np.full((len(bags), samples), np.inf)
+    hashes = hashes[order]
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    ranks = dict(zip(words, rank.tolist()))
+    count = np.asarray([len(b) for b in bags], np.int64)
+    ends = np.cumsum(count)
+    key = np.fromiter(map(ranks.__getitem__, itertools.chain.from_iterable(bags)), np.int64, count.sum()) << 32
+    key += np.fromiter(itertools.chain.from_iterable(b.values() for b in bags), np.int64, len(key))
+    distinct, place = np.unique(key, return_inverse=True)
+    term_of, weight = distinct >> 32, (distinct & 0xFFFFFFFF).astype(np.float32)
+
+    least = np.full((len(bags), samples), np.inf, np.float32)
     term, level = np.zeros((len(bags), samples), np.uint64), np.zeros((len(bags), samples), np.int64)
-    for at in range(0, len(owner), TERMS):
+    column = np.arange(samples)
+    for at in range(0, len(distinct), TERMS):
         some = slice(at, at + TERMS)
-        distinct, of = np.unique(hashes[some], return_inverse=True)
-        r, log_c, beta = draws(distinct, samples)
-        r, beta, base = r[of], beta[of], log_c[of]
-        t = np.floor(log_weight[some, None] / r + beta)
-        a = base - r * (t - beta + 1.0)
-        by_owner = np.argsort(owner[some], kind="stable")
-        owners, starts = np.unique(owner[some][by_owner], return_index=True)
-        a, t, h = a[by_owner], t[by_owner], hashes[some][by_owner]
-        for o, i, j in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(a)]):
-            best = i + a[i:j].argmin(axis=0)
-            value = a[best, np.arange(samples)]
+        used, of = np.unique(term_of[some], return_inverse=True)
+        r, log_c, beta = (v[of] for v in draws(hashes[used], samples))
+        t = np.floor(np.log(weight[some])[:, None] / r + beta)
+        a = log_c - r * (t - beta + np.float32(1.0))
+        for o in np.flatnonzero(count):
+            mine = place[ends[o] - count[o]:ends[o]] - at
+            if len(distinct) > TERMS:
+                mine = mine[(mine >= 0) & (mine < len(a))]
+                if not len(mine):
+                    continue
+            mine.sort()
+            best = mine[a[mine].argmin(axis=0)]
+            value = a[best, column]
             # Blocks come in the terms' order and argmin takes the first, so equal values go to the lesser term.
             nearer = value < least[o]
-            least[o][nearer], term[o][nearer] = value[nearer], h[best][nearer]
-            level[o][nearer] = t[best, np.arange(samples)][nearer].astype(np.int64)
+            least[o][nearer], term[o][nearer] = value[nearer], hashes[term_of[some][best[nearer]]]
+            level[o][nearer] = t[best, column][nearer].astype(np.int64)
     value = _mixed(term ^ _mixed(level.view(np.uint64))) % np.uint64(0xFFFF) + np.uint64(1)
     return np.where(count[:, None] > 0, value, 0).astype(np.uint16)
 

@@ -106,9 +106,9 @@ def test_weighted_samples_collide_by_generalised_jaccard():
 
     rng = np.random.default_rng(6)
     for _ in range(6):
-        a = {int(h): int(w) for h, w in zip(rng.integers(0, 1 << 63, 80), rng.integers(1, 30, 80))}
+        a = {str(h).encode(): int(w) for h, w in zip(rng.integers(0, 1 << 63, 80), rng.integers(1, 30, 80))}
         b = {h: max(1, int(w * rng.choice([0.5, 1, 3]))) for h, w in a.items() if rng.random() < 0.8}
-        b |= {int(h): 4 for h in rng.integers(0, 1 << 63, int(rng.integers(1, 60)))}
+        b |= {str(h).encode(): 4 for h in rng.integers(0, 1 << 63, int(rng.integers(1, 60)))}
         keys = set(a) | set(b)
         want = sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
         x, y = signatures([a, b], 4096)
