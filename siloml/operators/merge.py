@@ -81,6 +81,7 @@ def bag_trees(
     scale_first: bool = False,
     normalise: bool = False,
     n_facts: int | None = None,
+    rounds_a_run: int | None = None,
 ) -> DataFrame:
     """Join the silos' trees into one ensemble.
 
@@ -88,14 +89,19 @@ def bag_trees(
     first round adds all of its trees, any later (round, silo) its first ``trees_per_client`` (None: all).
     ``weight`` is the silo's merge weight, 1 for the first silo's trees unless ``scale_first``;
     ``normalise`` turns weights into shares of their round's mean. New tree ids run in
-    (round, silo, tree) order from 0.
+    (round, silo, tree) order from 0. With ``rounds_a_run``, a round number holds run * rounds_a_run + round: every run has
+    a first silo, and an ensemble of its own in the result.
     """
     name = {"FedAvg": "n_examples", "FedF1": "f1"}[method]
     weights = facts.select("round", CLIENT, F.col(name).cast("double").alias("_w"))
     if normalise:
         mean = weights.groupBy("round").agg(F.avg("_w").alias("_m"))
         weights = attach(weights, mean, ["round"], group_count(facts, ["round"]), 16, salt_on=CLIENT).select("round", CLIENT, (F.col("_w") / _positive(F.col("_m"))).alias("_w"))
-    first = weights.orderBy("round", CLIENT).limit(1).select("round", CLIENT, F.lit(True).alias("_is_first"))
+    if rounds_a_run:
+        run = F.floor(F.col("round") / rounds_a_run)
+        first = weights.groupBy(run.alias("_run")).agg(F.min(F.struct("round", CLIENT)).alias("_f")).select("_f.*", F.lit(True).alias("_is_first"))
+    else:
+        first = weights.orderBy("round", CLIENT).limit(1).select("round", CLIENT, F.lit(True).alias("_is_first"))
     facts_rows = weights.join(F.broadcast(first), ["round", CLIENT], "left").fillna(False, ["_is_first"])
     joined = with_facts(trees.drop("weight"), facts_rows, n_facts, "tree_id")
     order = Window.partitionBy("round", CLIENT).orderBy("tree_id")

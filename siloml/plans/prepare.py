@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +14,7 @@ from siloml.operators.frame import one_hot, feature_columns, select_columns, spl
 from siloml.operators.resample import smote, train_class_counts, undersample
 from siloml.operators.scale import pca, standard_scale
 from siloml.operators.silos import dirichlet_silos, natural_silos, silo_health, split_70_20_10
-from siloml.spec import CLIENT, CONTRACT, FEATURES, LABEL, PrepareSpec
+from siloml.spec import CLIENT, CONTRACT, FEATURES, LABEL, PrepareSpec, silo_type
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,7 @@ class Prepared:
     df: DataFrame
     names: tuple[str, ...]
     n_silos: int
+    runs: DataFrame | None = None  # (client_id, run): the silos of several independent runs in one table
 
     @property
     def width(self) -> int:
@@ -103,3 +105,22 @@ def prepare(table: DataFrame, spec: PrepareSpec) -> Prepared:
     column-pruned by every later pass."""
     df, n_silos = silo_frame(stage(table), spec)
     return transform_chain(stage(df), spec, n_silos)
+
+
+def stack_runs(runs: Sequence[Prepared]) -> Prepared:
+    """Independent preparations as one table, which one job can train: silo ids become run * stride + id, runs count from 0.
+
+    The runs must have the same columns and silo ids that are not negative.
+    """
+    if len({r.names for r in runs}) != 1:
+        raise ValueError("runs with different columns cannot be stacked")
+    seen = [r.df.agg(F.min(CLIENT).alias("low"), F.max(CLIENT).alias("high")).first() for r in runs]
+    if min(s.low for s in seen if s.low is not None) < 0:
+        raise ValueError("silo ids of stacked runs must not be negative")
+    stride = 1 + max(s.high for s in seen if s.high is not None)
+    kind = silo_type(runs[0].df) if stride * len(runs) < 1 << 31 else "bigint"
+    df = functools.reduce(DataFrame.unionByName, [
+        r.df.withColumn(CLIENT, (F.col(CLIENT) + k * stride).cast(kind)) for k, r in enumerate(runs)])
+    df = stage(df)
+    of = settle(df.select(CLIENT).distinct().select(CLIENT, F.floor(F.col(CLIENT) / stride).cast("int").alias("run")))
+    return Prepared(df, runs[0].names, sum(r.n_silos for r in runs), of)

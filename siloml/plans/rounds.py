@@ -8,11 +8,12 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from siloml.functions.joins import group_count
 from siloml.functions.staging import settle, stage
 from siloml.operators import merge as M
 from siloml.operators.metrics import accuracy, classification_report, log_loss
 from siloml.operators.params import rebuild_params
-from siloml.plans.prepare import Prepared, transform_chain
+from siloml.plans.prepare import Prepared, stack_runs, transform_chain
 from siloml.spec import CLIENT, SPLIT, TEST, TRAIN, VAL, PrepareSpec, RoundSpec
 from siloml.training import boost as B
 from siloml.training import forest as FO
@@ -86,9 +87,20 @@ class Trainer:
         raise NotImplementedError
 
 
+    @property
+    def one_run(self) -> bool:
+        return self.prepared.runs is None
+
+    def start(self, shared: DataFrame | None):
+        """The merged model to start from: a vector, or one for each silo if the silos belong to several runs."""
+        if shared is None:
+            return None
+        return shared_vector(shared) if self.one_run else rebuild_params(shared, [CLIENT])
+
+
 class LinearTrainer(Trainer):
     def fit(self, round_no, shared, steps):
-        start = None if shared is None else shared_vector(shared)
+        start = self.start(shared)
         table, self.fits = L.fit_linear(
             self.prepared.df, self.spec, self.prepared.width, start, steps, round_no, self.prepared.n_silos, strict=False)
         return table
@@ -102,7 +114,7 @@ class GradientTrainer(Trainer):
 
     def fit(self, round_no, shared, steps):
         df, width, n = self.prepared.df, self.prepared.width, self.prepared.n_silos
-        params = settle(L.gradient_step(df, width, self.spec.lr, round_no, shared, True, n))
+        params = settle(L.gradient_step(df, width, self.spec.lr, round_no, shared, self.one_run, n))
         for _ in range((steps or 1) - 1):
             params = settle(L.gradient_step(df, width, self.spec.lr, round_no, params, False, n))
         return params
@@ -113,7 +125,7 @@ class GradientTrainer(Trainer):
 
 class MlpTrainer(Trainer):
     def fit(self, round_no, shared, steps):
-        start = None if shared is None else shared_vector(shared)
+        start = self.start(shared)
         self.fits = N.fit_mlp(self.prepared.df, self.spec, self.prepared.width, start, steps)
         return N.mlp_table(self.fits, self.prepared.width, self.spec.hidden, round_no)
 
@@ -128,7 +140,9 @@ class ForestTrainer(Trainer):
     def fit(self, round_no, shared, steps):
         spec = self.spec
         if shared is not None:
-            trees, depth, split, leaf = (int(v) for v in shared_vector(shared))
+            # The silos' hyper-parameters are one setting, so their mean is too, in every run.
+            vector = shared_vector(shared) if self.one_run else rebuild_params(shared, [CLIENT]).first()["vector"]
+            trees, depth, split, leaf = (int(v) for v in vector)
             spec = replace(spec, n_trees=trees, max_depth=depth, min_samples_split=split, min_samples_leaf=leaf)
         self.trees = FO.fit_forest(self.prepared.df, spec, self.prepared.width, self.prepared.n_silos, round_no)
         return FO.forest_table(self.prepared.df.select(CLIENT).distinct(), spec, round_no)
@@ -143,7 +157,7 @@ class BoostTrainer(Trainer):
         self.edges = stage(B.edge_table(prepared.df, prepared.width, spec.max_bins))
 
     def fit(self, round_no, shared, steps):
-        return B.boost(self.prepared.df, self.spec, self.prepared.width, self.prepared.clients(), shared, round_no, self.edges)
+        return B.boost(self.prepared.df, self.spec, self.prepared.width, None, shared, round_no, self.edges, shared=self.one_run)
 
     def score(self, params, shared):
         return B.predict_boost(self.prepared.df, params, shared, self.spec.base_margin)
@@ -172,7 +186,7 @@ def local_evaluate(t: Trainer, shared: DataFrame, round_no: int = 1, split: str
     The loss follows the family: linear models and forests score their hard classes, networks their
     probabilities, boosters add the rounded test log loss under the name AUC.
     """
-    scored = t.score(shared, True)
+    scored = t.score(shared, t.one_run)
     report = local_report(scored, split, round_no, None if t.spec.family == "boost" else "test_accuracy")
     test = scored.where(F.col(SPLIT) == TEST)
     if t.spec.family == "boost":
@@ -193,6 +207,25 @@ def evaluation_facts(prepared: Prepared, round_no: int) -> DataFrame:
                                   F.lit(0.0).alias("f1"), health_status("n_test", "bad_test").alias("status"))
 
 
+RUN_ROUNDS = 1000  # a merge's round number is run * RUN_ROUNDS + round
+
+
+def coded(df: DataFrame, r: int, runs: DataFrame | None) -> DataFrame:
+    """Silo rows of round ``r`` with the round number under which their run is merged."""
+    if runs is None:
+        return df.withColumn("round", F.lit(r))
+    return df.join(runs, CLIENT).withColumn("round", F.col("run") * RUN_ROUNDS + r).select(*df.columns)
+
+
+def to_silos(shared: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Merged rows given to every silo of their run; a single run shares one model."""
+    if runs is None:
+        return shared
+    of = runs.withColumnRenamed(CLIENT, "silo")
+    given = shared.withColumn("run", F.floor(F.col("round") / RUN_ROUNDS).cast("int")).join(of, "run")
+    return given.withColumn(CLIENT, F.col("silo")).select(*shared.columns)
+
+
 def run_rounds(
     prepared: Prepared,
     model_spec,
@@ -205,12 +238,18 @@ def run_rounds(
     Returns (shared parameters or trees, history (round, class, metric, value), fit metrics). Each round
     hands over silo-level rows only, so the plan does not grow with the rounds. A round with too few usable
     fits leaves the shared model as it is and has no evaluation; without any merged round there is no model,
-    which is an error.
+    which is an error. Rounds that reuse one fit are alike, so they are evaluated once.
+
+    If the silos belong to several runs, all runs go through a round in the same jobs, each merging its own silos;
+    the history then has the column run, and shared rows have the round number run * 1000 + round.
     """
-    t = trainer(prepared, model_spec)
+    if spec.rounds >= RUN_ROUNDS:
+        raise ValueError(f"at most {RUN_ROUNDS - 1} rounds")
+    t, runs = trainer(prepared, model_spec), prepared.runs
     rule = M.choose_merge(model_spec.family, spec.merge)
     boosted = model_spec.family == "boost"
-    n_facts = prepared.n_silos
+    alike = spec.one_shot and not boosted and merge_metrics is None and central is None
+    n_facts, n_runs = prepared.n_silos, 1 if runs is None else group_count(runs, ["run"])
     shared: DataFrame | None = None
     fits: tuple | None = None
     history: DataFrame | None = None
@@ -218,13 +257,14 @@ def run_rounds(
     all_trees: DataFrame | None = None
     all_facts: DataFrame | None = None
     tests = settle(evaluation_facts(prepared, 0).where(F.col("status") == I.OK))
-    for r in range(1, spec.rounds + 1):
+    for r in range(1, 2 if alike else spec.rounds + 1):
         if boosted or not spec.one_shot or fits is None:
-            start = shared if boosted or not spec.one_shot else None
+            start = to_silos(shared, runs) if shared is not None and (boosted or not spec.one_shot) else None
             steps = None if spec.one_shot or r == 1 else spec.local_steps
             fits = local_fit(t, r, start, steps)
-        params, metrics, facts = (f.withColumn("round", F.lit(r)) for f in fits)
-        usable = settle(M.usable_facts(facts, spec.min_clients, spec.accept_failures, n_rounds=1))
+        metrics = fits[1].withColumn("round", F.lit(r))
+        params, facts = coded(fits[0], r, runs), coded(fits[2], r, runs)
+        usable = settle(M.usable_facts(facts, spec.min_clients, spec.accept_failures, n_rounds=n_runs))
         all_fit = metrics if all_fit is None else all_fit.unionByName(metrics)
         if usable.isEmpty():
             continue
@@ -233,7 +273,7 @@ def run_rounds(
             all_facts = usable if all_facts is None else all_facts.unionByName(usable)
             bagged = rule(
                 all_trees, all_facts, trees_per_client=spec.trees_per_client, scale_first=spec.scale_first,
-                normalise=spec.weight_trees, n_facts=n_facts * r,
+                normalise=spec.weight_trees, n_facts=n_facts * r, rounds_a_run=None if runs is None else RUN_ROUNDS,
             )
             if not spec.weight_trees:  # the weight is kept in base_weight only; leaves score as grown
                 bagged = M.scale_base_weights(bagged).withColumn("weight", F.lit(1.0))
@@ -241,19 +281,27 @@ def run_rounds(
             shared = settle(bagged)
         else:
             merged = rule(params, usable, n_facts=n_facts)
-            merged = merged.select(F.lit(r).alias("round"), F.lit(-1).alias(CLIENT), "layer", "pos",
+            merged = merged.select("round", F.lit(-1).alias(CLIENT), "layer", "pos",
                                    F.col("value").cast("double").alias("value"))
-            shared = settle(merged)  # one model
-        evaluated = local_evaluate(t, shared, r, spec.report_split)
+            shared = settle(merged)  # one model a run
+        evaluated = coded(local_evaluate(t, to_silos(shared, runs), r, spec.report_split), r, runs)
         extra = (lambda: central(shared, r)) if central else None
         if merge_metrics is not None:
-            merged_metrics = merge_metrics(evaluated, tests.withColumn("round", F.lit(r)))
+            merged_metrics = merge_metrics(evaluated, coded(tests, r, runs))
         else:
-            merged_metrics = M.merge_eval(evaluated, tests.withColumn("round", F.lit(r)), boosted, extra, n_facts)
+            merged_metrics = M.merge_eval(evaluated, coded(tests, r, runs), boosted, extra, n_facts)
         merged_metrics = settle(merged_metrics.select("round", "class", "metric", "value"))
         history = merged_metrics if history is None else history.unionByName(merged_metrics)
     if history is None:
         raise ValueError(f"no round had {spec.min_clients} usable fits to merge")
+    if alike and spec.rounds > 1:
+        later = F.explode(F.sequence(F.lit(0), F.lit(spec.rounds - 1)))
+        again = lambda df: df.withColumn("_later", later).withColumn("round", F.col("round") + F.col("_later")).drop("_later")
+        history, all_fit = again(history), again(all_fit)
+        shared = shared.withColumn("round", F.col("round") + spec.rounds - 1)
+    if runs is not None:
+        history = history.withColumn("run", F.floor(F.col("round") / RUN_ROUNDS).cast("int")).withColumn(
+            "round", F.col("round") % RUN_ROUNDS)
     return shared, history, all_fit
 
 
@@ -289,15 +337,16 @@ def sweep(
 ) -> DataFrame:
     """(run_id, algorithm, repeat, seed, class, metric, value) of repeated runs with different seeds.
 
-    A repeat's preparation is shared by all algorithms.
+    The repeats' preparations are stacked into one table, shared by all algorithms, and each algorithm trains all
+    repeats in the same jobs.
     """
+    stacked = stack_runs([make_prepared(seed + k) for k in range(repeats)])
     out: DataFrame | None = None
-    for repeat in range(1, repeats + 1):
-        prepared = make_prepared(seed + repeat - 1)
-        for model in model_specs:
-            _, history, _ = run_rounds(prepared, model, spec)
-            rows = result_of(history, model.family).select(
-                F.lit(f"{model.family}-{repeat}").alias("run_id"), F.lit(model.family).alias("algorithm"),
-                F.lit(repeat).alias("repeat"), F.lit(seed + repeat - 1).alias("seed"), "class", "metric", "value")
-            out = rows if out is None else out.unionByName(rows)
+    for model in model_specs:
+        _, history, _ = run_rounds(stacked, model, spec)
+        value = F.avg("value") if model.family == "boost" else F.max_by("value", "round")
+        rows = history.groupBy("run", "class", "metric").agg(value.alias("value")).select(
+            F.concat(F.lit(f"{model.family}-"), F.col("run") + 1).alias("run_id"), F.lit(model.family).alias("algorithm"),
+            (F.col("run") + 1).alias("repeat"), (F.col("run") + seed).alias("seed"), "class", "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -187,10 +187,10 @@ def summary_report(averages: DataFrame, options: dict, n_experiments: int) -> Da
     per_class = averages.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("m"))
     text = F.concat(F.col("class"), F.lit("\n"), F.array_join(F.transform(
         "m", lambda s: F.concat(F.lit("  "), s["metric"], F.lit(": "), number_text(s["value"]))), "\n"))
-    rows = per_class.select("class", text.alias("t"), F.map_from_entries("m").alias("m"))
-    return rows.agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("class", "t"))), lambda s: s["t"]), "\n").alias("report"),
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("class", "m")))).alias("averages"),
+    classes = F.sort_array(F.collect_list(F.struct("class", text.alias("t"), "m")))
+    return per_class.agg(classes.alias("c")).select(
+        F.array_join(F.transform("c", lambda s: s["t"]), "\n").alias("report"),
+        F.to_json(F.map_from_entries(F.transform("c", lambda s: F.struct(s["class"], F.map_from_entries(s["m"]))))).alias("averages"),
     ).select(
         F.lit(n_experiments).alias("n_experiments"), "report", "averages",
         F.lit(json.dumps(options, sort_keys=True, default=str)).alias("options"),

@@ -1,10 +1,11 @@
-"""Boosted trees for all silos at once: one Spark job per tree level.
+"""Boosted trees for all silos at once: all trees of small silos in one job, a job per tree level for large ones.
 
-Features are cut once into quantile bins, staged together with the margin; each finished tree moves the
-margin on, so a level's job only routes rows through the tree being grown. Tasks add up gradient and Hessian
+Silos that fit a task grow all their trees there. For the others, features are cut once into quantile bins, staged
+together with the margin; each finished tree moves the margin on, so a level's job only routes rows through the
+tree being grown. Tasks add up gradient and Hessian
 sums per (silo, node, feature, bin) over Arrow batches; Spark sums them and picks each node's best split in
-parallel over silos, and only the splits come to the driver. Silos are trained in groups, so that neither
-their bin edges nor their splits outgrow the driver.
+parallel over silos, and only the splits come to the driver. Large silos are trained in groups, so that neither
+their bin edges nor their splits outgrow the driver. Both ways share the splitting rule.
 
 Trees are rows (round, client_id, tree_id, weight, nodes) with nodes
 array<struct<id, feature, threshold, left, right, leaf, base_weight>>; a leaf has feature -1.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from siloml.functions.blocks import map_with_side
 from siloml.functions.moments import by_silo, matrix, silo_sums
 from siloml.functions.staging import stage
 from siloml.spec import CLIENT, FEATURES, LABEL, SPLIT, TRAIN, BoostSpec, silo_type
@@ -28,6 +30,7 @@ NODE = "struct<id:int,feature:int,threshold:double,left:int,right:int,leaf:doubl
 TREE_SCHEMA = f"round int, {CLIENT} int, tree_id bigint, weight double, nodes array<{NODE}>"
 MIN_GAIN = 1e-6
 GROUP_BYTES = 64 * 1024 * 1024  # bin edges of the silos that are trained together
+SMALL = 1 << 16  # training rows of a silo whose trees one task grows
 CHUNK_NODES = 1_000_000  # nodes of the trees that one pass over the rows scores, about 40 MB
 
 
@@ -124,15 +127,11 @@ def _best_splits(sums: DataFrame, width: int, bins: int, n_nodes: int, spec: Boo
                 g, h = np.asarray(flat).reshape(2, n_nodes, width, bins)
                 gt, ht = g[:, 0, :].sum(axis=1), h[:, 0, :].sum(axis=1)
                 gl, hl = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
-                gr, hr = gt[:, None, None] - gl, ht[:, None, None] - hl
-                lam = spec.reg_lambda
-                gain = gl ** 2 / (hl + lam) + gr ** 2 / (hr + lam) - (gt ** 2 / (ht + lam))[:, None, None]
-                gain[(hl < spec.min_child_weight) | (hr < spec.min_child_weight)] = -np.inf
+                best, gain = best_split(gl, hl, gt, ht, spec)
                 for slot in range(n_nodes):
-                    best = int(np.argmax(gain[slot]))
-                    f, b = divmod(best, bins - 1)
+                    f, b = divmod(int(best[slot]), bins - 1)
                     out.append((
-                        client, slot, float(gt[slot]), float(ht[slot]), f, b, float(gain[slot, f, b]),
+                        client, slot, float(gt[slot]), float(ht[slot]), f, b, float(gain[slot]),
                         float(gl[slot, f, b]), float(hl[slot, f, b]),
                     ))
             yield pd.DataFrame(out, columns=[CLIENT, "slot", "g", "h", "feature", "bin", "gain", "gl", "hl"])
@@ -227,40 +226,136 @@ def _binned(df: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
         cut, f"{CLIENT} {silo_type(df)}, {LABEL} int, bins array<int>, margin double")
 
 
+def best_split(gl, hl, g, h, spec: BoostSpec):
+    """(flat place, gain) of the best cut of each node from left sums nodes x features x cuts and the nodes' sums."""
+    gr, hr, lam = g[:, None, None] - gl, h[:, None, None] - hl, spec.reg_lambda
+    gain = gl ** 2 / (hl + lam) + gr ** 2 / (hr + lam) - (g ** 2 / (h + lam))[:, None, None]
+    gain[(hl < spec.min_child_weight) | (hr < spec.min_child_weight)] = -np.inf
+    flat = gain.reshape(len(g), -1)
+    best = flat.argmax(axis=1)
+    return best, flat[np.arange(len(g)), best]
+
+
+def grow_silo(bins: np.ndarray, y: np.ndarray, margin: np.ndarray, spec: BoostSpec, n_bins: int) -> list[list[dict]]:
+    """All trees of one silo from its rows; a node's ``bin`` is its cut. Each tree moves the margin on for the next."""
+    width, trees = bins.shape[1], []
+    for _ in range(spec.n_local_trees):
+        g, h = _gradients(y, margin)
+        nodes = [_leaf(0, g.sum(), h.sum(), spec)]
+        at, open_nodes = np.zeros(len(y), np.int64), [0]
+        for _ in range(spec.max_depth):
+            if not open_nodes:
+                break
+            place = np.full(len(nodes), -1)
+            place[open_nodes] = np.arange(len(open_nodes))
+            slot = place[at]
+            r = np.flatnonzero(slot >= 0)
+            flat = ((slot[r, None] * width + np.arange(width)) * n_bins + bins[r]).ravel()
+            shape = (len(open_nodes), width, n_bins)
+            gs, hs = (np.bincount(flat, np.repeat(v[r], width), minlength=np.prod(shape)).reshape(shape) for v in (g, h))
+            gt, ht = gs[:, 0].sum(axis=1), hs[:, 0].sum(axis=1)
+            gl, hl = gs.cumsum(axis=2)[..., :-1], hs.cumsum(axis=2)[..., :-1]
+            best, gain = best_split(gl, hl, gt, ht, spec)
+            fresh = []
+            for s, n in enumerate(open_nodes):
+                if gain[s] <= MIN_GAIN:
+                    continue
+                f, b = divmod(int(best[s]), n_bins - 1)
+                left = len(nodes)
+                nodes[n].update(feature=f, bin=b, leaf=0.0, left=left, right=left + 1)
+                nodes += [_leaf(left, gl[s, f, b], hl[s, f, b], spec), _leaf(left + 1, gt[s] - gl[s, f, b], ht[s] - hl[s, f, b], spec)]
+                mine = r[slot[r] == s]
+                at[mine] = left + (bins[mine, f] > b)
+                fresh += [left, left + 1]
+            open_nodes = fresh
+        trees.append(nodes)
+        margin = margin + np.asarray([n["leaf"] for n in nodes])[at]
+    return trees
+
+
+def _grow_small(rows: DataFrame, edges: DataFrame, spec: BoostSpec, width: int, n_silos: int, round_no: int) -> DataFrame:
+    """Trees of silos with at most ``SMALL`` rows (client_id, label, features, margin): a silo is a task's group."""
+    key, n_bins = silo_type(rows), spec.max_bins
+
+    def cut(edges, x):
+        found = np.stack([np.searchsorted(np.asarray(e, float), x[:, i], side="right") for i, e in enumerate(edges)], axis=1)
+        return [[r.tobytes() for r in found.astype(np.int32)]]
+
+    binned = map_with_side(rows, edges, "edges", cut, "bins binary", n_silos, 9 * width * spec.max_bins).select(
+        CLIENT, LABEL, "margin", "bins")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins = np.frombuffer(b"".join(pdf["bins"]), np.int32).reshape(len(pdf), -1)
+        trees = grow_silo(bins, pdf[LABEL].to_numpy(float), pdf["margin"].to_numpy(float), spec, n_bins)
+        out = [(pdf[CLIENT].iloc[0], k, n["id"], n["feature"], n.get("bin", -1), n["left"], n["right"], n["leaf"], n["base_weight"])
+               for k, nodes in enumerate(trees) for n in nodes]
+        return pd.DataFrame(out, columns=[CLIENT, "tree_id", "id", "feature", "bin", "left", "right", "leaf", "base_weight"])
+
+    nodes = binned.groupBy(CLIENT).applyInPandas(
+        grow, f"{CLIENT} {key}, tree_id bigint, id int, feature int, bin int, left int, right int, leaf double, base_weight double")
+    cuts = edges.select(CLIENT, F.posexplode("edges").alias("feature", "e")).select(
+        CLIENT, "feature", F.posexplode("e").alias("bin", "threshold"))
+    node = F.struct("id", "feature", F.coalesce("threshold", F.lit(0.0)).alias("threshold"), "left", "right", "leaf", "base_weight")
+    return nodes.join(cuts, [CLIENT, "feature", "bin"], "left").groupBy(CLIENT, "tree_id").agg(
+        F.sort_array(F.collect_list(node)).alias("nodes")).select(
+        F.lit(round_no).alias("round"), CLIENT, "tree_id", F.lit(1.0).alias("weight"), "nodes")
+
+
 def boost(
     df: DataFrame,
     spec: BoostSpec,
     width: int,
-    clients: list[int],
+    clients: list[int] | None = None,
     ensemble: DataFrame | None = None,
     round_no: int = 1,
     edges: dict[int, list[np.ndarray]] | DataFrame | None = None,
+    small: int | None = None,
+    shared: bool = True,
 ) -> DataFrame:
-    """Grow ``n_local_trees`` per silo on top of the shared ``ensemble`` (None: first round).
+    """Grow ``n_local_trees`` per silo on top of the ``ensemble`` (None: first round), shared by all or each silo's own.
 
-    ``df``: staged contract columns + features. ``edges``: an edge table, or the dict of a few silos. Returns
-    only the new trees.
+    ``df``: staged contract columns + features. ``edges``: an edge table, or the dict of a few silos. Silos with at
+    most ``small`` training rows (``SMALL`` if None) are grown each in a task, all trees in one job; larger ones level by
+    level over all tasks, in groups of silos. Returns only the new trees, of ``clients`` or all silos.
     """
     spark, kind = df.sparkSession, silo_type(df)
+    small = SMALL if small is None else small
     train = df.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
-    rows = with_margin(train, ensemble, True, spec.base_margin)
     if edges is None:
         edges = stage(edge_table(df, width, spec.max_bins))
+    elif isinstance(edges, dict):
+        edges = spark.createDataFrame([(int(c), [[float(v) for v in e] for e in es]) for c, es in edges.items()],
+                                      f"{CLIENT} {kind}, edges array<array<double>>")
+    sizes = stage(train.groupBy(CLIENT).agg(F.count("*").alias("n")))
+    if clients is not None:
+        sizes = sizes.join(spark.createDataFrame([(int(c),) for c in clients], f"{CLIENT} {kind}"), CLIENT, "left_semi")
+    seen = sizes.agg(F.count("*").alias("n"), F.count_if(F.col("n") > small).alias("large")).first()
+    rows = with_margin(train, ensemble, shared, spec.base_margin)
+    grown = None
+    if seen.n > seen.large:
+        few = rows if not seen.large and clients is None else rows.join(sizes.where(F.col("n") <= small).select(CLIENT), CLIENT, "left_semi")
+        grown = stage(_grow_small(few, edges, spec, width, seen.n, round_no))
+    if seen.large:
+        large = [r[0] for r in sizes.where(F.col("n") > small).select(CLIENT).orderBy(CLIENT).collect()]  # rows / SMALL at most
+        trees = _grow_large(rows, spec, width, large, edges, round_no, kind)
+        grown = trees if grown is None else grown.unionByName(trees)
+    return grown if grown is not None else spark.createDataFrame([], TREE_SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))
+
+
+def _grow_large(rows: DataFrame, spec: BoostSpec, width: int, clients: list[int], edges: DataFrame, round_no: int, kind: str) -> DataFrame:
+    """Trees of silos too large for a task, in groups whose bin edges and splits fit the driver."""
+    spark = rows.sparkSession
     per_group = max(1, GROUP_BYTES // (8 * width * spec.max_bins))
     if len(clients) > per_group:
         rows = stage(rows)
     grown: DataFrame | None = None
     for at in range(0, len(clients), per_group):
         group = clients[at:at + per_group]
-        part, table = rows, edges
-        if len(group) < len(clients):
-            ids = F.broadcast(spark.createDataFrame([(c,) for c in group], f"{CLIENT} {kind}"))
-            part = rows.join(ids, CLIENT, "left_semi")
-            table = edges.join(ids, CLIENT, "left_semi") if isinstance(edges, DataFrame) else edges
-        known = _edges(table) if isinstance(table, DataFrame) else table
-        trees = _grow_group(part, spec, width, [c for c in group if c in known], known, round_no, kind)
+        ids = F.broadcast(spark.createDataFrame([(c,) for c in group], f"{CLIENT} {kind}"))
+        known = _edges(edges.join(ids, CLIENT, "left_semi"))
+        trees = _grow_group(rows.join(ids, CLIENT, "left_semi"), spec, width, [c for c in group if c in known], known, round_no, kind)
         grown = trees if grown is None else stage(grown.unionByName(trees))
-    return grown if grown is not None else spark.createDataFrame([], TREE_SCHEMA.replace(f"{CLIENT} int", f"{CLIENT} {kind}"))
+    return grown
 
 
 def _grow_group(df: DataFrame, spec: BoostSpec, width: int, clients: list[int], edges: dict, round_no: int, kind: str) -> DataFrame:

@@ -31,6 +31,10 @@ def start_weights(width: int, hidden: int, seed: int) -> np.ndarray:
         rng.uniform(-first, first, hidden), rng.uniform(-second, second, 1)])
 
 
+def logistic(m: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * m))  # without overflow
+
+
 def layers(vector: np.ndarray, width: int, hidden: int):
     cut = width * hidden
     return vector[:cut].reshape(width, hidden), vector[cut:cut + hidden], vector[cut + hidden:cut + 2 * hidden], vector[-1]
@@ -57,7 +61,7 @@ class Network:
         w1, w2, b1, b2 = layers(vector, self.width, self.spec.hidden)
         h = np.maximum(x @ w1 + b1, 0.0)
         m = h @ w2 + b2
-        slope = w * (1.0 / (1.0 + np.exp(-m)) - y)
+        slope = w * (logistic(m) - y)
         back = np.outer(slope, w2) * (h > 0)
         loss = float(w @ (np.logaddexp(0.0, m) - y * m))
         return np.concatenate([[w.sum(), loss], (x.T @ back).ravel(), h.T @ slope, back.sum(axis=0), [slope.sum()]])
@@ -161,7 +165,7 @@ def predict_mlp(df: DataFrame, params: DataFrame, width: int, hidden: int, n_sil
         vectors = rebuild_params(params, [CLIENT])
 
     def score(vector, x):
-        prob = 1.0 / (1.0 + np.exp(-margins(np.asarray(vector), x, hidden)))
+        prob = logistic(margins(np.asarray(vector), x, hidden))
         return prob, (prob > 0.5).astype(np.int32)
 
     return map_with_side(df, vectors, "vector", score, "prob double, pred int", n_silos, 8 * n_weights(width, hidden) + 64)

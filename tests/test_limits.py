@@ -137,6 +137,7 @@ def test_silo_groups_grow_the_same_trees(spark, monkeypatch):
     # Sums of one silo are added in any order, so leaves agree to rounding.
     rows = lambda t: sorted((r["client_id"], r["tree_id"], [(n["id"], n["feature"], round(n["leaf"], 9)) for n in r["nodes"]])
                             for r in t.collect())
-    both = rows(B.boost(prepared.df, spec, 2, [0, 1]))
+    both = rows(B.boost(prepared.df, spec, 2, [0, 1], small=0))
     monkeypatch.setattr(B, "GROUP_BYTES", 1)
-    assert rows(B.boost(prepared.df, spec, 2, [0, 1])) == both
+    assert rows(B.boost(prepared.df, spec, 2, [0, 1], small=0)) == both
+    assert rows(B.boost(prepared.df, spec, 2)) == both

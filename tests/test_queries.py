@@ -8,9 +8,10 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not present")
 CHECKED = ("one_hot", "dirichlet_silos", "split_70_20_10", "undersample", "transform_chain", "knn", "smote", "auc",
            "classification_report", "fedf1", "bag_trees", "merge_eval", "scan_results", "parse_results",
-           "parse_results_flat", "write_read_model", "tree_counts", "average_results", "pca_reconstruction",
+           "parse_results_flat", "write_read_model", "average_results", "pca_reconstruction",
            "pca_uncorrelated", "optimal_logistic", "boost_learns", "step_local_fit", "step_local_evaluate",
-           "step_rounds_fedf1", "step_fit_metrics", "step_central_baseline", "step_sweep")
+           "step_rounds_fedf1", "step_fit_metrics", "step_central_baseline", "step_sweep", "summary_report", "mlp_step",
+           "forest_roots", "fit_statuses", "rounds_without_broken", "customer_fits", "boost_two", "boost_onward")
 
 
 @pytest.mark.parametrize("name", CHECKED)

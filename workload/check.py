@@ -10,8 +10,7 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
-from workload.oracle import ORACLE
-from workload.queries import QUERIES
+from workload.registry import ORACLE, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()

@@ -369,8 +369,8 @@ JOIN ({SILO_POSITIONS.format(n=3, name='j')}) b ON a.client_id = b.client_id AND
 ORACLE["one_step_fedavg"] = one_step("n_examples")
 ORACLE["one_step_fedf1"] = one_step("f1")
 ORACLE["tree_counts"] = """
-SELECT 1 AS round, 2 + count(DISTINCT n_regionkey) - 1 AS n_trees FROM nation
-UNION ALL SELECT 2, count(DISTINCT n_regionkey) FROM nation"""
+SELECT 1 AS round, 10 + count(DISTINCT n_regionkey) - 1 AS n_trees FROM nation
+UNION ALL SELECT r, n FROM (SELECT count(DISTINCT n_regionkey) AS n FROM nation), (SELECT CAST(unnest(range(2, 11)) AS INTEGER) AS r)"""
 
 # ---- metrics -------------------------------------------------------------------------------------
 REPORTED = with_report("rated", ("client_id",), RATED)
@@ -485,6 +485,13 @@ ORACLE["average_results"] = ctes(**LOGGED) + """
 SELECT class, metric, round(sum(value) / (SELECT count(*) FROM facts), 6) AS value FROM logged GROUP BY class, metric"""
 ORACLE["count_results"] = ctes(**BY_CUSTOMER) + """
 SELECT (SELECT count(*) FROM facts) AS experiments, (SELECT count(*) FROM per_class WHERE c = 0) AS classes"""
+ORACLE["summary_report"] = ctes(**LOGGED, averaged="""
+  SELECT class, metric, round(sum(value) / (SELECT count(*) FROM facts), 4) AS value FROM logged GROUP BY class, metric""", blocks="""
+  SELECT class, class || chr(10) || string_agg('  ' || metric || ': ' || CAST(value AS VARCHAR), chr(10) ORDER BY metric) AS t,
+    '"' || class || '":{' || string_agg('"' || metric || '":' || CAST(value AS VARCHAR), ',' ORDER BY metric) || '}' AS j
+  FROM averaged GROUP BY class""") + """
+SELECT CAST((SELECT count(*) FROM facts) AS INTEGER) AS n_experiments, string_agg(t, chr(10) ORDER BY class) AS report,
+  '{' || string_agg(j, ',' ORDER BY class) || '}' AS averages, '{"client": 5, "round": 10}' AS options FROM blocks"""
 ORACLE["parse_results_flat"] = ctes(**BY_CUSTOMER) + """
 SELECT CASE WHEN class = '' THEN 'Class test' ELSE 'Class ' || class END AS class, metric, round(avg(value), 6) AS value
 FROM report GROUP BY report.class, metric"""

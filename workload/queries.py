@@ -29,7 +29,7 @@ from siloml.training import boost as B, linear as L
 SEED = 42
 CATS = tables.RISK_CATEGORICAL
 NUMS = tables.RISK_NUMERIC
-CHAIN = PrepareSpec(by_column="n_regionkey", categoricals=CATS)
+CHAIN = PrepareSpec(by_column="n_regionkey", categoricals=CATS, refuse_bad=False)
 LR = 0.1
 SUMS = ("o_totalprice", "c_acctbal", "sum_qty", "sum_price", "ret_qty")
 
@@ -58,15 +58,15 @@ def encoded_split(spark: SparkSession, d: str) -> DataFrame:
     return frame.one_hot(split_frame(spark, d), CATS)
 
 
-def prepared(spark: SparkSession, d: str) -> prep.Prepared:
-    return prep.prepare(cleaned(spark, d).drop("n_nationkey", "o_custkey"), CHAIN)
+def prepared(spark: SparkSession, d: str, seed: int = SEED) -> prep.Prepared:
+    return prep.prepare(cleaned(spark, d).drop("n_nationkey", "o_custkey"), replace(CHAIN, seed=seed))
 
 
 def lean(spark: SparkSession, d: str, seed: int = SEED) -> prep.Prepared:
     """Scaled numeric features only (7 wide), from the already split table."""
     n = n_regions(spark, d)
     df = split_frame(spark, d, seed).select(ROW_ID, CLIENT, SPLIT, LABEL, *NUMS)
-    return prep.transform_chain(stage(df), PrepareSpec(encode=False), n)
+    return prep.transform_chain(stage(df), PrepareSpec(encode=False, refuse_bad=False), n)
 
 
 def rated(spark: SparkSession, d: str) -> DataFrame:
@@ -540,36 +540,32 @@ def step_sweep(spark, d):
 
 
 BOOST = BoostSpec()
-FOREST = ForestSpec()
-SMALL_MLP = MlpSpec(hidden=100, max_iter=100)  # the network's size; iterations cut to what a query may take
-SMALL_BOOST = BoostSpec(n_local_trees=2)
-TWO_ROUNDS = RoundSpec(rounds=2)
 
 
 def fit_report(spark, d, spec):
-    """Fit all silos with one family and return what a local fit reports."""
-    p = lean(spark, d)
+    """Fit all silos with one family on the full-width table and return what a local fit reports."""
+    p = prepared(spark, d)
     _, metrics, _ = R.local_fit(R.trainer(p, spec))
     return metrics
 
 
 def fit_mlp(spark, d):
-    return fit_report(spark, d, SMALL_MLP)
+    return fit_report(spark, d, MlpSpec())
 
 
 def fit_forest(spark, d):
-    return fit_report(spark, d, FOREST)
+    return fit_report(spark, d, ForestSpec())
 
 
 def boost_first(spark, d):
-    p = lean(spark, d)
-    return B.boost(p.df, BOOST, p.width, p.clients())
+    p = prepared(spark, d)
+    return B.boost(p.df, BOOST, p.width)
 
 
 def boost_learns(spark, d):
     """(client_id, tree, better): whether every tree of the full booster lowers its silo's training loss."""
-    p = lean(spark, d)
-    trees = settle(B.boost(p.df, BOOST, p.width, p.clients()))
+    p = prepared(spark, d)
+    trees = settle(B.boost(p.df, BOOST, p.width))
     train = p.df.where(F.col(SPLIT) == TRAIN).select(CLIENT, LABEL, FEATURES)
     out = None
     for k in range(BOOST.n_local_trees + 1):
@@ -581,16 +577,16 @@ def boost_learns(spark, d):
 
 
 def boost_continue(spark, d):
-    p = lean(spark, d)
-    first = B.boost(p.df, SMALL_BOOST, p.width, p.clients())
+    p = prepared(spark, d)
+    first = B.boost(p.df, BOOST, p.width)
     facts = R.evaluation_facts(p, 1)
-    shared = M.bag_trees(first, facts, n_facts=p.n_silos)
-    return B.boost(p.df, SMALL_BOOST, p.width, p.clients(), shared, round_no=2)
+    shared = M.bag_trees(first, facts, n_facts=p.n_silos).withColumn("weight", F.lit(1.0))
+    return B.boost(p.df, BOOST, p.width, None, shared, round_no=2)
 
 
 def tree_counts(spark, d):
-    """Trees per round in the shared ensemble after two compatible boosting rounds."""
-    trees, _, _ = R.run_rounds(lean(spark, d), SMALL_BOOST, TWO_ROUNDS)
+    """Trees per round in the shared ensemble after ten compatible boosting rounds."""
+    trees, _, _ = R.run_rounds(prepared(spark, d), BOOST, RoundSpec())
     return trees.groupBy("round").agg(F.count("*").alias("n_trees"))
 
 
@@ -599,7 +595,7 @@ def local_fit(spark, d):
 
 
 def local_evaluate(spark, d):
-    p = lean(spark, d)
+    p = prepared(spark, d)
     t = R.trainer(p, LogisticSpec())
     params, _, facts = R.local_fit(t)
     return R.local_evaluate(t, M.fedavg(params, facts, p.n_silos).select(
@@ -611,17 +607,21 @@ def central_baseline(spark, d):
 
 
 def run_rounds(spark, d):
-    _, history, _ = R.run_rounds(lean(spark, d), SvcSpec(), RoundSpec(rounds=3, one_shot=False))
+    _, history, _ = R.run_rounds(prepared(spark, d), SvcSpec(), RoundSpec(one_shot=False))
     return history
 
 
 def boost_rounds(spark, d):
-    _, history, _ = R.run_rounds(lean(spark, d), SMALL_BOOST, RoundSpec(rounds=2, merge="FedF1"))
+    _, history, _ = R.run_rounds(prepared(spark, d), BOOST, RoundSpec(merge="FedF1"))
     return history
 
 
+FAMILIES = (LogisticSpec(), SvcSpec(), MlpSpec(), ForestSpec(), BOOST)
+
+
 def sweep(spark, d):
-    return R.sweep(lambda seed: lean(spark, d, seed), [LogisticSpec(), SvcSpec()], TWO_ROUNDS, repeats=2)
+    """Ten rounds of five families, ten times over with splits of their own, all repeats of a family in the same jobs."""
+    return R.sweep(lambda seed: prepared(spark, d, seed), FAMILIES, RoundSpec(), repeats=10)
 
 
 # ---- scoring -------------------------------------------------------------------------------------
@@ -768,7 +768,8 @@ def count_results(spark, d):
 def summary_report(spark, d):
     blocks = results.scan_experiments(spark, customer_log(spark, d))
     parsed, n = results.parse_results(blocks), blocks.count()
-    return results.summary_report(results.average_results(parsed, n), {"round": 10, "client": 5}, n)
+    averages = rounded(results.average_results(parsed, n), "value", digits=4)
+    return results.summary_report(averages, {"round": 10, "client": 5}, n)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
