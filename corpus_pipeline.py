@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages of the training-text operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents. A stage's result must be written before
+the next stage is called, which deletes the tables that the stages before it have staged.
 """
 
 from __future__ import annotations
@@ -12,33 +13,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siloml.functions.shipping import ship
-from siloml.functions.staging import stage
-from siloml.llm import linededup, mixing, packing, quality, shingles
-from siloml.llm.common import join_measured, read
+from siloml.functions.staging import discard, stage, staged_paths
+from siloml.llm import linededup, mixing, packing, quality, simhash
+from siloml.llm.common import read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, RADIUS = 3, 2
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 
 
+_stored: dict[str, list[str]] = {}  # the staged tables of each stage that its written result no longer needs
+
+
+def _clear(spark: SparkSession, stages: list[str], read_by: DataFrame | None = None) -> None:
+    """Delete the staged tables of some stages, but for those that ``read_by`` still reads."""
+    files = read_by.inputFiles() if read_by is not None else []
+    for name in stages:
+        paths = _stored.get(name, [])
+        needed = [p for p in paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+        for path in set(paths).difference(needed):
+            discard(spark, path)
+        _stored[name] = needed
+
+
 def _shipped(f: Stage) -> Stage:
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return f(spark, docs, sf_dir)
+        _clear(spark, [name for name in _stored if name != f.__name__], docs)
+        with staged_paths() as paths:
+            found = f(spark, docs, sf_dir)
+        _stored[f.__name__] = _stored.get(f.__name__, []) + paths
+        return found
 
     return run_stage
 
 
 def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents that ``chosen`` names by doc_id and text hash h, with its other columns; a row that repeats counts once."""
+    """The documents that ``chosen`` names by doc_id and text hash h, with its other columns; a row that repeats counts once.
+
+    Texts are dealt by both keys once, whatever the size: a sort-merge join, so that no side must fit in memory.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id")
     names = [c for c in chosen.columns if c not in ("doc_id", "h")]
-    side = chosen.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__of"), *[F.col(c).alias(f"__{c}") for c in names])
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    if keyed.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "__h"])
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__of"))
-    return join_measured(keyed, stage(side), same, "inner")
+    side = chosen.select(key.alias("__doc"), F.col("h").alias("__h"), *[F.col(c).alias(f"__{c}") for c in names])
+    keyed = docs.withColumns({"__doc": key, "__h": F.xxhash64("text")})
+    if keyed.groupBy("__doc", "__h").count().where("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["__doc", "__h"])
+    return keyed.join(stage(side).hint("merge"), ["__doc", "__h"])
 
 
 @_shipped
@@ -57,7 +79,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near copies (nulls last, then by text hash)."""
-    return _chosen(docs, stage(shingles.near_copies(docs, SHINGLE_WORDS))).select(*docs.columns)
+    found = simhash.near_duplicates(docs, SHINGLE_WORDS, RADIUS)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("least"))
+    return _chosen(docs, least.select("least.doc_id", "least.h")).select(*docs.columns)
 
 
 @_shipped
@@ -74,8 +98,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' token ids into sequences of at most 4,096."""
-    payload = {"ids": F.col("ids"), "ids_crc32": F.crc32("ids")}
-    return packing.pack(docs, payload=payload)
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -91,8 +114,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of all stages over the documents of ``sf_dir``."""
-    docs = read(spark, sf_dir, "documents")
+    """The packed pieces of all stages over the documents of ``sf_dir``. Only the result's table is left behind."""
+    docs, written = read(spark, sf_dir, "documents"), None
     for _, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir))
+        found = f(spark, docs, sf_dir)
+        with staged_paths() as paths:
+            docs = stage(found)
+        if written:
+            discard(spark, written)
+        written = paths[0]
+    _clear(spark, list(_stored))
     return docs

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +30,24 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return stage_at(df, f"{staging_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}", partition_by)
 
 
+_noting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The paths of the tables staged inside the block, for a caller that discards them once its result is written."""
+    paths: list[str] = []
+    _noting.append(paths)
+    try:
+        yield paths
+    finally:
+        _noting.pop()
+
+
 def stage_at(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """``stage`` at a given place, for a caller that discards the table itself."""
+    for paths in _noting:
+        paths.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
