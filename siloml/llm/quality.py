@@ -179,10 +179,11 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents to keep, with all their columns. Cutoffs come first; texts are measured again, not moved."""
-    cuts = stage(pooled_cutoffs(measure_documents(docs), labels).withColumnRenamed("stratum", "__stratum"))
-    cuts = cuts.select("__stratum", *[F.col(c).alias(f"__{c}") for c in CUTOFFS])
-    joined = join_measured(docs, cuts, F.col("lang").eqNullSafe(F.col("__stratum")))
-    named = {c: F.col(f"__{c}") for c in CUTOFFS}
-    kept = let(measures(F.col("text")), lambda m: verdict(m, named))
+    """The documents to keep, with all their columns. Texts are measured once, stored with their measures and not moved."""
+    measured = stage(docs.withColumns({"__stratum": F.col("lang"), "__m": measures(F.col("text"))}))
+    narrow = measured.select("doc_id", F.col("__stratum").alias("stratum"), F.col("__m").alias("m"))
+    cuts = stage(pooled_cutoffs(narrow, labels).withColumnRenamed("stratum", "__of"))
+    cuts = cuts.select("__of", *[F.col(c).alias(f"__{c}") for c in CUTOFFS])
+    joined = join_measured(measured, cuts, F.col("__stratum").eqNullSafe(F.col("__of")))
+    kept = verdict(F.col("__m"), {c: F.col(f"__{c}") for c in CUTOFFS})
     return joined.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

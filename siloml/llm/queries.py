@@ -38,7 +38,7 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(read(spark, sf_dir, "documents"), payload={"ids_crc32": F.crc32("ids")})
+    packed = packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

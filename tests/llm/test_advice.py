@@ -2,43 +2,9 @@
 
 import random
 
-import brute
-import pyarrow.parquet as pq
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def shingled(text):
-    words = brute.WORDS.findall(brute.lower(text or ""))
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def replaced(text, share, rng):
-    return " ".join(f"w{rng.random()}" if rng.random() < share else w for w in text.split())
-
-
-def test_near_copies_at_a_similarity_of_08(spark):
-    """The stage keeps what brute-force Jaccard keeps; copies at 0.8 to 1.0 are linked, looser ones are not."""
-    import corpus_pipeline as pipeline
-
-    rng = random.Random(5)
-    texts = [d["text"] for d in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist() if d["text"]][:90]
-    rows = texts + [replaced(t, s, rng) for t in texts for s in (0.005, 0.01, 0.02, 0.03)]
-    rows += [None, "", "two words", "Two  WORDS", "other words"] + [replaced(texts[1], 0.005, rng) for _ in range(60)]
-    sets = [shingled(t) for t in rows]
-    pairs, strata = [], [0] * 4
-    for j, b in enumerate(sets):
-        for i, a in enumerate(sets[:j]):
-            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
-                pairs.append((i, j))
-                strata[min(3, int(20 * (len(a & b) / len(a | b) if a else 1) - 16))] += 1
-    assert all(n > 20 for n in strata)  # pairs at 0.80-0.85, 0.85-0.90, 0.90-0.95, 0.95-1.00
-    roots = brute.components(range(len(rows)), pairs)
-    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], SCHEMA)
-    found = {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()}
-    assert found == set(roots.values())
-
-
 def test_symbol_spam_is_rejected_with_pooled_labels(spark, tmp_path):
     """The registered risk and chance prove cutoffs on 2,500 labelled documents of three languages together."""
     import corpus_pipeline as pipeline

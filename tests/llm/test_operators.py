@@ -128,7 +128,12 @@ def test_sequences_of_packed_pieces(spark):
     packed = packing.pack(docs)
     rows = packing.sequences(packed).collect()
     total = sum(r.n_ids for r in rows)
-    assert all(len(r.ids) == 4 * r.n_ids <= 4 * 4096 for r in rows)
+    used = {r.sequence_id: r for r in rows}
+    for r in packed.collect():
+        own = used[r.sequence_id].ids[2 * r.offset:2 * (r.offset + r.length)]
+        assert own == bytes(r.ids) and r.ids_crc32 == brute.crc_ids([int(i) for i in np.frombuffer(own, "<u2")])
+    assert sorted(used) == list(range(len(rows)))
+    assert all(len(r.ids) == 2 * r.n_ids <= 2 * 4096 for r in rows)
     assert total == sum(len(x) for x in brute.encode([r.text for r in docs.collect()]))
     assert len(rows) * 4096 <= 1.05 * total + 4096
 

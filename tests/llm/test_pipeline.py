@@ -28,7 +28,7 @@ def copies_kept(docs):
 
     def fingerprint(text):
         words = brute.WORDS.findall(brute.lower(text or ""))
-        grams = [" ".join(words[i:i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [" ".join(words)] if words else []
+        grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
         hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -82,6 +82,29 @@ def test_stages(spark, awkward, where):  # noqa: F811
 
 
 def test_run(spark):
+    """The whole run, and that it leaves nothing but its result behind."""
+    import os
+
+    import corpus_pipeline as pipeline
+    from siloml.functions.staging import staging_dir
+
+    folder = staging_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    packed = pipeline.run(spark, SF)
+    assert packed.count() > 0
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    """Copies, copies with one word of many changed, repeated rows and texts without words: the least doc_id stays."""
     import corpus_pipeline as pipeline
 
-    assert pipeline.run(spark, SF).count() > 0
+    def text(i, n=400):
+        return " ".join(f"w{(i * 7919 + k * 104729) % 99991}" for k in range(n))
+
+    rows = [(i, text(i), "en", "a", 0) for i in range(20)]
+    rows += [(100 + i, text(i), "en", "b", 0) for i in range(20)] + [(7, text(7), "en", "a", 0)]
+    rows += [(200, None, "en", "a", 0), (201, " ", "en", "a", 0), (None, text(3), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept) == [*range(20), 200]
