@@ -110,15 +110,21 @@ held AS (
 strata AS (SELECT lang, count(*) AS n FROM rates WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY lang),
 counted AS (
   SELECT h.lang, h.rule, r.cutoff, count(*) FILTER (WHERE rate > cutoff) AS k FROM held h JOIN rules r USING (rule) GROUP BY ALL),
+pooled AS (SELECT rule, cutoff, sum(k) AS k FROM counted GROUP BY ALL),
+level AS (SELECT 0.05 / ((SELECT count(DISTINCT rule) FROM rules) * (count(*) + 1)) AS p FROM strata),
+used AS (
+  SELECT lang, n * ln(1 - 0.0025) <= ln(p) AS own,
+         CAST(CASE WHEN n * ln(1 - 0.0025) <= ln(p) THEN n ELSE (SELECT sum(n) FROM strata) END AS BIGINT) AS n FROM strata, level),
 chances AS (
   SELECT lang, j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0025) + (n - j) * ln(1 - 0.0025)))
            OVER (PARTITION BY lang ORDER BY j) AS p
-  FROM (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.0025) AS BIGINT) + 1)) AS j FROM strata)),
-allowed AS (SELECT lang, max(j) AS most FROM chances
-            WHERE p <= 0.05 / ((SELECT count(*) FROM rules) * (SELECT count(*) FROM strata)) GROUP BY lang),
+  FROM (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.0025) AS BIGINT) + 1)) AS j FROM used)),
+allowed AS (SELECT lang, max(j) AS most FROM chances WHERE p <= (SELECT p FROM level) GROUP BY lang),
 cuts AS (
-  SELECT c.lang, c.rule, min(c.cutoff) AS cutoff FROM counted c JOIN allowed a ON c.lang IS NOT DISTINCT FROM a.lang
-  WHERE c.k <= a.most GROUP BY ALL),
+  SELECT c.lang, c.rule, min(c.cutoff) AS cutoff
+  FROM counted c JOIN pooled o ON c.rule = o.rule AND c.cutoff = o.cutoff
+  JOIN used u ON c.lang IS NOT DISTINCT FROM u.lang JOIN allowed a ON c.lang IS NOT DISTINCT FROM a.lang
+  WHERE CASE WHEN own THEN c.k ELSE o.k END <= a.most GROUP BY ALL),
 bad AS (
   SELECT DISTINCT rid FROM (SELECT rid, lang, {names} FROM rates) UNPIVOT (rate FOR rule IN ({names})) x
   JOIN cuts c ON x.rule = c.rule AND x.lang IS NOT DISTINCT FROM c.lang WHERE rate > cutoff),

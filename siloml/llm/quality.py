@@ -173,7 +173,7 @@ def measure_documents(docs: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's doc_id, stratum, measures m and ``kept``; strata are languages, null one of its own."""
     measured = measure_documents(docs)
-    cuts = stage(cutoffs(measured, labels).withColumnRenamed("stratum", "of"))
+    cuts = stage(pooled_cutoffs(measured, labels).withColumnRenamed("stratum", "of"))
     joined = join_measured(measured, cuts, F.col("stratum").eqNullSafe(F.col("of")))
     return joined.select("doc_id", "stratum", "m", verdict(F.col("m"), cuts).alias("kept"))
 

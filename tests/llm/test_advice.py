@@ -8,6 +8,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_symbol_spam_is_rejected_with_pooled_labels(spark, tmp_path):
     """The registered risk and chance prove cutoffs on 2,500 labelled documents of three languages together."""
     import corpus_pipeline as pipeline
+    import duckdb
+    from siloml.llm.oracle import ORACLE
+    from siloml.llm.queries import op7_quality
 
     def text(i, spam):
         return " ".join(f"w{i * 61 % 997}{k}" for k in range(60)) + " #" * spam
@@ -18,6 +21,13 @@ def test_symbol_spam_is_rejected_with_pooled_labels(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame(rows + spam, SCHEMA)
     assert sorted(r.doc_id for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()) == list(range(len(rows)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.kept for r in op7_quality(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    told = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({ORACLE['op7_quality']})").fetchall()}
+    assert found == told == {i: i < len(rows) for i in found}
 
 
 def test_hex_keys_glued_to_names():
