@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from siloml.functions import joins
+from siloml.functions.numbering import numbered
 from siloml.functions.staging import stage
 from siloml.functions.vectors import assemble, quoted
 from siloml.spec import CONTRACT, FEATURES, LABEL, ROW_ID, TRAIN
@@ -86,6 +88,56 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence
     return df.select(*kept, *encoded)
 
 
+def level_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, level, pos, n): each level of each column, its place in one common space, and its rows; a stored table.
+
+    Places run over the columns as given, then over their levels (numbers by value, other values as text). Levels
+    are counted map-side and numbered in sorted ranges: any number of them, and none reaches the driver. A null
+    is no level.
+    """
+    def cell(i: int, c: str) -> Column:
+        level = quoted(c).cast("string")
+        number = quoted(c).cast("double") if isinstance(df.schema[c].dataType, NumericType) else F.lit(None).cast("double")
+        return F.struct(F.lit(i).alias("i"), number.alias("number"), level.alias("level"))
+
+    cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("c")).select("c.*")
+    counted = cells.where("level IS NOT NULL").groupBy("i", "number", "level").agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return stage(numbered(counted, ["i", "number", "level"], "pos").select(F.get(names, F.col("i")).alias("column"), "level", "pos", "n"))
+
+
+def _placed(df: DataFrame, column: str, side: DataFrame, size: int) -> DataFrame:
+    """``df`` with ``column`` replaced by its level's place: one broadcast inside the byte bound, else a join of what is not hot."""
+    keyed = df.withColumn("_level", quoted(column).cast("string"))
+    if size <= joins.BROADCAST_BYTES:
+        found = keyed.join(F.broadcast(side.drop("n")), "_level", "left")
+    else:  # frequent levels, at most rows / HOT_ROWS of them, and nulls do not go through the shuffle
+        hot, known = side.where(F.col("n") > joins.HOT_ROWS).drop("n"), keyed.where("_level IS NOT NULL")
+        cold = known.join(F.broadcast(hot), "_level", "left_anti").join(side.drop("n"), "_level", "left")
+        found = cold.unionByName(known.join(F.broadcast(hot), "_level")).unionByName(
+            keyed.where("_level IS NULL").withColumn("_pos", F.lit(None).cast("bigint")))
+    place = F.coalesce("_pos", F.lit(-1)).cast("bigint")
+    return found.select(*[(place if c == column else quoted(c)).alias(c) for c in df.columns])
+
+
+def encode_levels(df: DataFrame, columns: Sequence[str], table: DataFrame) -> DataFrame:
+    """``columns`` as places of a ``level_table`` (bigint): the sparse form of ``one_hot``, for any number of levels.
+
+    A null, and a level that the table lacks, is -1, which stands for no column at all.
+    """
+    sizes = {r["column"]: r["size"] for r in table.groupBy("column").agg(F.sum(F.octet_length("level") + 32).alias("size")).collect()}
+    for c in columns:
+        side = table.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("pos").alias("_pos"), "n")
+        df = _placed(df, c, side, sizes.get(c, 0))
+    return df
+
+
+def with_levels(df: DataFrame, encoded: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Append the places of ``columns`` (``encoded``: row_id and them) to the features of rows prepared from numbers."""
+    places = encoded.select(ROW_ID, F.array(*[quoted(c).cast("double") for c in columns]).alias("_places"))
+    return df.join(places, ROW_ID).withColumn(FEATURES, F.concat(FEATURES, "_places")).drop("_places")
+
+
 def feature_columns(df: DataFrame, exclude: str | None = None) -> list[str]:
     """All columns but the contract ones and those whose name matches the ``exclude`` pattern."""
     pattern = re.compile(exclude) if exclude else None

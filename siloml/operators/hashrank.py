@@ -1,7 +1,9 @@
 """Exact order statistics under a seeded hash, without ordering a group on one task.
 
 Rows are ordered by (md5(seed|key), key) inside a group. The leading hex digits cut each group into even
-buckets whatever its size, so a count per bucket is enough to place a rank.
+buckets, so a count per bucket is enough to place a rank. Buckets of more than ``BUCKET_ROWS`` rows are cut again by
+as many further digits as their counts ask for, so what a task orders is bounded whatever a group's size (keys must
+be unique: rows of one key have one hash and stay together).
 
 * ``hash_rank``  the 0-based rank of each row (one shuffle by (group, bucket)).
 * ``hash_cuts``  only the rows at wanted positions; labelling rows against the cuts moves no data at all.
@@ -15,19 +17,52 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siloml.functions.hashing import seeded_hex
 from siloml.functions.joins import BROADCAST_BYTES, attach, group_count
-from siloml.functions.staging import settle
+from siloml.functions.staging import settle, stage
 from siloml.spec import ROW_ID
 
-HEX_DIGITS = 3  # 4,096 buckets per group; 4 for groups beyond some 10^10 rows
+HEX_DIGITS = 3  # 4,096 buckets per group at first
+ALL_DIGITS = 32
+BUCKET_ROWS = 1 << 18  # rows from which a bucket is cut again
 UNROLLED_CUTS = 64
 
 
+def _deeper(rows: str, digits: int, bucket_rows: int) -> Column:
+    """Digits that cut a bucket of so many rows, found at ``digits``, into buckets of about half the bound or less."""
+    more = F.ceil(F.log(16.0, F.col(rows) * 2.0 / bucket_rows))
+    return F.least(F.lit(ALL_DIGITS), F.lit(digits) + more).cast("int")
+
+
 def _bucket_counts(keyed: DataFrame, groups: Sequence[str]) -> DataFrame:
     counts = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_cnt"))
     order = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("_before", F.sum("_cnt").over(order) - F.col("_cnt"))
 
 
+def hash_buckets(
+    keyed: DataFrame, groups: Sequence[str], hex_digits: int, bucket_rows: int, key: str
+) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (with ``_h``) by bucket, the buckets' starts (groups..., _bucket, _cnt, _before), and the number of buckets.
+
+    A bucket is a prefix of the hash; no bucket is a prefix of another one, so buckets sort as their rows do.
+    """
+    keyed = keyed.withColumn("_bucket", F.substring("_h", 1, hex_digits))
+    counts = stage(keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_cnt")))
+    wide = counts.where(F.col("_cnt") > bucket_rows).select(*groups, "_bucket", _deeper("_cnt", hex_digits, bucket_rows).alias("_digits"))
+    n_wide = wide.count()
+    order = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    tops = counts.withColumn("_before", F.sum("_cnt").over(order) - F.col("_cnt"))
+    if not n_wide:
+        return keyed, tops, counts.count()
+    keyed = attach(keyed, wide, [*groups, "_bucket"], n_wide, 128, "left", key).withColumnRenamed("_bucket", "_top")
+    keyed = keyed.withColumn("_bucket", F.col("_h").substr(F.lit(1), F.coalesce("_digits", F.lit(hex_digits)))).drop("_digits")
+    fine = stage(keyed.groupBy(*groups, "_top", "_bucket").agg(F.count("*").alias("_cnt")))
+    inner = Window.partitionBy(*groups, "_top").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    within = fine.withColumn("_within", F.sum("_cnt").over(inner) - F.col("_cnt"))
+    starts = within.join(tops.select(*groups, F.col("_bucket").alias("_top"), "_before"), [*groups, "_top"]).select(
+        *groups, "_bucket", "_cnt", (F.col("_before") + F.col("_within")).alias("_before"))
+    return keyed.drop("_top"), starts, fine.count()
+
+
 def hash_rank(
     df: DataFrame,
     groups: Sequence[str],
@@ -36,13 +71,13 @@ def hash_rank(
     out: str = "hash_rank",
     n_groups: int | None = None,
     hex_digits: int = HEX_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add the exact 0-based rank of each row in its group."""
+    """Add the exact 0-based rank of each row in its group. ``n_groups`` is not needed any more: buckets are counted."""
     groups = list(groups)
-    n_groups = group_count(df, groups) if n_groups is None else n_groups
-    keyed = df.withColumn("_h", seeded_hex(seed, key)).withColumn("_bucket", F.substring("_h", 1, hex_digits))
-    offsets = _bucket_counts(keyed.select(*groups, "_bucket"), groups).drop("_cnt")
-    if n_groups * 16 ** hex_digits * 64 <= BROADCAST_BYTES:
+    keyed, starts, n = hash_buckets(df.withColumn("_h", seeded_hex(seed, key)), groups, hex_digits, bucket_rows, key)
+    offsets = starts.drop("_cnt")
+    if n * 64 <= BROADCAST_BYTES:
         placed = keyed.join(F.broadcast(offsets), [*groups, "_bucket"])
     else:  # shuffles on (group, bucket), a partitioning that the window below needs anyway
         placed = keyed.join(offsets, [*groups, "_bucket"])
@@ -59,14 +94,17 @@ def hash_cuts(
     n_cuts: int,
     key: str = ROW_ID,
     hex_digits: int = HEX_DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Rows standing at wanted positions of the hash order, as one sorted array per group.
 
     ``positions`` maps a table (groups..., n) of group sizes to (groups..., pos): the number of rows that
     stand before each cut, at most ``n_cuts`` per group; a position asked for twice gives two equal cuts
     and one at or past the end gives none. Only the buckets that hold a cut (about cuts/4096 of a group)
-    are ordered; the rest of the data is counted and left in place. Runs as two jobs on the narrow
-    (groups, key) columns; the cuts are then a local table, not a subplan of everything built on them.
+    are ordered; the rest of the data is counted and left in place. A bucket of more than ``bucket_rows`` rows
+    that holds a cut is counted again by further digits, and only its part with the cut is ordered. Runs as two
+    or three jobs on the narrow (groups, key) columns; the cuts are then a local table, not a subplan of everything
+    built on them.
     """
     groups = list(groups)
     keyed = df.select(*groups, F.col(key).alias("_key"), seeded_hex(seed, key).alias("_h"))
@@ -76,11 +114,24 @@ def hash_cuts(
     holders = (
         counts.join(F.broadcast(wanted) if n_groups * n_cuts * 64 <= BROADCAST_BYTES else wanted, groups)
         .where("pos >= _before and pos < _before + _cnt")
-        .groupBy(*groups, "_bucket")
+        .groupBy(*groups, "_bucket", "_cnt")
         .agg(F.collect_list(F.col("pos") - F.col("_before") + 1).alias("_offsets"))
     )
-    holders = settle(holders)
-    candidates = attach(keyed, holders, [*groups, "_bucket"], n_groups * n_cuts, 128, salt_on="_key")
+    holders, n_cut = settle(holders), n_groups * n_cuts
+    wide = holders.where(F.col("_cnt") > bucket_rows)
+    candidates = attach(keyed, holders.where(F.col("_cnt") <= bucket_rows).drop("_cnt"), [*groups, "_bucket"], n_cut, 128, salt_on="_key")
+    if not wide.isEmpty():
+        rows = attach(keyed, wide.withColumn("_digits", _deeper("_cnt", hex_digits, bucket_rows)).drop("_cnt"),
+                      [*groups, "_bucket"], n_cut, 160, salt_on="_key")
+        rows = rows.withColumn("_fine", F.col("_h").substr(F.lit(1), F.col("_digits")))
+        fine = rows.groupBy(*groups, "_bucket", "_fine").agg(F.count("*").alias("_cnt"), F.first("_offsets").alias("_offsets"))
+        order = Window.partitionBy(*groups, "_bucket").orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
+        here = fine.withColumn("_end", F.sum("_cnt").over(order)).withColumn("_offsets", F.transform(
+            F.filter("_offsets", lambda o: (o > F.col("_end") - F.col("_cnt")) & (o <= F.col("_end"))),
+            lambda o: o - (F.col("_end") - F.col("_cnt"))))
+        finer = settle(here.where(F.size("_offsets") > 0).select(*groups, F.col("_fine").alias("_bucket"), "_offsets"))
+        narrow = rows.select(*groups, "_key", "_h", F.col("_fine").alias("_bucket"))
+        candidates = candidates.unionByName(attach(narrow, finer, [*groups, "_bucket"], n_cut, 128, salt_on="_key"))
     within = Window.partitionBy(*groups, "_bucket").orderBy("_h", "_key")
     ranked = candidates.withColumn("_rn", F.row_number().over(within).cast("bigint"))
     picked = ranked.where(F.array_contains("_offsets", F.col("_rn"))).withColumn(

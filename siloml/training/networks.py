@@ -45,6 +45,21 @@ def margins(vector: np.ndarray, x: np.ndarray, hidden: int) -> np.ndarray:
     return np.maximum(x @ w1 + b1, 0.0) @ w2 + b2
 
 
+def curved(grad, pairs):
+    """The inverse curvature of the remembered pairs times the gradient, by two loops over them."""
+    q, moves, changes = grad.copy(), *pairs
+    scale = 1.0 / np.einsum("ij,ij->i", moves, changes) if len(moves) else np.zeros(0)
+    a = np.zeros(len(moves))
+    for i in range(len(moves) - 1, -1, -1):
+        a[i] = scale[i] * (moves[i] @ q)
+        q -= a[i] * changes[i]
+    if len(moves):
+        q *= (moves[-1] @ changes[-1]) / (changes[-1] @ changes[-1])
+    for i in range(len(moves)):
+        q += (a[i] - scale[i] * (changes[i] @ q)) * moves[i]
+    return q
+
+
 class Network:
     """Mean log loss plus alpha / 2n times the squared weights (biases are free), all rows in a step.
 
@@ -90,7 +105,7 @@ class Network:
                 pairs = np.concatenate([pairs, np.stack([move, change])[:, None]], axis=1)[:, -PAIRS:]
             head[1] = loss
             head[4] += 1
-        direction = -self._curved(grad, pairs)
+        direction = -curved(grad, pairs)
         # Without pairs the direction is the gradient, whose length says nothing about a step.
         head[2] = 1.0 if pairs.shape[1] else min(1.0, 1.0 / max(1e-12, float(np.linalg.norm(grad))))
         head[0] = pairs.shape[1]
@@ -98,21 +113,6 @@ class Network:
         kept = np.concatenate([head, vector, grad, direction, pairs.ravel()])
         return vector + head[2] * direction, kept, ended, float(np.abs(grad).max())
 
-    @staticmethod
-    def _curved(grad, pairs):
-        """The inverse curvature of the remembered pairs times the gradient, by two loops over them."""
-        q, moves, changes = grad.copy(), *pairs
-        scale = 1.0 / np.einsum("ij,ij->i", moves, changes) if len(moves) else np.zeros(0)
-        a = np.zeros(len(moves))
-        for i in range(len(moves) - 1, -1, -1):
-            a[i] = scale[i] * (moves[i] @ q)
-            q -= a[i] * changes[i]
-        if len(moves):
-            q *= (moves[-1] @ changes[-1]) / (changes[-1] @ changes[-1])
-        for i in range(len(moves)):
-            q += (a[i] - scale[i] * (changes[i] @ q)) * moves[i]
-        return q
-
     def best(self, vector, memory):
         return memory[5:5 + self.size] if len(memory) else vector
 
