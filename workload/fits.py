@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siloml.functions.joins import group_count
-from siloml.functions.staging import stage
+from siloml.functions.staging import settle, stage
 from siloml.functions.vectors import sigmoid
-from siloml.operators import frame, merge as M, silos
+from siloml.operators import frame, hashrank, merge as M, silos
 from siloml.plans import prepare as prep, rounds as R
 from siloml.sources import tables
 from siloml.spec import (
     CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TRAIN, ForestSpec, GradientSpec, LogisticSpec, MlpSpec, PrepareSpec, RoundSpec,
 )
-from siloml.training import boost as B, forest as FO, linear as L, networks as N
+from siloml.training import boost as B, forest as FO, linear as L, networks as N, sparse as S
 
 SEED, LR = 42, 0.1
 NUMS = tables.RISK_NUMERIC
@@ -141,5 +141,56 @@ def mlp_learns(spark, d):
         (F.avg((F.col("pred") == F.col(LABEL)).cast("double")) > F.greatest(share, 1 - share)).alias("better"))
 
 
+LEVELS = ("o_custkey", "o_orderpriority")
+
+
+def ordered_by(spark: SparkSession, d: str) -> DataFrame:
+    """Customer and priority of each order, by row id."""
+    return stage(frame.clean(tables.risk_table(spark, d), "o_orderkey", "many_lines").select(ROW_ID, *LEVELS))
+
+
+def level_table(spark, d):
+    """(column, level, pos, n): every customer and every priority, and its place among all levels."""
+    return frame.level_table(ordered_by(spark, d), LEVELS)
+
+
+def encode_levels(spark, d):
+    """Each order's customer and priority as places among all levels."""
+    rows = ordered_by(spark, d)
+    return frame.encode_levels(rows, LEVELS, frame.level_table(rows, LEVELS))
+
+
+def optimal_sparse(spark, d):
+    """(client_id, pos, optimal): whether each coefficient of fits over numbers, customers and priorities is optimal.
+
+    Margins and the loss's gradient are summed over (row, column) cells by joins, apart from the trainer's kernels.
+    """
+    p, rows, spec = scaled_silos(spark, d), ordered_by(spark, d), LogisticSpec(C=0.5)
+    levels = frame.level_table(rows, LEVELS)
+    numbers, n_levels = p.width, levels.count()
+    df = stage(frame.with_levels(p.df, frame.encode_levels(rows, LEVELS, levels), LEVELS))
+    params = stage(S.fit_sparse(df, spec, numbers, n_levels)[0])
+    weights = params.select(CLIENT, F.when(F.col("layer") == 1, numbers + n_levels).otherwise(F.col("pos")).alias("pos"), F.col("value").alias("w"))
+    cell = lambda pos, x: F.struct(F.lit(pos).cast("int").alias("pos"), F.lit(x).cast("double").alias("x"))
+    cells = [cell(i, F.get(FEATURES, F.lit(i))) for i in range(numbers)] + [cell(numbers + n_levels, 1.0)] + [
+        cell(F.get(FEATURES, F.lit(numbers + k)) + numbers, 1.0) for k in range(len(LEVELS))]
+    train = stage(df.where(F.col(SPLIT) == TRAIN).select(ROW_ID, CLIENT, LABEL, F.explode(F.array(*cells)).alias("c")).select(
+        ROW_ID, CLIENT, LABEL, "c.*"))
+    slopes = train.join(weights, [CLIENT, "pos"]).groupBy(ROW_ID).agg(
+        (sigmoid(F.sum(F.col("w") * F.col("x"))) - F.first(LABEL)).alias("slope"))
+    sums = train.join(slopes, ROW_ID).groupBy(CLIENT, "pos").agg(F.sum(F.col("slope") * F.col("x") * spec.C).alias("g"))
+    counts = settle(df.where(F.col(SPLIT) == TRAIN).groupBy(CLIENT).agg(F.count("*").alias("n")))
+    each = weights.join(sums, [CLIENT, "pos"], "left").join(F.broadcast(counts), CLIENT)
+    w, g = F.col("w"), F.coalesce("g", F.lit(0.0))
+    gap = F.when(w == 0, F.greatest(F.abs(g) - 1.0, F.lit(0.0))).otherwise(F.abs(g + F.signum(w)))
+    return each.select(CLIENT, "pos", (gap <= 1e-5 * F.greatest(F.lit(1.0), spec.C * F.col("n"))).alias("optimal"))
+
+
+def hash_rank_fine(spark, d):
+    """Ranks of all orders of a status, from 16 buckets that are cut again where they hold more than 64 orders."""
+    df = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias(ROW_ID), "o_orderstatus")
+    return hashrank.hash_rank(df, ["o_orderstatus"], SEED, hex_digits=1, bucket_rows=64)
+
+
 QUERIES = {f.__name__: f for f in (mlp_step, forest_roots, forest_trees, fit_statuses, rounds_without_broken, customer_fits, boost_two, boost_onward,
-                                   mlp_learns)}
+                                   mlp_learns, level_table, encode_levels, optimal_sparse, hash_rank_fine)}
