@@ -90,21 +90,28 @@ def map_with_side(
     added: str,
     n_silos: int,
     row_bytes: int,
+    read: Callable[[object], object] = lambda v: v,
 ) -> DataFrame:
     """Add columns ``added`` (DDL) = ``score(the silo's value, features)`` to every row of ``df``.
 
     ``side`` (client_id, value) is joined to blocks of rows; ``score`` gets the value as Python objects (dicts and
-    lists) and is called once for a block. Rows of silos that the side lacks are left out.
+    lists), as ``read`` gives it, and is called once for a block; a value is read once for blocks in a row that share it.
+    Rows of silos that the side lacks are left out.
     """
     schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
     names, arrow = df.columns, to_arrow_schema(schema)
     place = names.index(FEATURES)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = known = None
         for b in batches:
             for i in range(b.num_rows):
                 columns = b.column(1).slice(i, 1).flatten().flatten()
-                out = score(b.column(2)[i].as_py(), matrix(columns[place]))
+                here = b.column(2).slice(i, 1)
+                if cell is None or not here.equals(cell):
+                    # A copy, so that the batch that it stands in is not kept.
+                    cell, known = pa.concat_arrays([here, here[:0]]), read(here[0].as_py())
+                out = score(known, matrix(columns[place]))
                 yield pa.RecordBatch.from_arrays(
                     [*columns, *[pa.array(v, arrow.field(len(names) + k).type) for k, v in enumerate(out)]], names=arrow.names)
 

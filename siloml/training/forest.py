@@ -12,24 +12,28 @@ holds the share of positives.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from siloml.functions.blocks import in_blocks, map_with_side, with_side
-from siloml.functions.moments import FLUSH_VALUES
+from siloml.functions.blocks import map_with_side
+from siloml.functions.joins import attach
+from siloml.functions.moments import FLUSH_VALUES, by_silo, matrix
 from siloml.functions.staging import stage
 from siloml.spec import CLIENT, FEATURES, LABEL, ROW_ID, SPLIT, TRAIN, ForestSpec, silo_type
 from siloml.training.boost import TREE_SCHEMA, edge_table, tree_arrays, tree_leaf
 from siloml.training.linear import weighted_rows
 
-SMALL = 1 << 16  # training rows of a node that one task grows to the end, a few MB of bins
+SMALL = 1 << 18  # training rows of a node that one task grows to the end, some ten MB
+NODES_AT_ONCE = 64  # nodes of a level whose histograms such a task holds
 MIN_GAIN = 1e-9  # bits
 TREES_A_DIGEST = 4
 LARGE, OPEN, DONE = "LARGE", "OPEN", "DONE"
@@ -62,10 +66,14 @@ def n_candidates(width: int) -> int:
 def histograms(bins, y, weight, sample_weight, slot, features, n_bins: int) -> np.ndarray:
     """nodes x features x bins x (rows, weight, positive weight) of rows in the nodes ``slot`` with subsets ``features``."""
     k, m = features.shape
-    flat = ((slot[:, None] * m + np.arange(m)) * n_bins + np.take_along_axis(bins, features[slot], axis=1)).ravel()
     w = weight * sample_weight
-    add = lambda v: np.bincount(flat, None if v is None else np.repeat(v, m), minlength=k * m * n_bins)
-    return np.stack([add(None).astype(float), add(w), add(w * y)], axis=-1).reshape(k, m, n_bins, 3)
+    wy, base, rows = w * y, slot * n_bins, np.arange(len(bins))
+    out = np.zeros((k, m, n_bins, 3))
+    for j in range(m):
+        flat = base + bins[rows, features[slot, j]]
+        for i, v in enumerate((None, w, wy)):
+            out[:, j, :, i] = np.bincount(flat, v, k * n_bins).reshape(k, n_bins)
+    return out
 
 
 def _bits(w, pos):
@@ -116,7 +124,12 @@ def grow(client, tree: int, heap: int, bins, y, weight, sample_weight, spec: For
         inside = (slot < len(nodes)) & (nodes[np.minimum(slot, len(nodes) - 1)] == at)
         bins, y, weight, sample_weight, at, slot = (v[inside] for v in (bins, y, weight, sample_weight, at, slot))
         features = np.stack([subset(client, tree, h, width, n, spec.seed) for h in nodes.tolist()])
-        f, b, gain, left, total = best_splits(histograms(bins, y, weight, sample_weight, slot, features, n_bins), spec.min_samples_leaf)
+        parts = []
+        for s in range(0, len(nodes), NODES_AT_ONCE):
+            r = np.flatnonzero((slot >= s) & (slot < s + NODES_AT_ONCE))
+            h = histograms(bins[r], y[r], weight[r], sample_weight[r], slot[r] - s, features[s:s + NODES_AT_ONCE], n_bins)
+            parts.append(best_splits(h, spec.min_samples_leaf))
+        f, b, gain, left, total = (np.concatenate(v) for v in zip(*parts))
         split = gain > MIN_GAIN
         chosen = features[np.arange(len(nodes)), f]
         sums = {}
@@ -133,38 +146,79 @@ def grow(client, tree: int, heap: int, bins, y, weight, sample_weight, spec: For
     return out
 
 
-def forest_rows(df: DataFrame, edges: DataFrame, spec: ForestSpec, n_silos: int, width: int) -> DataFrame:
-    """(client_id, y, sample_weight, bins, weights): training rows, a byte or two a bin and a byte a tree."""
-    kind = np.dtype(np.uint8 if spec.max_bins <= 256 else np.uint16)
-
-    def cut(edges, x):
-        found = np.stack([np.searchsorted(np.asarray(e, float), x[:, i], side="right") for i, e in enumerate(edges)], axis=1)
-        return [[r.tobytes() for r in found.astype(kind)]]
+def forest_blocks(df: DataFrame, edges: DataFrame, spec: ForestSpec, n_silos: int, width: int) -> DataFrame:
+    """(client_id, block, bins, y, sample, draws): training rows in blocks, as bytes.
 
+    Bins take a byte or two a feature, draws a byte a tree; y and the sample weight are doubles.
+    """
+    kind, key = np.dtype(np.uint8 if spec.max_bins <= 256 else np.uint16), silo_type(df)
     weighted = df.where(F.col(SPLIT) == TRAIN).select(ROW_ID, CLIENT, SPLIT, LABEL, FEATURES)
     if spec.balanced:
         weights = weighted_rows(df, True, n_silos).select(CLIENT, LABEL, "sample_weight").distinct()
         weighted = weighted.join(F.broadcast(weights), [CLIENT, LABEL])  # two rows a silo
     else:
         weighted = weighted.withColumn("sample_weight", F.lit(1.0))
-    binned = map_with_side(weighted, edges, "edges", cut, "bins binary", n_silos, 9 * width * spec.max_bins)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
-            drawn = bootstrap(b.column(0).to_pylist(), spec.n_trees, spec.seed)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r.tobytes() for r in drawn], pa.binary())],
-                                             names=[CLIENT, "y", "sample_weight", "bins", "weights"])
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_pylist(), matrix(b.column(4))
+            y, sample = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
+            out = []
+            for client, r in by_silo(b.column(1).to_numpy(zero_copy_only=False)):
+                draws = bootstrap([ids[i] for i in r], spec.n_trees, spec.seed)
+                out.append((client, at, *(v.tobytes() for v in (x[r], y[r], sample[r], draws))))
+                at += 1
+            types = (b.column(1).type, pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)],
+                                             names=[CLIENT, "block", "x", "y", "sample", "draws"])
+
+    rows = weighted.select(ROW_ID, CLIENT, F.col(LABEL).cast("double"), "sample_weight", FEATURES).sortWithinPartitions(CLIENT)
+    packed = rows.mapInArrow(pack, f"{CLIENT} {key}, block bigint, x binary, y binary, sample binary, draws binary")
+    joined = attach(packed, edges.select(CLIENT, "edges"), [CLIENT], n_silos, 9 * width * spec.max_bins, salt_on="block")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                x = np.frombuffer(one.column(2)[0].as_buffer()).reshape(-1, width)
+                found = np.stack([np.searchsorted(np.asarray(e, float), x[:, f], side="right")
+                                  for f, e in enumerate(one.column(6)[0].as_py())], axis=1)
+                yield pa.RecordBatch.from_arrays([*one.columns[:2], pa.array([found.astype(kind).tobytes()], pa.binary()), *one.columns[3:6]],
+                                                 names=[CLIENT, "block", "bins", "y", "sample", "draws"])
 
-    return binned.select(ROW_ID, CLIENT, F.col(LABEL).cast("double"), "sample_weight", "bins").mapInArrow(
-        draw, f"{CLIENT} {silo_type(df)}, y double, sample_weight double, bins binary, weights binary")
+    return joined.select(CLIENT, "block", "x", "y", "sample", "draws", "edges").mapInArrow(
+        cut, f"{CLIENT} {key}, block bigint, bins binary, y binary, sample binary, draws binary")
 
 
-def _unpacked(rows: pa.Array, width: int, n_trees: int, kind: np.dtype):
+def _unpacked(batch: pa.RecordBatch, i: int, width: int, n_trees: int, kind: np.dtype):
     """(y, sample weight, bins, weights) of a block."""
-    _, y, sample, bins, weights = rows.flatten()
-    return (y.to_numpy(zero_copy_only=False), sample.to_numpy(zero_copy_only=False),
-            np.frombuffer(b"".join(bins.to_pylist()), kind).reshape(-1, width).astype(np.int64),
-            np.frombuffer(b"".join(weights.to_pylist()), np.uint8).reshape(-1, n_trees))
+    bins, y, sample, draws = (batch.column(c)[i].as_buffer() for c in range(1, 5))
+    return (np.frombuffer(y), np.frombuffer(sample), np.frombuffer(bins, kind).reshape(-1, width),
+            np.frombuffer(draws, np.uint8).reshape(-1, n_trees))
+
+
+def _with_nodes(blocks: DataFrame, nodes: DataFrame, spec: ForestSpec, n_silos: int) -> DataFrame:
+    """(client_id, bins, y, sample, draws, nodes): the blocks and their silo's nodes."""
+    row_bytes = 64 * spec.n_trees
+    return attach(blocks, _per_silo(nodes), [CLIENT], n_silos, row_bytes, salt_on="block").select(
+        CLIENT, "bins", "y", "sample", "draws", "nodes")
+
+
+class _Known:
+    """The nodes of the last silo met; a task's blocks come silo after silo."""
+
+    def __init__(self, depth: int):
+        self.depth, self.cell, self.trees = depth, None, {}
+
+    def __call__(self, cell: pa.Array) -> dict:
+        if self.cell is None or not cell.equals(self.cell):
+            self.trees = _by_tree(cell[0].as_py(), self.depth)
+            # A copy, so that the batch it stands in is not kept.
+            self.cell = pa.concat_arrays([cell, cell[:0]]) if len(cell) else cell
+        return self.trees
 
 
 def _by_tree(nodes: list[dict], depth: int) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, str]]]:
@@ -182,6 +236,8 @@ def _by_tree(nodes: list[dict], depth: int) -> dict[int, tuple[np.ndarray, np.nd
 
 def _route(bins: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
     at, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+    if f[1] < 0:
+        return at
     while True:
         inner = f[at] >= 0
         if not inner.any():
@@ -212,20 +268,21 @@ def _split_level(blocks: DataFrame, nodes: DataFrame, spec: ForestSpec, width: i
             totals.clear()
             return out
 
-        ctype = None
+        ctype, known = None, _Known(spec.max_depth)
+        looked_at = functools.lru_cache(1 << 16)(lambda client, tree, heap: subset(client, tree, heap, width, m, spec.seed))
         for batch in batches:
             ctype = batch.schema.field(0).type
             for i in range(batch.num_rows):
                 client = batch.column(0)[i].as_py()
-                y, sample, bins, weights = _unpacked(batch.column(1).slice(i, 1).flatten(), width, spec.n_trees, kind)
-                for tree, (f, b, unfinished) in _by_tree(batch.column(2)[i].as_py(), spec.max_depth).items():
+                y, sample, bins, weights = _unpacked(batch, i, width, spec.n_trees, kind)
+                for tree, (f, b, unfinished) in known(batch.column(5).slice(i, 1)).items():
                     large = np.asarray(sorted(h for h, s in unfinished.items() if s == LARGE))
                     if not len(large):
                         continue
                     at = _route(bins, f, b)
                     slot = np.searchsorted(large, at)
                     use = (slot < len(large)) & (large[np.minimum(slot, len(large) - 1)] == at) & (weights[:, tree] > 0)
-                    features = np.stack([subset(client, tree, h, width, m, spec.seed) for h in large.tolist()])
+                    features = np.stack([looked_at(client, tree, h) for h in large.tolist()])
                     h = histograms(bins[use], y[use], weights[use, tree].astype(float), sample[use], slot[use], features, n_bins)
                     for node, part in zip(large.tolist(), h):
                         totals[client, tree, node] = totals[client, tree, node] + part if (client, tree, node) in totals else part
@@ -234,7 +291,7 @@ def _split_level(blocks: DataFrame, nodes: DataFrame, spec: ForestSpec, width: i
         if totals:
             yield flush()
 
-    sums = with_side(blocks, _per_silo(nodes), "nodes", n_silos, 64 * spec.n_trees).mapInArrow(
+    sums = _with_nodes(blocks, nodes, spec, n_silos).mapInArrow(
         partial, f"{CLIENT} {key}, tree int, heap int, part array<double>")
     sums = sums.withColumn("part", array_to_vector("part")).groupBy(CLIENT, "tree", "heap").agg(
         vector_to_array(Summarizer.sum(F.col("part"))).alias("sums"))
@@ -263,17 +320,20 @@ def _grow_open(blocks: DataFrame, nodes: DataFrame, spec: ForestSpec, width: int
     kind, key = np.dtype(np.uint8 if n_bins <= 256 else np.uint16), silo_type(blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(spec.max_depth)
         for batch in batches:
             for i in range(batch.num_rows):
                 client, out = batch.column(0)[i].as_py(), []
-                y, sample, bins, weights = _unpacked(batch.column(1).slice(i, 1).flatten(), width, spec.n_trees, kind)
-                narrow = bins.astype(kind)
-                for tree, (f, b, unfinished) in _by_tree(batch.column(2)[i].as_py(), spec.max_depth).items():
+                y, sample, bins, weights = _unpacked(batch, i, width, spec.n_trees, kind)
+                for tree, (f, b, unfinished) in known(batch.column(5).slice(i, 1)).items():
+                    if OPEN not in unfinished.values():
+                        continue
                     at = np.where(weights[:, tree] > 0, _route(bins, f, b), 0)
-                    for h, state in unfinished.items():
-                        r = np.flatnonzero(at == h) if state == OPEN else ()
-                        if len(r):
-                            out.append((client, tree, h, narrow[r].tobytes(), y[r].tobytes(), sample[r].tobytes(), weights[r, tree].tobytes()))
+                    order = np.argsort(at, kind="stable")
+                    found, first = np.unique(at[order], return_index=True)
+                    for h, r in zip(found.tolist(), np.split(order, first[1:])):
+                        if unfinished.get(h) == OPEN:
+                            out.append((client, tree, h, bins[r].tobytes(), y[r].tobytes(), sample[r].tobytes(), weights[r, tree].tobytes()))
                 if out:
                     types = (batch.schema.field(0).type, pa.int32(), pa.int32(), *[pa.binary()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
@@ -282,11 +342,11 @@ def _grow_open(blocks: DataFrame, nodes: DataFrame, spec: ForestSpec, width: int
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         client, tree, heap = pdf[CLIENT].iloc[0], int(pdf["tree"].iloc[0]), int(pdf["heap"].iloc[0])
         joined = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-        found = grow(int(client), tree, heap, joined("bins", kind).reshape(-1, width).astype(np.int64), joined("y", float),
+        found = grow(int(client), tree, heap, joined("bins", kind).reshape(-1, width), joined("y", float),
                      joined("weights", np.uint8).astype(float), joined("sample", float), spec, n_bins)
         return pd.DataFrame([(client, tree, *n, DONE) for n in found], columns=[CLIENT, *[c.split(" ")[0] for c in NODES.split(", ")]])
 
-    pieces = with_side(blocks, _per_silo(nodes), "nodes", n_silos, 64 * spec.n_trees).mapInArrow(
+    pieces = _with_nodes(blocks, nodes, spec, n_silos).mapInArrow(
         deal, f"{CLIENT} {key}, tree int, heap int, bins binary, y binary, sample binary, weights binary")
     return pieces.groupBy(CLIENT, "tree", "heap").applyInPandas(finish, f"{CLIENT} {key}, {NODES}")
 
@@ -303,8 +363,8 @@ def fit_forest(df: DataFrame, spec: ForestSpec, width: int, n_silos: int, round_
     small = SMALL if small is None else small
     edges = stage(edge_table(df, width, spec.max_bins)) if edges is None else edges
     n_bins = spec.max_bins
-    blocks = stage(in_blocks(forest_rows(df, edges, spec, n_silos, width)))
-    sizes = blocks.groupBy(CLIENT).agg(F.sum(F.size("rows")).cast("double").alias("rows"))
+    blocks = stage(forest_blocks(df, edges, spec, n_silos, width))
+    sizes = blocks.groupBy(CLIENT).agg((F.sum(F.length("y")) / 8).alias("rows"))
     trees = F.explode(F.sequence(F.lit(0), F.lit(spec.n_trees - 1)))
     nodes = stage(sizes.select(CLIENT, trees.alias("tree"), F.lit(1).alias("heap"), F.lit(-1).alias("feature"), F.lit(-1).alias("bin"),
                                "rows", F.lit(0.0).alias("w"), F.lit(0.0).alias("pos"),
@@ -353,11 +413,13 @@ def predict_forest(df: DataFrame, trees: DataFrame, n_silos: int) -> DataFrame:
     forests = df.select(CLIENT).distinct().join(forests, CLIENT, "left")
     bytes_a_silo = 64 * (trees.groupBy(CLIENT).agg(F.sum(F.size("nodes")).alias("n")).agg(F.max("n")).first()[0] or 1)
 
+    def read(trees):
+        return [(t["weight"], tree_arrays(t["nodes"])) for t in sorted(trees or [], key=lambda t: t["tree_id"])]
+
     def score(trees, x):
         prob = np.zeros(len(x))
-        for t in sorted(trees or [], key=lambda t: t["tree_id"]):
-            arrays = tree_arrays(t["nodes"])
-            prob += t["weight"] * arrays[4][tree_leaf(x, arrays)]
+        for weight, arrays in trees:
+            prob += weight * arrays[4][tree_leaf(x, arrays)]
         return prob, (prob > 0.5).astype(np.int32)
 
-    return map_with_side(df, forests, "trees", score, "prob double, pred int", n_silos, bytes_a_silo)
+    return map_with_side(df, forests, "trees", score, "prob double, pred int", n_silos, bytes_a_silo, read)

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siloml.functions.blocks import map_with_side
 from siloml.functions.staging import stage
 from siloml.plans.prepare import Prepared
 from siloml.plans import rounds as R
-from siloml.spec import BoostSpec
-from siloml.training import boost as B
+from siloml.spec import BoostSpec, ForestSpec
+from siloml.training import boost as B, forest as FO
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,33 @@ def test_reports_score_the_rows_once(prepared, spark, monkeypatch):
     assert seen.value == 420
     R.local_evaluate(t, trees)
     assert seen.value == 840
+
+
+def test_forest_rows_are_packed_by_one_step(prepared):
+    """One block a silo and task, with bins of a byte, and nothing but bytes in it."""
+    spec = ForestSpec(n_trees=5, max_bins=16)
+    edges = stage(B.edge_table(prepared.df, 3, 16))
+    blocks = FO.forest_blocks(prepared.df, edges, spec, 2, 3)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    got = blocks.collect()
+    assert len(got) <= 4
+    assert sum(len(r.y) for r in got) == 8 * 140 and sum(len(r.bins) for r in got) == 3 * 140
+    assert sum(len(r.draws) for r in got) == 5 * 140
+
+
+def test_a_side_value_is_read_once_for_blocks_in_a_row(prepared, spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(v):
+        reads.add(1)
+        return v + 1
+
+    side = spark.createDataFrame([(0, 10), (1, 20)], "client_id int, v int")
+    rows = prepared.df.unionByName(prepared.df).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = map_with_side(rows, side, "v", lambda v, x: [np.full(len(x), v)], "got int", 2, 16, read).select("client_id", "got").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.client_id, r.got) for r in out} == {(0, 11), (1, 21)} and len(out) == 840
+    assert reads.value == 2
