@@ -8,8 +8,9 @@ from siloml.functions.blocks import map_with_side
 from siloml.functions.staging import stage
 from siloml.plans.prepare import Prepared
 from siloml.plans import rounds as R
-from siloml.spec import BoostSpec, ForestSpec
-from siloml.training import boost as B, forest as FO
+from siloml.spec import BoostSpec, ForestSpec, LogisticSpec
+from siloml.training import boost as B, forest as FO, iterate as I
+from siloml.training.linear import Newton
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,17 @@ def test_a_side_value_is_read_once_for_blocks_in_a_row(prepared, spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.client_id, r.got) for r in out} == {(0, 11), (1, 21)} and len(out) == 840
     assert reads.value == 2
+
+
+def test_small_silos_make_their_passes_in_one_job(prepared, monkeypatch):
+    """The same fits as by a job a pass, and no pass over stored blocks."""
+    rows = prepared.df.withColumn("sample_weight", F.lit(1.0))
+    fit = lambda: {r.client_id: r for r in I.fit_silos(rows, Newton(LogisticSpec(C=0.5), 3), np.zeros(4), 50).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(I, "SMALL_BYTES", 100 * 3 * 8)  # silo 0 by passes, silo 1 (40 training rows) in a task
+        mixed = fit()
+    monkeypatch.setattr(I, "_partial_sums", None)
+    whole = fit()
+    for c in (0, 1):
+        assert whole[c].status == mixed[c].status == I.OK and whole[c].passes == mixed[c].passes
+        assert np.allclose(whole[c].vector, mixed[c].vector)
