@@ -15,13 +15,62 @@ from siloml.llm.common import join_measured, least_labels
 SAMPLE = 8192  # most vectors that the upper trees of large labels are fitted on, over all labels
 CELL_ROWS = 16_384  # vectors of a label that one task compares with as many others
 EDGE = 1e-7  # slack of the distance bounds; links themselves are decided on the dot product
-BLOCK = 1024
+BLOCK = 512  # nodes that are compared at once with WIDE others
+WIDE = 4096
+ROWS = 4096  # rows of a block where products are made row by row
+CANDIDATES = 256  # points from which centers are chosen at once
+MANY = 1024  # children from which a pair of nodes is a block by itself
+SOME = 32  # children of both nodes from which all meet at once, in a block
+PAIRS = 1 << 17  # pairs of nodes in a list
+SINGLE = 0.05  # radius above which centers are chosen in single precision
 
 
 def chord(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
 
 
+def _dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of the rows i of x with the rows j of y, in blocks."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), ROWS):
+        out[s:s + ROWS] = np.einsum("ij,ij->i", x[i[s:s + ROWS]], y[j[s:s + ROWS]])
+    return out
+
+
+def _cover(x: np.ndarray, first: int, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centers more than ``r`` apart that cover all points, ``first`` among them: the place of each point's nearest
+    center and the distance to it.
+
+    Candidates are taken in batches, so that their distances are products of matrices. Single precision chooses
+    centers of wide nodes only; the distances returned are of double precision.
+    """
+    z = x.astype(np.float32) if r > SINGLE else x
+    near = 1 - r * r / 2
+    owner, best = np.full(len(x), -1), np.full(len(x), -np.inf, z.dtype)
+    rest, batch = np.arange(len(x)), np.asarray([first])  # rest: points that are no centers
+    while len(batch):
+        among = z[batch] @ z[batch].T >= near
+        free, chosen = np.ones(len(batch), bool), []
+        for k in range(len(batch)):
+            if free[k]:
+                chosen.append(k)
+                free &= ~among[k]
+        new = batch[chosen]
+        owner[new], best[new] = new, np.inf
+        rest = rest[best[rest] < np.inf]
+        for s in range(0, len(rest), ROWS):
+            at = rest[s:s + ROWS]
+            dots = z[at] @ z[new].T
+            top = dots.argmax(axis=1)
+            dots = dots[np.arange(len(at)), top]
+            closer = dots > best[at]
+            owner[at[closer]], best[at[closer]] = new[top[closer]], dots[closer]
+        batch = rest[best[rest] < near][:CANDIDATES]
+    far = np.zeros(len(x))
+    far[rest] = chord(_dots(x, x, rest, owner[rest]))
+    return owner, far
+
+
 class CoverTree:
     """Nested centers with halving radii: the children of a node at level k are 2^-k apart and cover its points.
 
@@ -43,31 +92,26 @@ class CoverTree:
                 r /= 2
             own = order[lo:hi].copy()
             first = int(np.flatnonzero(own == self.center[node])[0])
-            owner, best = np.full(len(own), -1), np.full(len(own), np.inf)
-            left, new, x = np.arange(len(own)), first, points[own]
-            centers = []
-            while True:
-                d = chord(x @ x[new])
-                closer = d < best
-                owner[closer], best[closer] = len(centers), d[closer]
-                owner[new], best[new] = len(centers), 0.0
-                centers.append(new)
-                left = left[best[left] > r]
-                if not len(left):
-                    break
-                new = int(left[0])
+            owner, best = _cover(points[own], first, r)
             rank = np.argsort(owner, kind="stable")
             order[lo:hi] = own[rank]
-            ends = np.cumsum(np.bincount(owner, minlength=len(centers)))
-            far = np.zeros(len(centers))
+            # Owners are the places of their centers; equal points that rounding keeps together are a node without children.
+            centers, sizes = np.unique(owner, return_counts=True)
+            if len(centers) == 1 and r < EDGE:
+                continue
+            ends = np.cumsum(sizes)
+            far = np.zeros(len(own))
             np.maximum.at(far, owner, best)
             kids = [self._node(int(own[c]), lo + int(e - s), lo + int(e), self.level[node] + 1, float(f))
-                    for c, e, s, f in zip(centers, ends, np.diff(np.concatenate(([0], ends))), far)]
-            self.kids[node] = np.asarray(kids)
-            todo += [(k, r) for k in kids if self.hi[k] - self.lo[k] > 1]
+                    for c, e, s, f in zip(centers, ends, sizes, far[centers])]
+            self.kids[node] = np.asarray(kids)[np.argsort(far[centers], kind="stable")]
+            todo += [(k, r if len(kids) > 1 else r / 2) for k in kids if self.hi[k] - self.lo[k] > 1]
         self.order = order
         self.centers, self.reach = np.asarray(self.center, np.int64), np.asarray(self.radius)
         self.spans = np.asarray([self.lo, self.hi], np.int64).T.reshape(-1, 2)
+        self.n_kids = np.asarray([0 if k is None else len(k) for k in self.kids], np.int64)
+        self.first_kid = np.cumsum(self.n_kids) - self.n_kids
+        self.all_kids = np.concatenate([np.zeros(0, np.int64), *(k for k in self.kids if k is not None)])
 
     def _node(self, center: int, lo: int, hi: int, level: int, radius: float) -> int:
         for name, v in zip(("center", "radius", "lo", "hi", "kids", "level"), (center, radius, lo, hi, None, level)):
@@ -115,57 +159,128 @@ def traverse(a: CoverTree, b: CoverTree, xa: np.ndarray, xb: np.ndarray, least:
     """Dual traversal: links of all pairs with a dot product of ``least`` or more; b's points count from ``shift``.
 
     A pair of nodes is dropped if no two of their points can be close enough, counted whole if all must be, else
-    replaced by their children. ``same``: both are one tree, and each pair of points is seen once.
+    replaced by their children. ``same``: both are one tree, and each pair of points is seen once. Many children
+    meet in blocks, as products of matrices; pairs of nodes with few children are taken together in long lists.
     """
+    if not len(xa) or not len(xb):
+        return
     most = float(np.sqrt(2 - 2 * least))
-    single_a, single_b = (np.asarray([k is None for k in t.kids]) for t in (a, b))
-    todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64), same)] if len(xa) and len(xb) else []
-    while todo:
-        na, nb, own = todo.pop()
+    za = xa.astype(np.float32)
+    zb = za if xb is xa else xb.astype(np.float32)
+    slack = 1e-5 + 2e-7 * xa.shape[1]  # more than the rounding of a dot product of unit vectors in single precision
+    spans_a, spans_b = Spans(a, links, 0), Spans(b, links, shift)
+    todo: list[tuple] = []  # (nodes of a, nodes of b, each with each?, both the same nodes?)
+
+    def judge(u: np.ndarray, v: np.ndarray, dots: np.ndarray) -> None:
+        d, reach = chord(dots), a.reach[u] + b.reach[v]
+        keep = d <= most + reach + EDGE
+        u, v, dots, d, reach = u[keep], v[keep], dots[keep], d[keep], reach[keep]
+        itself = (u == v) if same else np.zeros(len(u), bool)
+        one = (a.spans[u, 1] - a.spans[u, 0] == 1) & (b.spans[v, 1] - b.spans[v, 0] == 1)
+        hit = one & ~itself & (dots >= least)
+        links.count(a.centers[u[hit]], b.centers[v[hit]] + shift)
+        # Nodes of equal points on both sides: their centers decide for all.
+        even = (a.n_kids[u] == 0) & (b.n_kids[v] == 0) & ~one & ~itself
+        sure = ~one & ~itself & np.where(even, dots >= least, d + reach < most - EDGE)
+        spans_a.add(u[sure], spans_b.weight(v[sure]))
+        spans_b.add(v[sure], spans_a.weight(u[sure]))
+        links.join(a.centers[u[sure]], b.centers[v[sure]] + shift)
+        spans_a.equal(u[itself & ~one & (a.n_kids[u] == 0)])
+        rest = ~one & ~sure & ~even & ((a.n_kids[u] > 0) | (b.n_kids[v] > 0))
+        u, v = u[rest], v[rest]
+        both = (np.minimum(a.n_kids[u], b.n_kids[v]) >= SOME) | (u == v) & same
+        size = np.where(both, a.n_kids[u] * b.n_kids[v], np.maximum(a.n_kids[u], b.n_kids[v]))
+        for x, y, z in zip(*(c[size >= MANY].tolist() for c in (u, v, both))):
+            if z:
+                todo.append((a.kids[x], b.kids[y], True, same and x == y))
+            elif down_a(np.asarray([x]), np.asarray([y]))[0]:
+                todo.append((a.kids[x], np.asarray([y]), True, False))
+            else:
+                todo.append((np.asarray([x]), b.kids[y], True, False))
+        u, v, size = u[size < MANY], v[size < MANY], size[size < MANY]
+        for s in np.split(np.arange(len(u)), np.flatnonzero(np.diff(np.cumsum(size) // PAIRS)) + 1):
+            if len(s):
+                todo.append((u[s], v[s], False, False))
+
+    def down_a(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether the children of u, not of v, are to be met."""
+        return (b.n_kids[v] == 0) | (a.n_kids[u] > 0) & (a.reach[u] >= b.reach[v])
+
+    def lists(u: np.ndarray, v: np.ndarray) -> None:
+        itself = (u == v) if same else np.zeros(len(u), bool)
+        down = down_a(u, v)
+        n_a, n_b = np.where(itself | down, a.n_kids[u], 1), np.where(itself | ~down, b.n_kids[v], 1)
+        size = n_a * n_b
+        pair = np.repeat(np.arange(len(u)), size)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = at // n_b[pair], at % n_b[pair]
+        once = ~itself[pair] | (i <= j)
+        pair, i, j = pair[once], i[once], j[once]
+        x, y = u[pair], v[pair]
+        in_a, in_b = (itself | down)[pair], (itself | ~down)[pair]
+        x[in_a] = a.all_kids[a.first_kid[x[in_a]] + i[in_a]]
+        y[in_b] = b.all_kids[b.first_kid[y[in_b]] + j[in_b]]
+        judge(x, y, _dots(xa, xb, a.centers[x], b.centers[y]))
+
+    def blocks(na: np.ndarray, nb: np.ndarray, own: bool) -> None:
+        # Children come in the order of their reach: points first, and blocks of points by themselves.
+        points = int(np.searchsorted(b.reach[nb], EDGE, "right"))
+        cuts = sorted({*range(0, points, WIDE), *range(points, len(nb), WIDE), len(nb)})
         for s in range(0, len(na), BLOCK):
-            pa_, pb = na[s:s + BLOCK], nb[s:] if own else nb
-            dots = xa[a.centers[pa_]] @ xb[b.centers[pb]].T
-            d, reach = chord(dots), a.reach[pa_][:, None] + b.reach[pb][None, :]
-            keep = d <= most + reach + EDGE
-            if own:  # a node with itself, and each pair of nodes once
-                keep &= np.tri(len(pa_), len(pb), -1, dtype=bool) == 0
-            i, j = np.nonzero(keep)
-            u, v = pa_[i], pb[j]
-            itself = (u == v) if own else np.zeros(len(u), bool)
-            one = (a.spans[u, 1] - a.spans[u, 0] == 1) & (b.spans[v, 1] - b.spans[v, 0] == 1)
-            hit = one & ~itself & (dots[i, j] >= least)
-            links.count(a.centers[u[hit]], b.centers[v[hit]] + shift)
-            sure = ~one & ~itself & (d[i, j] + reach[i, j] < most - EDGE)
-            for x, y in zip(u[sure].tolist(), v[sure].tolist()):
-                p, q = a.order[slice(*a.spans[x])], b.order[slice(*b.spans[y])] + shift
-                links.counts[p] += links.weights[q].sum()
-                links.counts[q] += links.weights[p].sum()
-                links.join(p, np.full(len(p), q[0]))
-                links.join(q, np.full(len(q), p[0]))
-            for x, y in zip(u[~one & ~sure].tolist(), v[~one & ~sure].tolist()):
-                if own and x == y:
-                    if not single_a[x]:
-                        todo.append((a.kids[x], a.kids[x], True))
-                    else:
-                        _equal(a, x, links)
-                elif single_a[x] and single_b[y]:
-                    # Nodes of equal points on both sides: their centers decide for all.
-                    if float(xa[a.centers[x]] @ xb[b.centers[y]]) >= least:
-                        p, q = a.order[slice(*a.spans[x])], b.order[slice(*b.spans[y])] + shift
-                        links.counts[p] += links.weights[q].sum()
-                        links.counts[q] += links.weights[p].sum()
-                        links.join(np.concatenate((p, q)), np.full(len(p) + len(q), p[0]))
-                elif single_b[y] or not single_a[x] and a.reach[x] >= b.reach[y]:
-                    todo.append((a.kids[x], np.asarray([y]), False))
-                else:
-                    todo.append((np.asarray([x]), b.kids[y], False))
-
-
-def _equal(a: CoverTree, node: int, links: Links) -> None:
-    """All points of a node of equal points link with each other."""
-    p = a.order[slice(*a.spans[node])]
-    links.counts[p] += links.weights[p].sum() - links.weights[p]
-    links.join(p, np.full(len(p), p[0]))
+            pa_ = na[s:s + BLOCK]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if own and hi <= s:
+                    continue
+                pb = nb[lo:hi]
+                ca, cb = a.centers[pa_], b.centers[pb]
+                # A first look in single precision, at the widest reach of the block; what it leaves is judged in double.
+                wide = most + a.reach[pa_] + b.reach[pb].max() + EDGE
+                i, j = np.nonzero(za[ca] @ zb[cb].T >= (1 - wide * wide / 2 - slack).astype(np.float32)[:, None])
+                if own:  # a node with itself, and each pair of nodes once
+                    once = s + i <= lo + j
+                    i, j = i[once], j[once]
+                if len(i):
+                    whole = 16 * len(i) > len(pa_) * len(pb)
+                    judge(pa_[i], pb[j], (xa[ca] @ xb[cb].T)[i, j] if whole else _dots(xa, xb, ca[i], cb[j]))
+
+    judge(np.zeros(1, np.int64), np.zeros(1, np.int64), _dots(xa, xb, a.centers[:1], b.centers[:1]))
+    while todo:
+        u, v, crossed, own = todo.pop()
+        blocks(u, v, own) if crossed else lists(u, v)
+    spans_a.close()
+    spans_b.close()
+
+
+class Spans:
+    """Links that hold for all points of a node: noted at the ends of the node's span, added up at the end."""
+
+    def __init__(self, tree: CoverTree, links: Links, shift: int):
+        self.links, self.order, self.spans = links, tree.order + shift, tree.spans
+        n = len(tree.order) + 1
+        self.before = np.concatenate(([0], np.cumsum(links.weights[self.order])))
+        self.more, self.joined, self.equals = (np.zeros(n, np.int64) for _ in range(3))
+
+    def weight(self, nodes: np.ndarray) -> np.ndarray:
+        return self.before[self.spans[nodes, 1]] - self.before[self.spans[nodes, 0]]
+
+    def add(self, nodes: np.ndarray, weight: np.ndarray) -> None:
+        lo, hi = self.spans[nodes].T
+        np.add.at(self.more, lo, weight)
+        np.add.at(self.more, hi, -weight)
+        np.add.at(self.joined, lo, 1)  # each point of the span with the next one
+        np.add.at(self.joined, hi - 1, -1)
+
+    def equal(self, nodes: np.ndarray) -> None:
+        """All points of a node of equal points link with each other."""
+        self.add(nodes, self.weight(nodes))
+        np.add.at(self.equals, self.spans[nodes, 0], 1)
+        np.add.at(self.equals, self.spans[nodes, 1], -1)
+
+    def close(self) -> None:
+        more, equals = np.cumsum(self.more)[:-1], np.cumsum(self.equals)[:-1]
+        self.links.counts[self.order] += more - equals * self.links.weights[self.order]
+        next_too = np.flatnonzero(np.cumsum(self.joined)[:-1] > 0)
+        self.links.join(self.order[next_too], self.order[next_too + 1])
 
 
 def _vectors(column, dim: int) -> np.ndarray:

@@ -163,3 +163,33 @@ def test_encoder_equals_the_library():
     texts = ["", " ", "Hello, World! it's 12 o'clock", "a\nb\tc d", "naïve café́ Σας", "x" * 3000, "\x01", "a \x01 b",
              "<|endoftext|>x", "…—“quoted”", "日本語 テキスト", "don't!!! can't?", None]
     assert [list(map(int, x)) for x in enc.encode(texts)] == brute.encode(texts)
+
+
+def test_cover_trees_meet_in_blocks(monkeypatch):
+    """Spread vectors with near copies: exact links, by far fewer distance computations than vectors."""
+    from siloml.llm import embeddings
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x = np.concatenate((x, x[:300] + rng.normal(size=(300, 16)) * 0.05, x[:50]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    weights = rng.integers(1, 4, len(x))
+    near = np.triu(x @ x.T >= 0.98, 1)
+    near = near | near.T
+    calls, chord = [], embeddings.chord
+    monkeypatch.setattr(embeddings, "chord", lambda dots: calls.append(1) or chord(dots))
+    for left, right in ((x, None), (x[:900], x[900:])):
+        links = embeddings.Links(weights)
+        tree = embeddings.CoverTree(left)
+        if right is None:
+            embeddings.traverse(tree, tree, left, left, 0.98, links, 0, True)
+            wanted = near
+        else:
+            embeddings.traverse(tree, embeddings.CoverTree(right), left, right, 0.98, links, len(left), False)
+            wanted = near.copy()
+            wanted[:900, :900] = wanted[900:, 900:] = False
+        assert np.array_equal(links.counts, wanted @ weights)
+        edges = list(zip(*(c.tolist() for c in np.nonzero(wanted))))
+        assert {i: int(r) for i, r in enumerate(links.root)} == {
+            i: brute.components(range(len(x)), edges)[i] for i in range(len(x))}
+    assert len(calls) < len(x)
