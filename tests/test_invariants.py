@@ -1,6 +1,7 @@
 """Exactness against brute force, and independence of partitioning and row order."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -112,6 +113,24 @@ def test_knn_is_exact(spark, monkeypatch, leaf_rows, chunk, hot):
     assert got == brute_knn(x, clients, 5)
 
 
+def test_knn_kernel_meets_few_points(monkeypatch):
+    """A leaf's visitors are compared with the boxes inside their bounds, and get their exact lists."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    pairs, squared = [], K._squared
+    monkeypatch.setattr(K, "_squared", lambda q, p: pairs.append(len(q) * len(p)) or squared(q, p))
+    n = pa.array(range(3000), pa.int64())
+    points = pa.table({"p_client_id": pa.array([7] * 3000), "point": n, "ids": pa.array([[i] for i in range(3000)]), "vec": x.tolist()})
+    asked = pa.table({"v_client_id": pa.array([7] * 3000), "q": n, "q_vec": x.tolist(), "bound": pa.array([None] * 3000, pa.float64())})
+    out = K._search(5)(asked, points)
+    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :6]
+    found = {r["q"]: [n["nbr_id"] for n in r["near"]] for r in out.to_pylist()}
+    assert found == {i: order[i].tolist() for i in range(3000)}
+    assert sum(pairs) < 0.25 * 3000 ** 2
+    bounded = asked.set_column(3, "bound", pa.array(np.full(3000, 1e-3)))
+    assert sum(len(r["near"]) for r in K._search(5)(bounded, points).to_pylist()) < 6 * 3000
+
+
 def test_knn_with_few_rows(spark):
     x = np.array([[0.0], [1.0], [5.0], [9.0]])
     out = K.knn(vectors(spark, x, [0, 0, 0, 1]), 5, 2)
