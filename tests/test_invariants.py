@@ -127,6 +127,8 @@ def test_knn_kernel_meets_few_points(monkeypatch):
     found = {r["q"]: [n["nbr_id"] for n in r["near"]] for r in out.to_pylist()}
     assert found == {i: order[i].tolist() for i in range(3000)}
     assert sum(pairs) < 0.25 * 3000 ** 2
+    lacking = asked.slice(0, 1).set_column(2, "q_vec", pa.array([[0.0, None, 0.0]]))
+    assert [n["d2"] for n in K._search(5)(lacking, points).to_pylist()[0]["near"]] == [None] * 6
     bounded = asked.set_column(3, "bound", pa.array(np.full(3000, 1e-3)))
     assert sum(len(r["near"]) for r in K._search(5)(bounded, points).to_pylist()) < 6 * 3000
 
