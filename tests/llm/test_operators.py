@@ -165,6 +165,30 @@ def test_encoder_equals_the_library():
     assert [list(map(int, x)) for x in enc.encode(texts)] == brute.encode(texts)
 
 
+def test_encoder_learns_a_core_once(monkeypatch):
+    """Upper case and closing marks do not send a word to the library again; odd texts have the library's ids."""
+    from siloml.llm import tokens
+    from siloml.llm.tokens import Encoder, default_path
+
+    enc, asked = Encoder(default_path()), []
+    enc._learn = lambda chunks, learn=enc._learn: (asked.extend(chunks), learn(chunks))
+    texts = ["Word word, WORD. \"word\" word&&&", "Été été! word; x1, X1,", None, "H\u0331. h\u0331 \u0130x <\u0338 a\x0bb ½."]
+    assert [list(map(int, x)) for x in enc.encode(texts)] == brute.encode(texts)
+    assert len(asked) == len(set(asked)) and asked.count("word") == asked.count("été") == 1
+    assert not {"Word", "WORD.", "WORD", "word,", "word&&&", "Été", "été!", "x1,", "X1,"} & set(asked)
+    asked.clear()
+    assert [list(map(int, x)) for x in enc.encode(["WORD!", "été&&&"])] == brute.encode(["WORD!", "été&&&"])
+    assert not asked  # the core and the marks are known
+
+    rng = np.random.default_rng(3)
+    signs = [*"aAzZé É\u0338\u0331\u0301Iß\u1e9e\u0149\u0130\u0131\u212aΣς'\".,!?&<=\\ \n\t\x0b\r\x1c\x85\u00a0①½日\u1100\u1161\u0345\x00", "'s", "'ll"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(2000)]
+    assert [list(map(int, x)) for x in enc.encode(texts)] == brute.encode(texts)
+    monkeypatch.setattr(tokens, "CACHED", 100)  # little is kept, what is used often longest
+    found = [x for at in range(0, 2000, 20) for x in enc.encode(texts[at:at + 20])]
+    assert [list(map(int, x)) for x in found] == brute.encode(texts) and len(enc.kept) < 1000
+
+
 def test_cover_trees_meet_in_blocks(monkeypatch):
     """Spread vectors with near copies: exact links, by far fewer distance computations than vectors."""
     from siloml.llm import embeddings
