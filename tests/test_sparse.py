@@ -102,3 +102,32 @@ def test_buckets_are_cut_by_their_counts(spark, bucket_rows):
         part = rows[rows["g"] == r["g"]].sort_values("hash_rank")
         want = [(part["h"].iloc[p], part["row_id"].iloc[p]) for p in (0, len(part) // 3, len(part) // 3, len(part) - 1)]
         assert [(c["_h"], c["_key"]) for c in r["_cuts"]] == want
+
+
+@pytest.mark.parametrize("spec", [LogisticSpec(C=0.5), SvcSpec(C=0.5)])
+def test_alike_columns_and_many_levels_reach_the_optimum(spark, spec):
+    """Columns of very unlike spread that nearly repeat each other, rare levels beside frequent ones, a silo of the few."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(4000):
+        a, c = rng.normal(), int(i % 4 == 0)
+        level = int(rng.integers(0, 3)) if i % 3 else 3 + int(rng.integers(0, 700))
+        x = [a, a + 1e-3 * rng.normal(), 300.0 * a + rng.normal(), 1e-3 * rng.normal()]
+        rows.append((i, c, "train", int(rng.random() < 1 / (1 + np.exp(-6 * a + level % 3))), [*x, float(level), 703.0 + int(rng.integers(0, 5))]))
+    df = stage(spark.createDataFrame(rows, "row_id long, client_id int, split string, label int, features array<double>"))
+    params, fits = S.fit_sparse(df, spec, 4, 708, strict=False)
+    assert [r["status"] for r in fits.collect()] == ["OK", "OK"]
+    vectors = {r["client_id"]: np.asarray(r["vector"]) for r in fits.collect()}
+    for c, w in vectors.items():
+        mine = [r for r in rows if r[1] == c]
+        x = np.zeros((len(mine), 713))
+        for k, r in enumerate(mine):
+            x[k, :4], x[k, 4 + int(r[4][4])], x[k, 4 + int(r[4][5])], x[k, -1] = r[4][:4], 1.0, 1.0, 1.0
+        y, m = np.asarray([r[3] for r in mine], float), x @ w
+        if spec.family == "logistic":
+            g = spec.C * x.T @ (1 / (1 + np.exp(-m)) - y)
+            gap = np.where(w == 0, np.maximum(np.abs(g) - 1, 0), np.abs(g + np.sign(w)))
+        else:
+            s, weight = 2 * y - 1, np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+            gap = np.abs(w - 2 * spec.C * x.T @ (weight * s * np.maximum(0, 1 - s * m)))
+        assert gap.max() <= 1e-5 * max(1, spec.C * len(y))
