@@ -104,3 +104,31 @@ def test_small_silos_make_their_passes_in_one_job(prepared, monkeypatch):
     for c in (0, 1):
         assert whole[c].status == mixed[c].status == I.OK and whole[c].passes == mixed[c].passes
         assert np.allclose(whole[c].vector, mixed[c].vector)
+
+
+def test_boosting_reads_arrays_once(prepared, monkeypatch):
+    """Rounds fit and score packed rows: no array of features is read again, and the scores are those of the rows."""
+    t = R.trainer(prepared, BoostSpec(n_local_trees=2, max_bins=16))
+    monkeypatch.setattr(B, "packed_rows", lambda *a: pytest.fail("packed again"))
+    trees = stage(t.fit(1, None, None))
+    again = stage(t.fit(2, trees, None))
+    assert again.count() == 4
+    scored = t.score(trees, True)
+    assert "features" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda df: sorted((r["client_id"], r["split"], r["label"], r["pred"], r["prob"]) for r in df.collect())
+    assert key(scored) == key(B.predict_boost(prepared.df, trees, True))
+    monkeypatch.setattr(B, "CHUNK_NODES", 20)
+    chunked = key(t.score(trees, True))
+    assert [r[:4] for r in chunked] == [r[:4] for r in key(scored)]
+    assert np.allclose([r[4] for r in chunked], [r[4] for r in key(scored)], rtol=0, atol=1e-12)
+
+
+def test_small_trees_send_columns_where_they_send_rows(monkeypatch):
+    rng = np.random.default_rng(2)
+    tree = (np.asarray([1, 0, -1, 2, -1, -1, -1]), np.asarray([0.1, -0.2, 0, 0.3, 0, 0, 0]), np.asarray([1, 3, -1, 5, -1, -1, -1]),
+            np.asarray([2, 4, -1, 6, -1, -1, -1]), np.asarray([0.0, 0, 1, 0, 2, 3, 4]))
+    x = rng.normal(size=(500, 3))
+    x[::50, 1] = np.nan
+    by_column = B.tree_leaf(x, tree)
+    monkeypatch.setattr(B, "SMALL_TREE", 0)
+    assert (by_column == B.tree_leaf(x, tree)).all() and len(set(by_column)) == 4
