@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siloml.functions import joins
 from siloml.functions.staging import SETTLE_ROWS, settle, stage
 from siloml.operators import frame, knn as K
 from siloml.plans import prepare as P, rounds as R
@@ -141,3 +142,17 @@ def test_silo_groups_grow_the_same_trees(spark, monkeypatch):
     monkeypatch.setattr(B, "GROUP_BYTES", 1)
     assert rows(B.boost(prepared.df, spec, 2, [0, 1], small=0)) == both
     assert rows(B.boost(prepared.df, spec, 2)) == both
+
+
+def test_a_long_side_is_repeated_for_hot_keys_only(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "MANY_KEYS", 50)
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    rows = [(i, 7 if i < 300 else None if i < 310 else i % 97) for i in range(900)]
+    df = stage(spark.createDataFrame(rows, "row_id long, client_id int"))
+    side = stage(spark.createDataFrame([(c, c * 0.5) for c in range(90)], "client_id int, v double"))
+    for how in ("inner", "left"):
+        got = joins.attach(df, side, ["client_id"], 90, 16, how)
+        assert got.columns == ["client_id", "row_id", "v"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.join(side, "client_id", how).collect()), key=repr)
+    assert joins._salted(df, side, ["client_id"], 90, "row_id")[1].count() == 89 + joins.SALTS
